@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.llm import encoding
-from graphmill.session import bound_batches
+from graphmill.llm import encoding, packing
+from graphmill.session import bound_batches, cut
 from graphmill.sources import load
 
 
@@ -15,5 +15,25 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode_texts(load(spark, sf, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    bound_batches(spark)
+    return cut(encoding.count_tokens(load(spark, sf, "documents")))
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """A container of 2,048 tokens for every document, or for every piece of a longer one."""
+    return packing.pack(_sized(spark, sf), "doc_id", "n_tokens")
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers, their use and the lower bound from the dual prices."""
+    parts = packing.pieces(_sized(spark, sf), "doc_id", "n_tokens")
+    histogram = packing.histogram_of(parts)
+    plan = packing.solve(histogram)
+    tokens = sum(s * n for s, n in histogram.items())
+    row = (packing.CAPACITY, tokens, plan.containers, plan.lower_bound, tokens / max(1, packing.CAPACITY * plan.containers))
+    return spark.createDataFrame([row], "capacity int, tokens long, containers long, lower_bound long, share_used double")
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report}
 SQL: dict[str, str] = {}

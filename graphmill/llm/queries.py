@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphmill.llm import encoding, packing
+from graphmill.llm import encoding, packing, readability
 from graphmill.session import bound_batches, cut
 from graphmill.sources import load
 
@@ -35,5 +36,21 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([row], "capacity int, tokens long, containers long, lower_bound long, share_used double")
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report}
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    bound_batches(spark)
+    grades = cut(readability.grade_documents(load(spark, sf, "documents")))
+    return readability.levels_of(grades, readability.rated_cuts(grades, load(spark, sf, "reading_labels")))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The reading level of every document with enough prose."""
+    return _levels(spark, sf).select("doc_id", "reading_level")
+
+
+def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents and mean grade per language and level."""
+    return _levels(spark, sf).groupBy("language", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("grade"), 3).alias("mean_grade"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_profile": p9_profile}
 SQL: dict[str, str] = {}

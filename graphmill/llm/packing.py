@@ -143,7 +143,7 @@ def ranked(parts: DataFrame, id_col: str, salts: int = SALTS) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("size", "salt", F.coalesce(before, F.lit(0)).alias("before"))  # at most (capacity + 1) * salts rows
     order = Window.partitionBy("size", "salt").orderBy(id_col, "piece")
-    return salted.withColumn("nth", F.row_number().over(order)).join(F.broadcast(offsets), ["size", "salt"]).select(id_col, "piece", "n_pieces", "size", (F.col("before") + F.col("nth") - 1).alias("rank"))
+    return salted.withColumn("nth", F.row_number().over(order)).join(offsets, ["size", "salt"]).select(id_col, "piece", "n_pieces", "size", (F.col("before") + F.col("nth") - 1).alias("rank"))
 
 
 def assign(ranks: DataFrame, plan: Plan, id_col: str) -> DataFrame:

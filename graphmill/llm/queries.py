@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import encoding, packing, readability
+from graphmill.llm import docpairs, encoding, packing, readability
 from graphmill.session import bound_batches, cut
 from graphmill.sources import load
 
 
+def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every function documented in earnest, with signature and documentation."""
+    bound_batches(spark)
+    return docpairs.extract_pairs(load(spark, sf, "code_entities_full"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The line of every function documented in earnest."""
+    return p6_pairs(spark, sf).select("entity_id", "def_line")
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     """The ids of every document."""
     bound_batches(spark)
@@ -52,5 +63,5 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf).groupBy("language", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("grade"), 3).alias("mean_grade"))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_profile": p9_profile}
+QUERIES = {"p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_profile": p9_profile}
 SQL: dict[str, str] = {}

@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import docpairs, encoding, packing, readability
+from graphmill.llm import docpairs, encoding, packing, pii, readability
 from graphmill.session import bound_batches, cut
 from graphmill.sources import load
 
 
+def _message_texts(spark: SparkSession, sf: str) -> DataFrame:
+    bound_batches(spark)
+    parts = [(table, field) for table, fields in (("commits_sample", ("message_head",)), ("pull_requests", ("title", "body"))) for field in fields]
+    each = [load(spark, sf, table).select(F.lit(table).alias("src_table"), F.lit(field).alias("src_field"), "record_id", F.col(field).alias("text")) for table, field in parts]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _given_names(spark: SparkSession, sf: str) -> DataFrame:
+    listed = load(spark, sf, "given_names")
+    return listed.select(F.col("given_name").alias("given")).unionByName(listed.select(F.col("short_form").alias("given")))
+
+
+def _mentions(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find_mentions(_message_texts(spark, sf), _given_names(spark, sf))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every mention of personal data in commit messages and pull requests."""
+    return _mentions(spark, sf).select("src_table", "src_field", "record_id", "pii_type", "occurrence")
+
+
+def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """All those texts with typed placeholders."""
+    return pii.redact_texts(_message_texts(spark, sf), _mentions(spark, sf))
+
+
 def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every function documented in earnest, with signature and documentation."""
     bound_batches(spark)
@@ -63,5 +91,5 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf).groupBy("language", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("grade"), 3).alias("mean_grade"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_profile": p9_profile}
+QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_profile": p9_profile}
 SQL: dict[str, str] = {}

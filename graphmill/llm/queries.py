@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import docpairs, encoding, packing, pii, readability
+from graphmill.llm import docpairs, encoding, names, packing, pii, readability
 from graphmill.session import bound_batches, cut
 from graphmill.sources import load
 
@@ -38,6 +38,21 @@ def p4_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redact_texts(_message_texts(spark, sf), _mentions(spark, sf))
 
 
+def _entities(spark: SparkSession, sf: str) -> DataFrame:
+    bound_batches(spark)
+    return names.link_signatures(load(spark, sf, "contributor_signatures"), load(spark, sf, "given_names"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of signatures of the same person or organisation."""
+    return names.pairs_of(_entities(spark, sf))
+
+
+def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every signature with the least signature id of its person or organisation."""
+    return _entities(spark, sf)
+
+
 def p6_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Every function documented in earnest, with signature and documentation."""
     bound_batches(spark)
@@ -91,5 +106,5 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf).groupBy("language", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("grade"), 3).alias("mean_grade"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_profile": p9_profile}
+QUERIES = {"p5_found": p5_found, "p5_entities": p5_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_profile": p9_profile}
 SQL: dict[str, str] = {}

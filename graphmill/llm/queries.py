@@ -7,11 +7,29 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphmill.llm import docpairs, encoding, names, packing, pii, readability
+from graphmill.llm import credentials, docpairs, encoding, names, packing, pii, readability
 from graphmill.session import bound_batches, cut
 from graphmill.sources import load
 
 
+def _code_texts(spark: SparkSession, sf: str) -> DataFrame:
+    bound_batches(spark)
+    entities = load(spark, sf, "code_entities_full").select(F.lit("code_entities_full").alias("src_table"), F.col("entity_id").alias("row_id"), F.col("relpath").alias("path"), F.col("source").alias("text"))
+    snippets = load(spark, sf, "code_snippets").select(F.lit("code_snippets").alias("src_table"), F.col("snippet_id").alias("row_id"), "path", F.col("snippet").alias("text"))
+    return entities.unionByName(snippets)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Every line on which a credential begins."""
+    return credentials.find_credentials(_code_texts(spark, sf)).select("src_table", "row_id", "line_no").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """All those texts with their credentials redacted."""
+    texts = _code_texts(spark, sf)
+    return credentials.redact_credentials(texts, credentials.find_credentials(texts))
+
+
 def _message_texts(spark: SparkSession, sf: str) -> DataFrame:
     bound_batches(spark)
     parts = [(table, field) for table, fields in (("commits_sample", ("message_head",)), ("pull_requests", ("title", "body"))) for field in fields]
@@ -106,5 +124,5 @@ def p9_profile(spark: SparkSession, sf: str) -> DataFrame:
     return _levels(spark, sf).groupBy("language", "reading_level").agg(F.count("*").alias("documents"), F.round(F.avg("grade"), 3).alias("mean_grade"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_entities": p5_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_profile": p9_profile}
+QUERIES = {"p1_found": p1_found, "p1_redacted": p1_redacted, "p5_found": p5_found, "p5_entities": p5_entities, "p4_found": p4_found, "p4_redacted": p4_redacted, "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_report": p8_report, "p9_found": p9_found, "p9_profile": p9_profile}
 SQL: dict[str, str] = {}

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.plans import data_quality
+from graphmill.plans import data_quality, retail
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (data_quality,)
+MODULES = (data_quality, retail)
 
 
 def queries() -> dict[str, Query]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.plans import data_quality, retail
+from graphmill.plans import data_quality, retail, segmentation
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (data_quality, retail)
+MODULES = (data_quality, retail, segmentation)
 
 
 def queries() -> dict[str, Query]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.plans import data_quality, knowledge, retail, segmentation
+from graphmill.plans import data_quality, knowledge, resolution, retail, segmentation
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (data_quality, knowledge, retail, segmentation)
+MODULES = (data_quality, knowledge, resolution, retail, segmentation)
 
 
 def queries() -> dict[str, Query]:

@@ -21,7 +21,7 @@ def j8_suffix(spark, sf):
 
 def j9_mentions(spark, sf):
     """Documents whose base name stands within the base name of a file: three letters bring candidates together, containment decides."""
-    stem = lambda c: F.lower(F.regexp_replace(V.basename(F.col(c)), r"\.[A-Za-z]+$", ""))
+    stem = lambda c: F.lower(F.regexp_replace(V.basename(F.col(c)), r"(?:_[0-9]+)?\.[A-Za-z]+$", ""))
     docs = nodes(spark, sf).where("node_type = 'Document' and label is not null").select(F.col("id").alias("document"), stem("label").alias("stem")).distinct().where("length(stem) >= 3")
     files = nodes(spark, sf).where("node_type = 'File' and path is not null").select(F.col("id").alias("file"), F.lower(V.basename(F.col("path"))).alias("base")).distinct()
     grams = files.where("length(base) >= 3").select("file", "base", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("base") - 2), lambda i: F.substring(F.col("base"), i, F.lit(3))))).alias("gram"))
@@ -42,29 +42,30 @@ def j12_enclosing(spark, sf):
 
 
 def _chains(spark, sf):
-    """Entities with their dotted chain, and the symbols they may mean."""
-    chain = F.concat_ws(".", G.module_name(F.col("relpath")), "name")
-    return load(spark, sf, "code_entities_full").where("name is not null and relpath is not null").select("entity_id", chain.alias("chain"), F.substring_index("name", ".", -2).alias("pair"), F.substring_index("name", ".", -1).alias("short"))
+    """Distinct listed chains with their last two segments and the last one."""
+    chain = F.trim(G.slashed(F.regexp_replace("neighbor_id", "^(?:Function|Class):", "")))
+    listed = load(spark, sf, "retrieval_debug").where("neighbor_id like 'Function:%' or neighbor_id like 'Class:%'").select(chain.alias("chain")).distinct()
+    return listed.select("chain", F.substring_index("chain", ".", -2).alias("pair"), F.substring_index("chain", ".", -1).alias("short"))
 
 
 def _strategies(spark, sf):
     symbols = _symbols(spark, sf).distinct()
     chains = _chains(spark, sf)
-    direct = chains.join(symbols, F.col("chain") == F.col("qualified")).select("entity_id", "qualified", F.lit("direct").alias("strategy"))
-    member = chains.where(F.col("pair").contains(".")).join(symbols.withColumn("tail", F.substring_index("qualified", ".", -2)), F.col("pair") == F.col("tail")).select("entity_id", "qualified", F.lit("class_method").alias("strategy"))
-    short = chains.join(symbols.withColumn("tail", F.substring_index("qualified", ".", -1)), F.col("short") == F.col("tail")).select("entity_id", "qualified", F.lit("global_short").alias("strategy"))
+    direct = chains.join(symbols, F.col("chain") == F.col("qualified")).select("chain", "qualified", F.lit("direct").alias("strategy"))
+    member = chains.where(F.col("pair").contains(".")).join(symbols.withColumn("tail", F.substring_index("qualified", ".", -2)), F.col("pair") == F.col("tail")).select("chain", "qualified", F.lit("class_method").alias("strategy"))
+    short = chains.join(symbols.withColumn("tail", F.substring_index("qualified", ".", -1)), F.col("short") == F.col("tail")).select("chain", "qualified", F.lit("global_short").alias("strategy"))
     return direct, member, short
 
 
 def j13_chain_resolution(spark, sf):
     direct, member, short = _strategies(spark, sf)
-    return V.prioritized([direct, member, short], ["entity_id"], ["qualified", "strategy"]).select("entity_id", "qualified", "strategy")
+    return V.prioritized([direct, member, short], ["chain"], ["qualified", "strategy"]).select("chain", "qualified", "strategy")
 
 
 def j22_older_precedence(spark, sf):
     """The same strategies, the short name before the class member."""
     direct, member, short = _strategies(spark, sf)
-    return V.prioritized([direct, short, member], ["entity_id"], ["qualified", "strategy"]).select("entity_id", "qualified", "strategy")
+    return V.prioritized([direct, short, member], ["chain"], ["qualified", "strategy"]).select("chain", "qualified", "strategy")
 
 
 def j14_longest_prefix(spark, sf):
@@ -210,14 +211,14 @@ _LAST = lambda c, n: f"array_to_string(list_slice(string_split({c}, '.'), -{n},
 _TWO = lambda c: f"array_to_string(list_slice(string_split({c}, '/'), -2, -1), '/')"
 _PRC = "pc as (select number, created_at, c.sha sha, c.message_head message from (select number, created_at, unnest(commits) c from pull_requests) where c.sha is not null)"
 _SPANS = f"spans as (select {_S('relpath')} file, name, lineno as first, end_lineno as last from code_entities_full where relpath is not null and lineno is not null and end_lineno is not null)"
-_CHAINS = f"""sym as (select distinct qualified_name q from nodes where qualified_name is not null), ch as (select entity_id, {_MOD} || '.' || name chain, {_LAST('name', 2)} pair, {_LAST('name', 1)} short from code_entities_full where name is not null and relpath is not null),
-cand as (select entity_id, q, 'direct' strategy, 0 p, 0 old from ch join sym on chain = q union all select entity_id, q, 'class_method', 1, 2 from ch join sym on pair = {_LAST('q', 2)} where contains(pair, '.') union all select entity_id, q, 'global_short', 2, 1 from ch join sym on short = {_LAST('q', 1)})"""
+_CHAINS = f"""sym as (select distinct qualified_name q from nodes where qualified_name is not null), ch as (select chain, {_LAST('chain', 2)} pair, {_LAST('chain', 1)} short from (select distinct trim({_S("regexp_replace(neighbor_id, '^(?:Function|Class):', '')")}) chain from retrieval_debug where neighbor_id like 'Function:%' or neighbor_id like 'Class:%')),
+cand as (select chain, q, 'direct' strategy, 0 p, 0 old from ch join sym on chain = q union all select chain, q, 'class_method', 1, 2 from ch join sym on pair = {_LAST('q', 2)} where contains(pair, '.') union all select chain, q, 'global_short', 2, 1 from ch join sym on short = {_LAST('q', 1)})"""
 
 SQL = {
     "j8_suffix": f"""with n as (select distinct label short from retrieval_debug where label <> ''), s as (select distinct qualified_name q from nodes where qualified_name is not null),
 c as (select short, q, 'dotted' strategy, 0 p from n join s on {_LAST('q', 1)} = short union all select short, q, 'bare', 1 from n join s on right(short, 3) = right(q, 3) and ends_with(q, short))
 select short, q qualified, strategy from (select *, row_number() over (partition by short order by p, q) r from c) where r = 1""",
-    "j9_mentions": rf"""with d as (select distinct id document, lower(regexp_replace({_BASE('label')}, '\.[A-Za-z]+$', '')) stem from nodes where node_type = 'Document' and label is not null), f as (select distinct id file, lower({_BASE('path')}) base from nodes where node_type = 'File' and path is not null)
+    "j9_mentions": rf"""with d as (select distinct id document, lower(regexp_replace({_BASE('label')}, '(?:_[0-9]+)?\.[A-Za-z]+$', '')) stem from nodes where node_type = 'Document' and label is not null), f as (select distinct id file, lower({_BASE('path')}) base from nodes where node_type = 'File' and path is not null)
 select document, file from d, f where length(stem) >= 3 and contains(base, stem)""",
     "j10_commit_pr": """with w as (select distinct number, merge_commit_sha want from pull_requests where merge_commit_sha <> ''), h as (select distinct sha from commits_sample where sha is not null),
 c as (select number, sha, 'exact' strategy, 0 p from w join h on want = sha union all select number, sha, 'lower', 1 from w join h on lower(want) = lower(sha) union all select number, sha, 'prefix7', 2 from w join h on left(lower(want), 7) = left(lower(sha), 7))
@@ -225,8 +226,8 @@ select number, sha, strategy from (select *, row_number() over (partition by num
     "j12_enclosing": f"""with {_SPANS}, t as (select {_S('path')} file, snippet_id site_id, start_line line from code_snippets where path is not null and start_line is not null),
 c as (select site_id, name, last - first width, row_number() over (partition by site_id order by last - first, first, name nulls first) r from t join spans using (file) where line between first and last)
 select t.site_id, name, width from t left join c on c.site_id = t.site_id and r = 1""",
-    "j13_chain_resolution": f"with {_CHAINS} select entity_id, q qualified, strategy from (select *, row_number() over (partition by entity_id order by p, q) r from cand) where r = 1",
-    "j22_older_precedence": f"with {_CHAINS} select entity_id, q qualified, strategy from (select *, row_number() over (partition by entity_id order by old, q) r from cand) where r = 1",
+    "j13_chain_resolution": f"with {_CHAINS} select chain, q qualified, strategy from (select *, row_number() over (partition by chain order by p, q) r from cand) where r = 1",
+    "j22_older_precedence": f"with {_CHAINS} select chain, q qualified, strategy from (select *, row_number() over (partition by chain order by old, q) r from cand) where r = 1",
     "j14_longest_prefix": "with n as (select distinct qualified_name as name from nodes where qualified_name is not null), m as (select distinct qualified_name module, coalesce(path, '') file from nodes where node_type = 'Module' and qualified_name is not null) select name, module, file from (select *, row_number() over (partition by name order by length(module) desc, file desc) r from n join m on name = module or starts_with(name, module || '.')) where r = 1",
     "j18_author_hints": f"with {_PRC} select number, count(distinct author_name) authors, min(author_name) first_author from (select distinct number, left(sha, 7) s7 from pc) join (select distinct left(sha, 7) s7, author_name from commits_sample where author_name is not null) using (s7) group by 1",
     "j21_location_triage": f"""with w as (select distinct id, qualified_name q, {_LAST('qualified_name', 1)} short from nodes where node_type = 'Function' and qualified_name is not null), c as (select {_MOD} || '.' || name chain, {_LAST('name', 1)} short from code_entities_full where name is not null and relpath is not null),

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.plans import data_quality, knowledge, resolution, retail, segmentation, texts
+from graphmill.plans import code, connectors, data_quality, knowledge, resolution, retail, segmentation, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (data_quality, knowledge, resolution, retail, segmentation, texts)
+MODULES = (code, connectors, data_quality, knowledge, resolution, retail, segmentation, texts)
 
 
 def queries() -> dict[str, Query]:

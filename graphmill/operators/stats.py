@@ -84,7 +84,7 @@ def centroids(df: DataFrame, features: list[str], cluster: str) -> DataFrame:
 
 
 def cosine(a: str, b: str) -> F.Column:
-    """Cosine of two arrays over the shorter length; 0 where a length is zero."""
+    """Cosine of two arrays: the product runs over the shorter one, the lengths over all; 0 where a length is zero."""
     n = F.least(F.size(a), F.size(b))
     left, right = F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n)
     add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, x: s + x)

@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 2048
-#: Rounds of pricing at most, how fast a served length loses weight, and the share of the possible step taken at once.
+#: Rounds of pricing at most, how fast a served length loses weight, the share of the possible step taken at once, and what the longest item is worth above its share.
 ROUNDS = 4000
 RATE = 0.3
 STEP = 1.0
+PREMIUM = 0.02
 SALTS = 64
 
 
@@ -99,8 +100,9 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
     for _ in range(rounds):
         if not active.any():
             break
-        # a length starts at a price in proportion to itself; its weight shrinks with the share of it that is served
-        prices = np.where(active, sizes * np.exp(-RATE * (1 - rest_of / demand)), 0.0)
+        # a length starts at a price in proportion to itself, long ones slightly above, so that short ones stay to fill gaps;
+        # its weight shrinks with the share of it that is served
+        prices = np.where(active, sizes * (1 + PREMIUM * sizes / capacity) * np.exp(-RATE * (1 - rest_of / demand)), 0.0)
         value, counts = best_pattern(sizes[active], prices[active], capacity)
         whole = np.zeros(len(sizes), np.int64)
         whole[active] = counts

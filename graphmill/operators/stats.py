@@ -16,6 +16,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.session import cut
+
 
 def check_threshold(value: float) -> float:
     """value, or ValueError unless 0 < value < 1."""
@@ -174,7 +176,7 @@ def isolation_outliers(df: DataFrame, key: str, columns: list[str], contaminatio
     """(key, score, is_outlier): isolation forest. Trees grow on ``trees * sample`` rows at most (by hash of the key); every row is scored."""
     check_threshold(contamination)
     rng = np.random.default_rng(seed)
-    known = df.select(key, *(F.col(c).cast("double").alias(c) for c in _columns(df, columns))).na.drop()
+    known = cut(df.select(key, *(F.col(c).cast("double").alias(c) for c in _columns(df, columns))).na.drop())
     x = known.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(trees * sample).select(*columns).toPandas().to_numpy(float)
     if not len(x):
         return known.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("is_outlier"))
@@ -187,7 +189,7 @@ def isolation_outliers(df: DataFrame, key: str, columns: list[str], contaminatio
         mean = np.mean([_depths(t, rows) for t in forest.value], axis=0)
         return pd.Series(2.0 ** (-mean / max(1e-9, float(_expected(float(size))))))
 
-    scored = known.select(key, score(*(F.col(c) for c in columns)).alias("score"))
+    scored = cut(known.select(key, score(*(F.col(c) for c in columns)).alias("score")))
     limit = scored.agg(F.percentile_approx("score", 1 - contamination, 10_000).alias("limit"))
     return scored.join(F.broadcast(limit)).select(key, "score", (F.col("score") > F.col("limit")).cast("int").alias("is_outlier"))  # one row is broadcast
 

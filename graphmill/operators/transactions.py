@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.session import cut
+
 #: Descriptions of service rows, the invoice mark of a cancellation.
 SERVICE_ROWS = ("Next Day Carriage", "High Resolution Image")
 CANCELLED_MARK = "C"
@@ -184,15 +186,34 @@ def seasonality(tx: DataFrame) -> DataFrame:
     return grouped.select("customer_id", F.round("mean", 4).alias("monthly_spending_mean"), zero("sd").alias("monthly_spending_std"), zero("slope").alias("spending_trend"))
 
 
+def customer_totals(tx: DataFrame) -> DataFrame:
+    """All features of one grain in one aggregation: totals, distinct counts, span of days, cancellations."""
+    day = F.to_date("invoice_date")
+    cancelled = F.when(F.col("transaction_status") == "Cancelled", F.col("invoice_no"))
+    base = tx.groupBy("customer_id").agg(
+        F.count_distinct("invoice_no").alias("total_transactions"), F.sum("quantity").alias("total_products_purchased"), F.round(F.sum(F.col("unit_price") * F.col("quantity")), 4).alias("total_spend"),
+        F.count_distinct("stock_code").alias("unique_products_purchased"), F.count_distinct(cancelled).alias("cancellation_frequency"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("n"),
+    )
+    end = base.agg(F.max("last_day").alias("end_day"))
+    return base.join(F.broadcast(end)).select(  # one row is broadcast
+        "customer_id", "total_transactions", "total_products_purchased", "total_spend", "unique_products_purchased",
+        F.round(F.try_divide("total_spend", "total_transactions"), 4).alias("average_transaction_value"), F.datediff("end_day", "last_day").alias("days_since_last_purchase"),
+        F.when(F.col("n") > 1, F.round(F.datediff("last_day", "first_day") / (F.col("n") - 1), 6)).alias("average_days_between_purchases"),
+        "cancellation_frequency", F.round(F.try_divide("cancellation_frequency", "total_transactions"), 6).alias("cancellation_rate"),
+    )
+
+
 def customer_features(tx: DataFrame, home: str) -> DataFrame:
-    """The whole feature frame. Customers with one row drop out, as gaps are joined inner."""
+    """The whole feature frame. Customers with one row drop out, as gaps are joined inner.
+
+    The cleaned rows are written once, so that their joins and their deduplication do not run again for every feature.
+    """
+    needed = ("customer_id", "invoice_no", "stock_code", "quantity", "unit_price", "invoice_date", "country", "transaction_status")
+    tx = cut(tx.select(*needed))
     return (
-        rfm(tx)
-        .join(recency(tx), "customer_id")
-        .join(purchase_gaps(tx), "customer_id")
+        customer_totals(tx)
+        .where("average_days_between_purchases is not null")
         .join(favourite_times(tx), "customer_id")
         .join(main_country(tx, home).drop("country"), "customer_id", "left")
-        .join(cancellations(tx), "customer_id", "left")
         .join(seasonality(tx), "customer_id")
-        .na.fill({"cancellation_frequency": 0, "cancellation_rate": 0.0})
     )

@@ -9,6 +9,7 @@ from graphmill.operators import recommend as R
 from graphmill.operators import stats as S
 from graphmill.operators import transactions as T
 from graphmill.plans.retail import CLEAN_SQL, cleaned
+from graphmill.session import cut
 from graphmill.sources import load
 
 FEATURES = ["total_transactions", "total_products_purchased", "total_spend", "unique_products_purchased", "average_transaction_value"]
@@ -18,7 +19,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     """Numeric features per customer with a cluster from the market segment."""
     base = T.rfm(cleaned(spark, sf)).select("customer_id", *(F.col(c).cast("double").alias(c) for c in FEATURES))
     who = load(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"))
-    return base.join(who, "customer_id")
+    return cut(base.join(who, "customer_id"))  # written once: statistics and models read it several times
 
 
 def customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -56,6 +57,11 @@ def _rows(spark, sf):
     return S.assembled(S.standardize(features(spark, sf), FEATURES), FEATURES, ["customer_id"])
 
 
+def m8_kmeans(spark, sf):
+    rows = _rows(spark, sf)
+    return S.clustered(rows, S.kmeans_model(rows, seeds=range(3)), "customer_id")
+
+
 def a13_top_products(spark, sf):
     return R.top_products(cleaned(spark, sf), customers(spark, sf))
 
@@ -81,7 +87,7 @@ QUERIES = {
     "m5_pca": lambda s, d: S.principal_components(features(s, d), FEATURES, "customer_id"),
     "m7_isolation_forest": lambda s, d: S.isolation_outliers(features(s, d), "customer_id", FEATURES),
     "pj6_inliers": lambda s, d: S.isolation_outliers(features(s, d), "customer_id", FEATURES).where("is_outlier = 0").select("customer_id"),
-    "m8_kmeans": lambda s, d: S.clustered(_rows(s, d), S.kmeans_model(_rows(s, d), seeds=range(3)), "customer_id"),
+    "m8_kmeans": m8_kmeans,
     "m9_silhouette_sweep": lambda s, d: S.silhouettes(_rows(s, d), range(2, 6)),
     "m11_parameter_grid": lambda s, d: S.parameter_grid(_rows(s, d), [0, 1], [10], [3], ["k-means||", "random"]),
     "m12_forest_regression": lambda s, d: S.forest_regression(features(s, d), FEATURES[:2], "total_spend", "customer_id", trees=5),

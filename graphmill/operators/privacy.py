@@ -145,3 +145,21 @@ def canonical_contributors(names: DataFrame, name: str) -> DataFrame:
     keyed = names.where(F.col(name).isNotNull()).select(name, key.alias("key")).distinct()
     numbered = placeholders(keyed, "key", name, "CONTRIBUTOR_", 1)
     return keyed.join(numbered, "key", "left").select(name, F.col("placeholder").alias("contributor"))
+
+
+def replace_words(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """(key, text) with every word of names (name, placeholder) replaced, whole words only, so the longest name wins by itself.
+
+    Texts are cut into words and what lies between, joined with the names by equality and put together again, so the
+    number of names does not matter. Rows with a null text or key are left out.
+    """
+    cut_up = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))).alias("pos", "word"))
+    joined = cut_up.join(names.select(F.col("name").alias("word"), "placeholder"), "word", "left")
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("placeholder", "word").alias("w"))))
+    return joined.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["w"]), "").alias(text))
+
+
+def routed(df: DataFrame, routes: dict[str, str]) -> DataFrame:
+    """Each field through the mask of its route: keep, literal, inside or drop; fields without a route are kept."""
+    masks = {"keep": lambda c: c, "literal": X.mask_whole, "inside": X.mask_inside, "drop": lambda c: F.when(c.isNotNull(), "[MASKED]")}
+    return df.select(*(masks[routes.get(c, "keep")](F.col(c)).alias(c) for c in df.columns))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -46,3 +47,9 @@ def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver drop the plans of earlier rounds of a loop; their shuffle and checkpoint files go with them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.session import cut
+from graphmill.session import cut, tidy
 
 MOST_NAMES = 50_000
 MAX_ROUNDS = 12
@@ -204,6 +204,7 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         roots = moved.select("node", "root")
         if done:
             break
+        tidy(edges.sparkSession)
     return roots
 
 
@@ -245,6 +246,7 @@ def link_signatures(signatures: DataFrame, given_names: DataFrame, max_rounds: i
     labels = cut(read.select("sig", F.col("sig").alias("label")).distinct())
 
     for turn in range(max_rounds):
+        tidy(signatures.sparkSession)
         mine = claims.join(labels, "sig").groupBy("label", "given", "family").agg(F.max("sure").alias("sure"))
         mine = cut(mine)
         full = mine.where("length(given) > 1")

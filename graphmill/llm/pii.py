@@ -1,14 +1,18 @@
 """Personal data in free text, found by bootstrapped contextual extraction.
 
-A generous scan emits candidate mentions with an instance key (a name; the shape of a number or an
-address) and the lexical patterns around them (two words left, two words right, one of each). A few
+A generous scan emits candidate mentions with an instance key (a name, an address of mail or of a house;
+the shape of a number) and the lexical patterns around them (two words left, two words right, one of each). A few
 seeds start the bootstrap: given names from a reference list, international phone shapes, numbers
-named by the word for a document, plain addresses of mail. Spark then scores the graph of patterns and
+named by the word for a document, addresses of mail and of houses in their usual forms, which count as they are.
+Spark then scores the graph of patterns and
 instances for a fixed number of rounds: a pattern is worth the share of its distinct instances that are
 believed, weighed by how many distinct ones back it; an instance is believed by its best patterns. So a
 pattern that stands around many different names is trusted and finds names no list holds, while a phrase
 that always holds the same product name has one instance and stays worth nothing.
 
+Looser forms of both kinds of address (the town first or without a comma, other words for the signs of
+a mail address) are candidates like names and numbers: only patterns that stand around addresses accept them.
+
 Mentions that a trusted pattern or a believed instance supports become finds; each is replaced by a
 placeholder of its type.
 """
@@ -56,6 +60,15 @@ HIDDEN_EMAIL = re.compile(
     r"(?<![\w.+%@/-])[\w.+%-]+(?:(?: ?(?:\[ ?at ?\]|\( ?at ?\)|\{ ?at ?\}|<at>|&#64;|＠) ?| ?@ ?)[A-Za-z0-9-]+(?:(?: ?(?:\[ ?dot ?\]|\( ?dot ?\)|\{ ?dot ?\}) ?|\.| dot )[A-Za-z0-9-]+)*(?: ?(?:\[ ?dot ?\]|\( ?dot ?\)|\{ ?dot ?\}) ?|\.| dot )[A-Za-z]{2,}|(?: at | AT |_at_)[A-Za-z0-9-]+(?:(?: dot | DOT |_dot_|\.)[A-Za-z0-9-]+)*(?: dot | DOT |_dot_)[A-Za-z]{2,})(?![\w@:/])",
     re.I,
 )
+_WORDS = rf"[{_UP}][\w'’.-]*(?: (?:(?:de la|de los|del|de|du|des|la|le|der|dem|am|an der) )?[{_UP}][\w'’.-]*){{0,3}}"
+_PLACE = rf"(?:{_HOUSE},? {_WORDS}|{_WORDS},? {_HOUSE})"
+_JOIN = r"(?: ?[,\n/] ?| - | \(| (?:in|at|near|bei|zu|à|en) | )"
+#: A street and a number with a town in any order; counts only where a trusted pattern accepts it.
+LOOSE_ADDRESS = re.compile(rf"(?<![\w@#/.-])(?:{_UNIT}, ?)?(?:{_PLACE}(?:, ?{_UNIT})?{_JOIN}(?:(?:{_CODE}),? )?{_TOWN}(?:,? (?:{_CODE}))?|(?:(?:{_CODE}),? )?{_TOWN}(?:,? (?:{_CODE}))?{_JOIN}{_PLACE})(?![\w@])")
+_AT = r"(?: ?[\[({<*_-] ?(?:at|ät|a|@|arobase|arroba) ?[\])}>*_-] ?| (?:at|ät|arobase|arroba) | ?@ ?)"
+_DOT = r"(?: ?[\[({<*_-] ?(?:dot|punkt|point|punto|\.) ?[\])}>*_-] ?| (?:dot|punkt|point|punto) |\.)"
+#: A mail address with other signs or words for @ and the dot; counts only where a trusted pattern accepts it.
+LOOSE_EMAIL = re.compile(rf"(?<![\w.+%@/-])[\w.+%-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*{_DOT}[A-Za-z]{{2,}}(?![\w@:/(])", re.I)
 NUMBER = re.compile(
     r"(?<![\w.+@#=&%/-])(?:\(?\+\d{1,3}\)?|\(\d{2,5}\)|\d{1,11}|[A-Z]{1,6} ?-?(?=\d))(?:[A-Z]{0,7}\d*)*(?:(?: ?[/.-] ?| )?\(?(?:\d[\dA-Z]*|[A-Z]{1,2}(?![\w]))\)?)*(?: ?(?:ext\.?|x|Durchwahl|poste|DW) ?\d{1,5})?(?![\w@])"
 )
@@ -102,7 +115,7 @@ def shape_of(text: str) -> str:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str, str, str, bool, list[str]]]:
-    """(start, end, kind, instance, type seeded, seed?, patterns) of a text; kinds: address, email, number, name. They never overlap."""
+    """(start, end, kind, instance, type seeded, seed?, patterns) of a text; kinds: address, email, number, name. Only the looser addresses, which are no seeds, may overlap others."""
     taken: list[tuple[int, int]] = []
 
     def free(a: int, b: int) -> bool:
@@ -111,13 +124,19 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str, str, bool, list[
     for m in ADDRESS.finditer(text):
         a, b = m.span()
         taken.append((a, b))
-        yield a, b, "address", re.sub(r"[^\W\d_]+", "w", shape_of(m[0])), "address", True, patterns_around(text[:a], text[b:])
-    for pattern, plain in ((EMAIL, True), (HIDDEN_EMAIL, False)):
+        yield a, b, "address", m[0].lower(), "address", True, patterns_around(text[:a], text[b:])
+    for pattern in (EMAIL, HIDDEN_EMAIL):
         for m in pattern.finditer(text):
             a, b = m.span()
             if free(a, b):
                 taken.append((a, b))
-                yield a, b, "email", "plain" if plain else re.sub(r"[\w.+%-]+?(?=\W)|\w+", "w", m[0]), "email", True, patterns_around(text[:a].removesuffix("<").removesuffix("mailto:"), text[b:].removeprefix(">"))
+                yield a, b, "email", m[0].lower(), "email", True, patterns_around(text[:a].removesuffix("<").removesuffix("mailto:"), text[b:].removeprefix(">"))
+    for pattern, kind in ((LOOSE_ADDRESS, "address"), (LOOSE_EMAIL, "email")):
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            b += text.count("(", a, b) > text.count(")", a, b) and text[b : b + 1] == ")"
+            if free(a, b):
+                yield a, b, kind, text[a:b].lower(), kind, False, patterns_around(text[:a], text[b:])
     for pattern in (NUMBER, _SIMPLE_ID):
         for m in pattern.finditer(text):
             a, b = m.span()
@@ -218,8 +237,8 @@ def score_graph(found: DataFrame, given: DataFrame, rounds: int = ROUNDS) -> tup
     typed = found.where("kind <> 'name'").select("kind", "instance", F.col("told").alias("pii_type"), "seed")
     numbers = typed.where("kind = 'number'").groupBy("instance").agg(F.avg((F.col("pii_type") == "phone").cast("double")).alias("phone"), F.avg((F.col("pii_type") == "id_number").cast("double")).alias("id_number"))
     numbers = numbers.select(F.lit("number").alias("kind"), "instance", F.expr("stack(2, 'phone', phone, 'id_number', id_number)").alias("pii_type", "share")).select("kind", "instance", "pii_type", F.col("share").alias("belief"))
-    fixed = typed.where("kind <> 'number'").select("kind", "instance", "pii_type", F.lit(1.0).alias("belief")).distinct()
-    start = cut(named.select("kind", "instance", "pii_type", F.col("seed").cast("double").alias("belief")).unionByName(numbers).unionByName(fixed))
+    addresses = typed.where("kind <> 'number'").groupBy("kind", "instance", "pii_type").agg(F.max(F.col("seed").cast("double")).alias("belief"))
+    start = cut(named.select("kind", "instance", "pii_type", F.col("seed").cast("double").alias("belief")).unionByName(numbers).unionByName(addresses))
     edges = cut(found.select("kind", "instance", F.explode("patterns").alias("pattern")).distinct())
     beliefs = start
     for turn in range(rounds):
@@ -252,15 +271,18 @@ def find_mentions(texts: DataFrame, given: DataFrame, rounds: int = ROUNDS) -> D
     keys = ["src_table", "src_field", "record_id", "start"]
     of = lambda t, col: F.max(F.when(F.col("pii_type") == t, F.col(col)))
     kinds = F.when(F.col("kind") == "name", F.array(F.lit("name"), F.lit("small"))).otherwise(F.array("kind"))
-    per_pattern = scores.groupBy("kind", "pattern").agg(*(of(t, "score").alias(t) for t in ("person_name", "phone", "id_number"))).select(F.explode(kinds).alias("kind"), "pattern", "person_name", "phone", "id_number")
-    known = beliefs.where("kind = 'name'").select("kind", "instance", F.col("belief").alias("known"))
+    per_pattern = scores.groupBy("kind", "pattern").agg(*(of(t, "score").alias(t) for t in TYPES)).select(F.explode(kinds).alias("kind"), "pattern", *TYPES)
+    known = beliefs.where("kind <> 'number'").select("kind", "instance", F.col("belief").alias("known"))
     own = [*keys, "stop", "kind", "instance", "told", "seed"]
     spread = found.unionByName(small).select(*own, F.explode_outer("patterns").alias("pattern"))
     best = lambda t: F.coalesce(F.max(t), F.lit(0.0)).alias(t)
-    rated = spread.join(per_pattern, ["kind", "pattern"], "left").groupBy(*own).agg(best("person_name"), best("phone"), best("id_number"), F.count("person_name").alias("heard"))
+    rated = spread.join(per_pattern, ["kind", "pattern"], "left").groupBy(*own).agg(*map(best, TYPES), F.count(F.coalesce("person_name", "address", "email")).alias("heard"))
     rated = rated.join(known, ["kind", "instance"], "left")
     pii_type = (
-        F.when(F.col("kind").isin("address", "email"), F.col("kind"))
+        F.when(F.col("kind").isin("address", "email") & F.col("seed"), F.col("kind"))
+        .when((F.col("kind") == "address") & (F.col("address") >= TRUST), F.lit("address"))
+        .when((F.col("kind") == "email") & (F.col("email") >= TRUST), F.lit("email"))
+        .when(F.col("kind").isin("address", "email") & (F.col("heard") == 0) & (F.col("known") >= TRUST), F.col("kind"))
         .when((F.col("kind") == "number") & F.col("seed"), F.col("told"))
         .when((F.col("kind") == "number") & (F.col("phone") >= TRUST) & (F.col("phone") >= F.col("id_number")), F.lit("phone"))
         .when((F.col("kind") == "number") & (F.col("id_number") >= TRUST), F.lit("id_number"))

@@ -56,3 +56,16 @@ def test_empty(spark):
     assert P.find_mentions(texts(spark, []), given).count() == 0
     assert P.find_mentions(texts(spark, [None, ""]), given).count() == 0
     assert P.find_mentions(texts(spark, ["a@lab.test"]), given.limit(0)).count() == 1
+
+
+LOOSE = ["parcel went to Brackwater, 12 Kestrel Avenue today", "parcel went to 9 Copper Lane in Osthaven today", "parcel went to 31 Harrow Road Lowmere today", "contact zo.hobor at lab punkt test for access", "contact mia_kelt [ät] kiosk.invalid for access"]
+LOOSE_DECOYS = ["12 Lane pipeline uses 3 Street View In Osthaven again", "look at main.py for details", "release 12 Kestrel Avenue in Beta form"]
+
+
+def test_looser_addresses_by_trusted_patterns(spark):
+    backing = [f"parcel went to {n} Orchard Street, {t} 4821{n} today" for n, t in enumerate(("Pinemouth", "Valcourt", "Easterby", "Torrelago", "Nordhalden", "Saint-Orvan"), 1)] + [f"contact {n}@lab.test for access" for n in ("ann", "bo", "cy", "dee")]
+    rows = [*backing, *LOOSE, *LOOSE_DECOYS]
+    got = {r["record_id"]: (r["pii_type"], rows[r["record_id"]][r["start"] : r["stop"]]) for r in P.find_mentions(texts(spark, rows), spark.createDataFrame(GIVEN_TABLE, "given string")).collect()}
+    at = len(backing)
+    assert [got.get(at + i) for i in range(len(LOOSE))] == [("address", "Brackwater, 12 Kestrel Avenue"), ("address", "9 Copper Lane in Osthaven"), ("address", "31 Harrow Road Lowmere"), ("email", "zo.hobor at lab punkt test"), ("email", "mia_kelt [ät] kiosk.invalid")]
+    assert not [got[i] for i in range(at + len(LOOSE), len(rows)) if i in got]

@@ -19,6 +19,8 @@ PHONE = r"\+[0-9]{1,3}[ .-]?[0-9(][0-9 ().-]{6,}[0-9]"
 LONG_NUMBER = r"\b[0-9]{6,}\b"
 SECRET_ASSIGNMENT = r"(?i)\b(api_?key|secret|token|passwd|password|access_?key|private_?key)(\s*[=:]\s*)[\"'][^\"'\n]{4,}[\"']"
 HOME_PATH = r"/(?:home|Users)/([A-Za-z0-9._-]+)"
+ANY_HASH = r"\b[0-9a-fA-F]{7,40}\b"
+USER_FOLDER = r"(?:/home/|/Users/|C:\\{1,2}Users\\{1,2})([A-Za-z0-9_.-]+)"
 DOTTED_MODULE = r"\b[a-z_][a-z0-9_]*(?:\.[a-z_][a-z0-9_]*){2,}\b"
 FILE_PATH = r"\b[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[A-Za-z]{1,5}\b"
 #: In the order in which a residual scan reports them: name -> (pattern, severity).

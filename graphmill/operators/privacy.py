@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import difflib
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from graphmill.functions import text as X
+from graphmill.operators.graph import components
 from graphmill.session import cut
 
 #: Category of each field of a node; all others go by their value.
@@ -119,6 +121,34 @@ def author_signals(df: DataFrame, text: str) -> DataFrame:
     return out.withColumn("risk", score).withColumn("level", F.when(score < 3, "LOW").when(score < 6, "MEDIUM").otherwise("HIGH"))
 
 
+#: Words for identifiers of people.
+IDENTIFIER_WORDS = ("customerid", "email", "ssn", "phone", "userid", "user_id", "customer_id")
+
+
+def all_author_signals(df: DataFrame, key: str, text: str, header: str, commit: str, commits: DataFrame) -> DataFrame:
+    """Every signal of the reference (key, emails, paths, hashes, numbers, identifiers, pr, provenance, risk, level).
+
+    Counts are of distinct matches, at most ten of a kind. ``header`` is searched for hashes and the number of the
+    pull request, ``commit`` (null where there is none) is the commit the text came with. Provenance is such a commit or
+    number, or a hash whose first seven characters are those of a commit with an author (commits: sha, author_name).
+    Risk is 3 an address, 2 a user's folder, 1 a hash, 2 an identifier word and 3 for provenance, at most 10; long
+    numbers are listed but add nothing.
+    """
+    body, head = F.coalesce(text, F.lit("")), F.coalesce(header, F.lit(""))
+    users = F.array_distinct(F.regexp_extract_all(body, F.lit(X.USER_FOLDER), F.lit(1)))
+    origin = F.when(F.col(commit) != "", F.array(commit)).otherwise(F.array().cast("array<string>"))
+    hashes = F.array_distinct(F.concat(X.distinct_matches(body, X.ANY_HASH), origin, X.distinct_matches(head, X.ANY_HASH)))
+    words = F.filter(F.array(*map(F.lit, IDENTIFIER_WORDS)), lambda w: F.contains(F.lower(body), w))
+    signals = df.select(key, F.col(commit).alias("__commit"), X.distinct_matches(body, X.EMAIL).alias("emails"), users.alias("paths"), hashes.alias("hashes"), X.distinct_matches(body, X.LONG_NUMBER).alias("numbers"), words.alias("identifiers"), F.nullif(F.regexp_extract(head, r"(?i)introduced_by_pr[=:\s]*([0-9]+)", 1), F.lit("")).alias("pr"))
+    known = commits.where("author_name <> ''").select(F.substring("sha", 1, 7).alias("short")).distinct()
+    hinted = signals.select(key, F.explode("hashes").alias("h")).select(key, F.substring("h", 1, 7).alias("short")).join(known, "short", "left_semi").select(key).distinct().withColumn("__hint", F.lit(True))
+    provenance = F.coalesce(F.col("__commit") != "", F.lit(False)) | F.col("pr").isNotNull() | F.coalesce("__hint", F.lit(False))
+    kinds = ("emails", "paths", "hashes", "numbers", "identifiers")
+    out = signals.join(hinted, key, "left").select(key, *(F.least(F.lit(10), F.size(k)).alias(k) for k in kinds), "pr", provenance.alias("provenance"))
+    risk = F.least(F.lit(10), 3 * F.col("emails") + 2 * F.col("paths") + F.col("hashes") + 2 * F.col("identifiers") + F.when(F.col("provenance"), 3).otherwise(0))
+    return out.withColumn("risk", risk).withColumn("level", F.when(F.col("risk") < 3, "LOW").when(F.col("risk") < 6, "MEDIUM").otherwise("HIGH"))
+
+
 @F.pandas_udf(BooleanType())
 def parses(source: pd.Series) -> pd.Series:
     """Whether a text is valid Python; null for null."""
@@ -147,6 +177,93 @@ def canonical_contributors(names: DataFrame, name: str) -> DataFrame:
     return keyed.join(numbered, "key", "left").select(name, F.col("placeholder").alias("contributor"))
 
 
+#: Names are alike above this Ratcliff-Obershelp ratio.
+ALIKE = 0.85
+
+
+def _most_edits(short: int, long: int) -> int:
+    """Most letters left out or put in between two texts of these lengths that may be alike; -1 if none may."""
+    return -(-(short + long) * 15 // 100) - 1
+
+
+def _parts(length: int, pieces: int) -> list[tuple[int, int]]:
+    return [(length * i // pieces, length * (i + 1) // pieces) for i in range(pieces)]
+
+
+def _own_keys(text: str) -> list[str]:
+    """Keys of a text as the shorter one: for each length of the longer, its pieces, one more than there may be edits."""
+    n, keys = len(text), []
+    for long in range(n, n * 2):
+        edits = _most_edits(n, long)
+        if edits >= long - n:
+            keys += [f"{n},{long},{i},{text[a:b]}" for i, (a, b) in enumerate(_parts(n, edits + 1))]
+    return keys
+
+
+def _other_keys(text: str) -> list[str]:
+    """Keys of a text as the longer one: what may have been a piece of a shorter text, as far off as edits may move it."""
+    n, keys = len(text), set()
+    for short in range(n // 2, n + 1):
+        edits, more = _most_edits(short, n), n - short
+        if edits >= more:
+            for i, (a, b) in enumerate(_parts(short, edits + 1)):
+                low, high = max(0, a - (edits - more) // 2), min(n - (b - a), a + (edits + more) // 2)
+                keys.update(f"{short},{n},{i},{text[at : at + b - a]}" for at in range(low, high + 1))
+    return list(keys)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _shorter_keys(names: pd.Series) -> pd.Series:
+    return names.map(_own_keys)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _longer_keys(names: pd.Series) -> pd.Series:
+    return names.map(_other_keys)
+
+
+@F.pandas_udf(BooleanType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    def one(x, y):
+        match = difflib.SequenceMatcher(None, x, y)
+        return match.quick_ratio() > ALIKE and (match.ratio() > ALIKE or difflib.SequenceMatcher(None, y, x).ratio() > ALIKE)
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def _grams(name: str) -> Column:
+    """All distinct runs of one to three characters."""
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(name) - (n - 1)), lambda i: F.substring(F.col(name), i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*(F.when(F.length(name) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3))))
+
+
+def merged_contributors(names: DataFrame, name: str) -> DataFrame:
+    """(name, contributor): names without case and outer blanks belong together if one contains the other or their ratio is above ``ALIKE``, and with all that are so linked.
+
+    Pairs are found without loss and verified: a contained name by its rarest run of three characters (itself, if
+    shorter) among the runs of the longer; an alike one because of n edits and n + 1 pieces one piece stays whole. Null
+    and blank names have no contributor and null names no row.
+    """
+    spelled = names.where(F.col(name).isNotNull()).select(name, F.lower(F.trim(name)).alias("id")).distinct()
+    known = cut(spelled.where("id <> ''").select("id").distinct())
+    runs = cut(known.select("id", F.explode(_grams("id")).alias("run")))
+    counts = runs.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = runs.where("length(run) = least(3, length(id))").join(counts, "run").groupBy("id").agg(F.min(F.struct("n", "run"))["run"].alias("run"))
+    within = rarest.join(runs.withColumnRenamed("id", "other"), "run").where("id <> other and contains(other, id)").select("id", "other")
+    short = known.select("id", F.explode(_shorter_keys("id")).alias("key"))
+    long = known.select(F.col("id").alias("other"), F.explode(_longer_keys("id")).alias("key"))
+    near = short.join(long, "key").where("id <> other").select("id", "other").distinct()
+    # changing a letter is one edit here and two there, so this drops no alike pair before Python reads it
+    close = near.where(F.levenshtein("id", "other") < F.ceil((F.length("id") + F.length("other")) * 15 / 100))
+    alike = close.where(_alike("id", "other"))
+    links = within.unionByName(alike).select(F.col("id").alias("source"), F.col("other").alias("target")).distinct()
+    keyed = cut(spelled.join(components(known, links), "id", "left").select(name, "component"))
+    return keyed.join(placeholders(keyed, "component", name, "CONTRIBUTOR_", 1), "component", "left").select(name, F.col("placeholder").alias("contributor"))
+
+
 def replace_words(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """(key, text) with every word of names (name, placeholder) replaced, whole words only, so the longest name wins by itself.
 

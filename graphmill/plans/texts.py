@@ -163,6 +163,7 @@ QUERIES = {
     "x7_nested_commits": lambda s, d: load(s, d, "pull_requests").where("commits is not null").select("record_id", F.array_join(F.transform(P.masked_commits(F.col("commits")), lambda c: F.concat_ws("|", c["sha"], c["message_head"])), "\n").alias("commits")),
     "x9_entities": x9_entities,
     "x10_contributors": lambda s, d: P.canonical_contributors(load(s, d, "commits_sample").select("author_name"), "author_name"),
+    "x10_merged_contributors": lambda s, d: P.merged_contributors(load(s, d, "commits_sample").select("author_name"), "author_name"),
     "x11_placeholders": lambda s, d: P.placeholders(_names(s, d), "name", "entity_id", "func_", 6),
     "x12_signatures": lambda s, d: _code(s, d).where("sig is not null").select("entity_id", P.masked_signature(F.col("sig")).alias("sig")),
     "x13_docstrings": x13_docstrings,
@@ -179,6 +180,7 @@ QUERIES = {
     "x23_unused_placeholders": x23_unused_placeholders,
     "x24_syntax": lambda s, d: _code(s, d).where("source is not null and kind <> 'config'").groupBy(P.parses("source").alias("parses")).agg(F.count("*").alias("n")),
     "x25_author_signals": lambda s, d: P.author_signals(_bodies(s, d), "body").drop("body"),
+    "x25_all_author_signals": lambda s, d: P.all_author_signals(load(s, d, "pull_requests"), "record_id", "body", "title", "merge_commit_sha", load(s, d, "commits_sample")),
     "x27_pii_scan": lambda s, d: _bodies(s, d).select("record_id", *(F.size(X.distinct_matches(F.col("body"), p)).alias(n.lower()) for n, (p, _) in X.RESIDUALS.items())),
     "x28_redacted_attributes": x28_redacted_attributes,
     "x29_name_similarity": x29_name_similarity,

@@ -50,6 +50,7 @@ def u8_dependencies(spark, sf):
 
 QUERIES = {
     "s8_csv_export": lambda s, d: files.with_json_columns(nodes(s, d).where("attrs is not null and map_contains_key(attrs, 'type') and size(attrs) = 1").select("id", "attrs")).distinct(),
+    "s8_csv_export_all": lambda s, d: files.with_json_columns(nodes(s, d).select("id", "attrs")).distinct(),
     "s11_flatten_commits": s11_flatten_commits,
     "s12_pull_requests": lambda s, d: load(s, d, "pull_requests").select("record_id", "number", "title", "user", F.array_join(F.transform(F.coalesce("commits", F.array().cast("array<struct<sha:string,message_head:string>>")), lambda c: F.substring(c["sha"], 1, 7)), ",").alias("commits")),
     "s16_text_of_markup": lambda s, d: load(s, d, "documents").where("text is not null").select("doc_id", F.md5(files.text_of_html(F.col("text"))).alias("plain")),
@@ -65,6 +66,7 @@ _M = r"m as (select relpath, length(t)::bigint size, sha256(t) sha256 from (sele
 
 SQL = {
     "s8_csv_export": "select distinct id, '{\"type\":\"' || attrs['type'] || '\"}' attrs from nodes where attrs is not null and len(map_keys(attrs)) = 1 and list_contains(map_keys(attrs), 'type')",
+    "s8_csv_export_all": "select distinct id, case when attrs is not null then '{' || array_to_string(list_transform(list_sort(map_keys(attrs)), lambda k: to_json(k)::varchar || ':' || coalesce(to_json(attrs[k])::varchar, 'null')), ',') || '}' end attrs from nodes",
     "s11_flatten_commits": "select sha, string_split(coalesce(message_head, ''), chr(10))[1] message_head, author_name, author_email, strftime(author_date, '%Y-%m-%d %H:%M:%S') author_date, coalesce(len(parents), 0)::int parents, html_url from commits_sample where sha is not null",
     "s12_pull_requests": "select record_id, number, title, \"user\", coalesce(array_to_string(list_transform(commits, lambda c: left(c.sha, 7)), ','), '') commits from pull_requests",
     "s16_text_of_markup": r"select doc_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^<>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&amp;', '&'), '\s+', ' ', 'g'), ' ')) plain from documents where text is not null",

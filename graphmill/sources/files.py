@@ -60,8 +60,12 @@ def read_json(spark: SparkSession, path: str, schema: str, lines: bool = True) -
 
 
 def with_json_columns(df: DataFrame) -> DataFrame:
-    """Arrays, maps and structs as JSON text, as CSV holds no nested values."""
-    return df.select(*(F.to_json(f.name).alias(f.name) if isinstance(f.dataType, ArrayType | MapType | StructType) else F.col(f.name) for f in df.schema.fields))
+    """Arrays, maps and structs as JSON text, as CSV holds no nested values; the keys of a map column are sorted."""
+
+    def fixed(f) -> Column:
+        return F.map_from_entries(F.array_sort(F.map_entries(f.name))) if isinstance(f.dataType, MapType) else F.col(f.name)
+
+    return df.select(*(F.to_json(fixed(f)).alias(f.name) if isinstance(f.dataType, ArrayType | MapType | StructType) else F.col(f.name) for f in df.schema.fields))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

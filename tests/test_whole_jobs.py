@@ -3,7 +3,9 @@
 import difflib
 import random
 
+from graphmill import plans
 from graphmill.operators import privacy as P
+from graphmill.sources import files
 
 
 def _linked(a, b):
@@ -77,3 +79,13 @@ def test_all_author_signals(spark):
     assert row(2) == (0, 0, 1, 0, 1, None, True, 6, "HIGH")
     assert row(3) == (0, 0, 1, 1, 0, None, True, 4, "MEDIUM")
     assert row(4) == (0, 0, 0, 0, 0, None, False, 0, "LOW")
+
+
+def test_csv_export_of_every_map(spark, tmp_path):
+    rows = [("a", {"type": "X", "size": "1"}), ("b", {"size": "1", "type": 'say "hi"\n'}), ("c", None), ("d", {}), ("e", {"z": None, "b": "\u00e4"})]
+    spark.createDataFrame(rows, "id string, attrs map<string,string>").write.parquet(str(tmp_path / "nodes.parquet"))
+    got = {r["id"]: r["attrs"] for r in plans.queries()["s8_csv_export_all"](spark, str(tmp_path)).collect()}
+    assert got == {"a": '{"size":"1","type":"X"}', "b": '{"size":"1","type":"say \\"hi\\"\\n"}', "c": None, "d": "{}", "e": '{"b":"\u00e4","z":null}'}
+    files.write_csv(spark.createDataFrame(rows, "id string, attrs map<string,string>"), str(tmp_path / "out"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
+    assert {r["id"]: r["attrs"] for r in back.collect()} == got

@@ -225,17 +225,24 @@ def silhouettes(rows: DataFrame, ks: range = range(2, 16), seed: int = 0) -> Dat
 
 
 def parameter_grid(rows: DataFrame, seeds: list[int], iterations: list[int], ks: list[int], inits: list[str]) -> DataFrame:
-    """Cost and silhouette of each combination."""
+    """Cost and silhouette of each combination.
+
+    A fit that settles before its limit of iterations is also the fit of every higher limit, so it is made once.
+    """
     rows.persist()
     judge = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     out = []
     try:
         for seed in seeds:
-            for n in iterations:
-                for k in ks:
-                    for init in inits:
-                        model = KMeans(k=k, seed=seed, maxIter=n, initMode=init).fit(rows)
-                        out.append((seed, n, k, init, float(model.summary.trainingCost), float(judge.evaluate(model.transform(rows)))))
+            for k in ks:
+                for init in inits:
+                    settled, figures = False, ()
+                    for n in sorted(iterations):
+                        if not settled:
+                            model = KMeans(k=k, seed=seed, maxIter=n, initMode=init).fit(rows)
+                            settled = model.summary.numIter < n
+                            figures = (float(model.summary.trainingCost), float(judge.evaluate(model.transform(rows))))
+                        out.append((seed, n, k, init, *figures))
     finally:
         rows.unpersist()
     return rows.sparkSession.createDataFrame(out, "seed int, iterations int, k int, init string, cost double, silhouette double")

@@ -76,7 +76,7 @@ def w11_word_replacement(spark, sf):
 def m13_predictions(spark, sf):
     """Clusters of all customers by a model fitted on them."""
     rows = _rows(spark, sf)
-    model = S.kmeans_model(rows, seeds=range(1))
+    model = S.kmeans_model(rows)
     return model.transform(rows).select("customer_id", F.col("prediction").alias("cluster"))
 
 

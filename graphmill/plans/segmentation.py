@@ -14,6 +14,9 @@ from graphmill.sources import load
 
 FEATURES = ["total_transactions", "total_products_purchased", "total_spend", "unique_products_purchased", "average_transaction_value"]
 
+#: The survey's grid of 6 x 4 x 3 x 2 runs.
+GRID = {"seeds": [1, 2, 5, 10, 20, 50], "iterations": [100, 250, 500, 1000], "ks": [3, 4, 8], "inits": ["k-means||", "random"]}
+
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """Numeric features per customer with a cluster from the market segment."""
@@ -59,7 +62,7 @@ def _rows(spark, sf):
 
 def m8_kmeans(spark, sf):
     rows = _rows(spark, sf)
-    return S.clustered(rows, S.kmeans_model(rows, seeds=range(3)), "customer_id")
+    return S.clustered(rows, S.kmeans_model(rows), "customer_id")
 
 
 def a13_top_products(spark, sf):
@@ -88,9 +91,9 @@ QUERIES = {
     "m7_isolation_forest": lambda s, d: S.isolation_outliers(features(s, d), "customer_id", FEATURES),
     "pj6_inliers": lambda s, d: S.isolation_outliers(features(s, d), "customer_id", FEATURES).where("is_outlier = 0").select("customer_id"),
     "m8_kmeans": m8_kmeans,
-    "m9_silhouette_sweep": lambda s, d: S.silhouettes(_rows(s, d), range(2, 6)),
-    "m11_parameter_grid": lambda s, d: S.parameter_grid(_rows(s, d), [0, 1], [10], [3], ["k-means||", "random"]),
-    "m12_forest_regression": lambda s, d: S.forest_regression(features(s, d), FEATURES[:2], "total_spend", "customer_id", trees=5),
+    "m9_silhouette_sweep": lambda s, d: S.silhouettes(_rows(s, d)),
+    "m11_parameter_grid": lambda s, d: S.parameter_grid(_rows(s, d), **GRID),
+    "m12_forest_regression": lambda s, d: S.forest_regression(features(s, d), FEATURES[:2], "total_spend", "customer_id"),
     "a13_top_products": a13_top_products,
     "a14_purchases": lambda s, d: R.purchases(cleaned(s, d), customers(s, d)),
     "j5_without_outliers": j5_without_outliers,

@@ -3,8 +3,12 @@
 import difflib
 import random
 
+import pytest
+from pyspark.ml.linalg import Vectors
+
 from graphmill import plans
 from graphmill.operators import privacy as P
+from graphmill.operators import stats as S
 from graphmill.sources import files
 
 
@@ -89,3 +93,29 @@ def test_csv_export_of_every_map(spark, tmp_path):
     files.write_csv(spark.createDataFrame(rows, "id string, attrs map<string,string>"), str(tmp_path / "out"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out"))
     assert {r["id"]: r["attrs"] for r in back.collect()} == got
+
+
+def test_models_are_registered_over_the_whole_job(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(S, "parameter_grid", lambda rows, seeds, iterations, ks, inits: asked.update(grid=len(seeds) * len(iterations) * len(ks) * len(inits)))
+    monkeypatch.setattr(S, "silhouettes", lambda rows, ks=S.silhouettes.__defaults__[0], seed=0: asked.update(ks=list(ks)))
+    monkeypatch.setattr(S, "forest_regression", lambda *a, trees=S.forest_regression.__defaults__[1], **k: asked.update(trees=trees))
+    default = S.kmeans_model.__defaults__[1]
+
+    class Model:
+        def transform(self, rows):
+            return rows.selectExpr("customer_id", "0 prediction")
+
+    monkeypatch.setattr(S, "kmeans_model", lambda rows, k=3, seeds=default, iterations=100: asked.setdefault("fits", []).append(len(seeds)) or Model())
+    for name in ("m8_kmeans", "m9_silhouette_sweep", "m11_parameter_grid", "m12_forest_regression", "m13_predictions"):
+        plans.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked == {"grid": 144, "ks": list(range(2, 16)), "trees": 20, "fits": [10, 10]}
+
+
+def test_grid_without_repeated_fits(spark):
+    rows = spark.createDataFrame([(i, Vectors.dense([float(i % 7), float(i * i % 11)])) for i in range(40)], ["k", "features"])
+    both = {tuple(r)[:4]: tuple(r)[4:] for r in S.parameter_grid(rows, [1], [1, 50, 100], [3], ["random"]).collect()}
+    for n in (1, 50, 100):
+        (alone,) = S.parameter_grid(rows, [1], [n], [3], ["random"]).collect()
+        assert both[(1, n, 3, "random")] == pytest.approx((alone["cost"], alone["silhouette"]))
+    assert both[(1, 1, 3, "random")] != both[(1, 50, 3, "random")]

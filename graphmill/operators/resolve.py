@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphmill.operators.graph import first_by_priority, slashed
+from graphmill.session import cut
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -104,6 +105,70 @@ def by_path_suffix(targets: DataFrame, entities: DataFrame) -> DataFrame:
     return pairs.select("target_id", "entity_id", F.round(reduce(lambda a, b: a + b, points), 2).alias("score"))
 
 
+def _runs(text: str) -> Column:
+    """All distinct runs of one to three characters."""
+
+    def of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(F.col(text), i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*(F.when(F.length(text) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3))))
+
+
+def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole): every pair of parts (part) and wholes (whole) of which the second contains the first; empty texts give none.
+
+    Nothing is lost: a part is looked up by its run of three characters (itself, if shorter) that is rarest among the wholes.
+    """
+    runs = cut(wholes.where("whole <> ''").distinct().select("whole", F.explode(_runs("whole")).alias("run")))
+    own = parts.where("part <> ''").distinct().select("part", F.explode(_runs("part")).alias("run")).where("length(run) = least(3, length(part))")
+    counts = runs.groupBy("run").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "run", "left").groupBy("part").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "run"))["run"].alias("run"))
+    return rarest.join(runs, "run").where(F.contains("whole", "part")).select("part", "whole")
+
+
+def best_entities(targets: DataFrame, entities: DataFrame, k: int = 3) -> DataFrame:
+    """(target_id, entity_id, score, rank): the k best of all entities for targets (target_id, path, name), without case.
+
+    Entities are (entity_id, path, name, sig, first, last). Path ends with +5, contains +2 (both, then), equal last two
+    segments +3.5, each of name and signature equal +3 or containing +1.5, a first or last line +0.5, .py +0.1; an
+    empty path or name gives no points. Entities without points count only where no entity has any, those with the base
+    name in their path first.
+
+    All with points for path or name are found by containment; of the others, which differ only by line and .py, no more
+    than the k best of all entities can be among the k best.
+    """
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    base = F.regexp_extract("want", "([^/]+)/*$", 1)
+    t = cut(targets.select("target_id", low(slashed(F.col("path"))).alias("want"), low(F.col("name")).alias("want_name")))
+    asks = cut(t.select("want", "want_name").distinct().withColumn("base", base))
+    has_line = F.col("first").isNotNull() | F.col("last").isNotNull()
+    own = F.when(has_line, 0.5).otherwise(0.0) + F.when(F.col("have").endswith(".py"), 0.1).otherwise(0.0)
+    e = cut(entities.select("entity_id", low(slashed(F.col("path"))).alias("have"), low(F.col("name")).alias("name"), low(F.col("sig")).alias("sig"), "first", "last").select("entity_id", "have", "name", "sig", own.alias("own")))
+    paths = contained(asks.select(F.col("base").alias("part")), e.select(F.col("have").alias("whole")))
+    names = contained(asks.select(F.col("want_name").alias("part")), e.select(F.explode(F.array("name", "sig")).alias("whole")))
+    keys = ["want", "want_name", "base", "entity_id"]
+    by_path = asks.join(paths, F.col("base") == F.col("part")).join(e, F.col("whole") == F.col("have")).select(keys)
+    named = names.join(e.select("entity_id", F.explode(F.array_distinct(F.array("name", "sig"))).alias("whole")), "whole").select("part", "entity_id").distinct()
+    by_name = asks.join(named, F.col("want_name") == F.col("part")).select(keys)
+    top = e.orderBy(F.desc("own"), "entity_id").limit(k).select("entity_id")
+    # an entity without any point may still have the base name in its path; those come with by_path
+    pairs = by_path.unionByName(by_name).unionByName(asks.crossJoin(F.broadcast(top)).select(keys)).distinct().join(e, "entity_id")  # k rows
+    two = lambda c: F.substring_index(F.col(c), "/", -2)
+    asked, called = F.col("want") != "", F.col("want_name") != ""
+    points = [
+        F.when(asked & F.col("have").endswith(F.col("want")), 5.0).otherwise(0.0),
+        F.when(asked & F.col("have").contains(F.col("want")), 2.0).otherwise(0.0),
+        F.when(asked & (two("have") == two("want")), 3.5).otherwise(0.0),
+        *(F.when(called & (F.col(c) == F.col("want_name")), 3.0).when(called & F.col(c).contains(F.col("want_name")), 1.5).otherwise(0.0) for c in ("name", "sig")),
+        F.col("own"),
+    ]
+    relaxed = (F.col("base") != "") & F.col("have").contains(F.col("base"))
+    scored = pairs.select("want", "want_name", "entity_id", F.round(reduce(lambda a, b: a + b, points), 2).alias("score"), relaxed.alias("relaxed"))
+    ranked = top_k(scored, ["want", "want_name"], [F.desc("score"), F.when(F.col("score") > 0, F.lit(True)).otherwise(F.col("relaxed")).desc(), F.col("entity_id")], k)
+    most = ranked.withColumn("most", F.max("score").over(Window.partitionBy("want", "want_name"))).where("score > 0 or most = 0")
+    return t.join(most.select("want", "want_name", "entity_id", "score", "rank"), ["want", "want_name"]).select("target_id", "entity_id", "score", "rank")
+
+
 def vote(calls: DataFrame, least: int = 2) -> DataFrame:
     """(name, place, status) from calls (name, file): the file of most calls, else the directory of most, with at least ``least`` votes; ties are ambiguous."""
     per_file = calls.groupBy("name", "file").agg(F.count("*").alias("votes"))

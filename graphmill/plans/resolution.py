@@ -87,6 +87,13 @@ def g10_target_resolution(spark, sf):
     return V.top_k(V.by_path_suffix(targets, entities), ["target_id"], [F.desc("score"), F.col("entity_id")], 3)
 
 
+def g10_best_of_all(spark, sf):
+    """The three best of all entities for each mapped target."""
+    targets = load(spark, sf, "target_ast_map").select(F.col("map_id").alias("target_id"), "path", F.col("chosen_neighbor.label").alias("name"))
+    entities = load(spark, sf, "code_entities_full").select("entity_id", F.col("relpath").alias("path"), "name", "sig", F.col("lineno").alias("first"), F.col("end_lineno").alias("last"))
+    return V.best_entities(targets, entities)
+
+
 def j21_location_triage(spark, sf):
     """Function nodes by how their location can be found: exact name, the only short name, several, none."""
     want = nodes(spark, sf).where("node_type = 'Function' and qualified_name is not null").select("id", "qualified_name").distinct().withColumn("short", F.substring_index("qualified_name", ".", -1))
@@ -186,6 +193,7 @@ QUERIES = {
     "j22_older_precedence": j22_older_precedence,
     "j23_attach_spans": j23_attach_spans,
     "g10_target_resolution": g10_target_resolution,
+    "g10_best_of_all": g10_best_of_all,
     "a29_location_votes": a29_location_votes,
     "w9_dominance": w9_dominance,
     "w10_second_newest": w10_second_newest,

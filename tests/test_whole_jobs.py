@@ -8,6 +8,7 @@ from pyspark.ml.linalg import Vectors
 
 from graphmill import plans
 from graphmill.operators import privacy as P
+from graphmill.operators import resolve as V
 from graphmill.operators import stats as S
 from graphmill.sources import files
 
@@ -119,3 +120,34 @@ def test_grid_without_repeated_fits(spark):
         (alone,) = S.parameter_grid(rows, [1], [n], [3], ["random"]).collect()
         assert both[(1, n, 3, "random")] == pytest.approx((alone["cost"], alone["silhouette"]))
     assert both[(1, 1, 3, "random")] != both[(1, 50, 3, "random")]
+
+
+def _score(target, entity):
+    path, name = ((x or "").lower().replace("\\", "/") for x in target[1:])
+    _, have, own_name, sig, first, last = entity
+    have = (have or "").lower().replace("\\", "/")
+    score = (5 * have.endswith(path) + 2 * (path in have) + 3.5 * (have.split("/")[-2:] == path.split("/")[-2:])) if path else 0.0
+    for f in (own_name, sig):
+        f = (f or "").lower()
+        score += (3 if f == name else 1.5 if name in f else 0) if name and f else 0
+    return round(score + 0.5 * (first is not None or last is not None) + 0.1 * have.endswith(".py"), 2)
+
+
+def test_best_entities_equal_all_pairs(spark):
+    rng = random.Random(9)
+    folders, bases, words = ["src", "dags/src", "lib", ""], ["a.py", "ba.py", "Load.py", "conf.yml"], ["load", "load_data", "Run", "x", "reload"]
+    path = lambda: rng.choice([None, "\\".join((rng.choice(folders), rng.choice(bases))), "/".join((rng.choice(folders), rng.choice(bases))), rng.choice(bases)])
+    entities = [(i, path(), rng.choice([None, *words]), rng.choice([None, f"def {rng.choice(words)}(a)"]), rng.choice([None, 3]), None) for i in range(60)]
+    targets = [(i, path(), rng.choice([None, *words, "nowhere"])) for i in range(50)]
+    schema = "entity_id long, path string, name string, sig string, first int, last int"
+    for some in (entities, [(1, "x/conf.yml", None, None, None, None), (0, "y", "q", None, None, None)]):
+        df = V.best_entities(spark.createDataFrame(targets, "target_id long, path string, name string"), spark.createDataFrame(some, schema))
+        got = {}
+        for r in df.orderBy("target_id", "rank").collect():
+            got.setdefault(r["target_id"], []).append((r["entity_id"], r["score"]))
+        for t in targets:
+            want = sorted(((_score(t, e), e[0]) for e in some), key=lambda x: (-x[0], x[1]))[:3]
+            if some is entities or want[0][0] > 0:
+                assert got[t[0]] == [(i, s) for s, i in want if s > 0], t
+            else:
+                assert len(got[t[0]]) >= 1 and got[t[0]][0][0] == (1 if t[1] and t[1].endswith("conf.yml") else 0), t

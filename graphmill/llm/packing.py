@@ -1,12 +1,13 @@
 """Filling containers of fixed capacity with items of varying length.
 
 Only the histogram of lengths (at most one row per length up to the capacity) reaches the driver. The
-configuration linear program over it, min sum x_p with sum_p a(p, s) x_p >= n(s) for every length s, is
-solved by multiplicative weights: each round prices the lengths, a knapsack dynamic program finds the
-pattern of highest price, and the weights of the lengths it serves shrink. The averaged patterns are
-rounded to whole containers, fullest patterns first; what is left over, an integral remainder of the
-histogram, is packed best-fit from the longest length down. The best price vector met is a dual solution
-and so gives a lower bound of the number of containers.
+configuration linear program over it, min sum x_p with sum_p a(p, s) x_p >= n(s) for every length s, gives
+the prices: each round prices the lengths by multiplicative weights, a knapsack dynamic program finds the
+pattern of highest price, and whole containers of it are committed greedily until one of its lengths runs
+short; the weights of the lengths it serves shrink. There is no fractional solution that would be averaged
+and rounded. What is left over is packed best-fit from the longest length down. The best price vector met
+while every length can still be served is a dual solution and so gives a lower bound of the number of
+containers.
 
 Items are then matched to the pattern slots of their length by their rank within the length. Ranks are
 counted per (length, salt), so that a length which a third of all items share is spread over many tasks.

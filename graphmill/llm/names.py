@@ -16,15 +16,18 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphmill.session import cut, tidy
 
+#: Up to so many known given names go to the workers; beyond, the words of each signature are joined with them.
 MOST_NAMES = 50_000
-MAX_ROUNDS = 12
+#: Left rows of a pair that one task joins with the whole group.
+PAIR_ROWS = 2_000
 #: Words of organisation names, legal forms, role mailboxes and what people add to names and logins.
 ORG_WORDS = frozenset("lab labs research partners systems works logistics analytics data commerce retail insight insights basket group holding team studio university institute foundation technologies software solutions services consulting media bank trust agency".split())
 LEGAL_FORMS = frozenset("gmbh ag ltd limited llc inc corp co plc sa sas sarl srl spa bv nv oy ab kg kgaa se".split())
@@ -64,10 +67,11 @@ def near(a: str, b: str) -> bool:
 
 
 def claims_of_login(login: str, known: frozenset[str]) -> list[tuple[str, str, bool]]:
-    """(given or initial, family, told) readings of a login or the local part of an address; told: by a separator. Without one, every known given name at either end and both initials are tried."""
-    login = _LOGIN_TAIL.sub("", re.sub(r"\d+$", "", fold(login)).strip("-_."))
+    """(given or initial, family, told) readings of a login or the local part of an address; told: by a separator. Without one, every known given name at either end and both initials are tried, unless the word ends in a number: that is an invented handle, which tells nothing about a name."""
+    whole = fold(login).strip("-_.")
+    login = _LOGIN_TAIL.sub("", re.sub(r"\d+$", "", whole).strip("-_."))
     parts = [p for p in re.split(r"[._-]+", login) if p]
-    if not all(p.isalpha() for p in parts):
+    if not all(p.isalpha() for p in parts) or len(parts) == 1 and re.search(r"\d{2,}$", whole):
         return []
     if len(parts) == 2:
         a, b = parts
@@ -188,14 +192,14 @@ def read_signature(name: str | None, email: str | None, login: str | None, known
         claims += [(given, f, True) for g, f, t in told if f != family and (g[0] == given[0] or t and len(given) > 1)]
     elif claims and claims[0][1] in fold(local + stem):
         claims = [(claims[0][0], claims[0][1], True)]
-    return sorted({c for c in claims if c[0] and len(c[1]) >= 3}), sorted(set(keys))
+    return sorted({c for c in claims if c[0] and len(c[1]) >= 2}), sorted(set(keys))
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component of edges (a, b), by least-neighbour rounds with pointer jumping."""
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     roots = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
-    for _ in range(rounds):
+    while True:  # every round lowers a root or is the last
         least = both.join(roots.select(F.col("node").alias("b"), F.col("root").alias("seen")), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         step = roots.join(least, "node").select("node", F.col("root").alias("old"), F.least("root", "seen").alias("root"))
         jump = step.alias("s").join(roots.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
@@ -208,33 +212,57 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     return roots
 
 
-def _given_known(signatures: DataFrame, given: DataFrame) -> frozenset[str]:
-    """Given names: those listed, and words that stand beside at least six different others in names of two words."""
+def given_names_of(signatures: DataFrame, listed: DataFrame) -> DataFrame:
+    """(word): given names, folded. Those listed, and learned ones: words that stand beside at least six different others in names of two words, most of which stand beside fewer than half as many (so a common family name is none, however many people there are)."""
+    folded = F.pandas_udf(lambda s: s.map(lambda x: fold(x).strip(".,"), na_action="ignore"), "string")
     plain = F.coalesce("author_name", "user_login")
-    two = signatures.select(F.split(F.trim(plain), r"[ ,]+").alias("w")).where("size(w) = 2").select(F.col("w")[0].alias("x"), F.col("w")[1].alias("y"))
-    beside = two.unionByName(two.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("length(x) > 2 and length(y) > 3")
-    learned = beside.groupBy("x").agg(F.count_distinct("y").alias("n")).where("n >= 6").orderBy(F.desc("n"), "x").limit(MOST_NAMES)
-    rows = [r[0] for r in learned.select("x").collect()] + [r[0] for r in given.collect()]
-    return frozenset(x for x in (fold(r).strip(".,") for r in rows) if len(x) > 1 and x.isalpha() and x not in ORG_WORDS)
+    two = signatures.select(F.split(F.trim(plain), r"[ ,]+").alias("w")).where("size(w) = 2").select(F.col("w")[0].alias("x"), F.col("w")[1].alias("y")).where("length(x) > 1 and length(y) > 1").where(~F.col("x").rlike(r"^[A-Z]{2,4}$|\.$") & ~F.col("y").rlike(r"^[A-Z]{2,4}$|\.$")).distinct()
+    two = two.select(folded("x").alias("x"), folded("y").alias("y"))
+    beside = cut(two.unionByName(two.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("length(x) > 1 and length(y) > 1").distinct())
+    counts = beside.groupBy("x").agg(F.count("*").alias("n"))
+    weighed = beside.join(counts.where("n >= 6"), "x").join(counts.select(F.col("x").alias("y"), F.col("n").alias("m")), "y")
+    learned = weighed.groupBy("x").agg(F.avg((F.col("n") > 2 * F.col("m")).cast("double")).alias("share")).where("share >= 0.75").select(F.col("x").alias("word"))
+    return learned.unionByName(listed.select(folded("g").alias("word"))).where("length(word) > 1").where(F.col("word").rlike(r"^\p{L}+$") & ~F.col("word").isin(*sorted(ORG_WORDS))).distinct()
 
 
-def link_signatures(signatures: DataFrame, given_names: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def _words_of(name: str | None, email: str | None, login: str | None) -> list[str]:
+    """Every word that reading a signature may look up: its words, and all beginnings and ends of handles."""
+    found: set[str] = set()
+    for text in (_repaired(name or ""), login or "", (email or "").partition("@")[0], (email or "").partition("+")[2].partition("@")[0]):
+        for w in re.findall(r"[^\W\d_]+", fold(text)) + re.findall(r"[^\W\d_]+", fold(_CAMEL.sub(" ", text))):
+            found |= {w} | {w[:k] for k in range(2, len(w))} | {w[k:] for k in range(1, len(w) - 1)}
+    return sorted(w for w in found if len(w) > 1)
+
+
+def _with_known(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (sig, name, email, login) with the given names among their words; for when those do not fit into every worker."""
+    words = F.pandas_udf(lambda n, e, u: n.combine(e, lambda a, b: (a, b)).combine(u, lambda ab, c: _words_of(*ab, c)), "array<string>")
+    spread = rows.select("sig", F.explode(words("name", "email", "login")).alias("word"))
+    own = spread.join(known, "word").groupBy("sig").agg(F.collect_set("word").alias("known"))
+    return rows.join(own, "sig", "left")
+
+
+def link_signatures(signatures: DataFrame, given_names: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
     """(signature_id, entity): the least signature id of the same person or organisation, one row per signature.
 
     Signatures without any name, address and login stay alone; so do role addresses without a name. Repeated
     rows merge by their equal keys. Empty tables give an empty result.
     """
     listed = given_names.select(F.col("given_name").alias("g")).unionByName(given_names.select(F.col("short_form").alias("g"))).where("g is not null").distinct()
-    known = _given_known(signatures, listed)
+    given = cut(given_names_of(signatures, listed))
+    few = given.limit(most_names + 1).count() <= most_names
+    everywhere = frozenset(r["word"] for r in given.collect()) if few else None
+    rows = signatures.select(F.col("signature_id").cast("long").alias("sig"), F.col("author_name").alias("name"), F.col("author_email").alias("email"), F.col("user_login").alias("login"))
+    rows = rows.withColumn("known", F.lit(None).cast("array<string>")) if few else _with_known(rows, given)
     schema = pa.schema([("sig", pa.int64()), ("claims", pa.list_(pa.struct([("given", pa.string()), ("family", pa.string()), ("sure", pa.bool_())]))), ("keys", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [read_signature(n, e, u, known) for n, e, u in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+            each = [read_signature(n, e, u, frozenset(own or ()) if everywhere is None else everywhere) for n, e, u, own in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
             claims = [[{"given": g, "family": f, "sure": s} for g, f, s in c] for c, _ in each]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(claims, schema[1].type), pa.array([k for _, k in each], schema[2].type)], schema=schema)
 
-    read = cut(signatures.select(F.col("signature_id").cast("long"), "author_name", "author_email", "user_login").mapInArrow(run, "sig long, claims array<struct<given:string,family:string,sure:boolean>>, keys array<string>"))
+    read = cut(rows.select("sig", "name", "email", "login", "known").mapInArrow(run, "sig long, claims array<struct<given:string,family:string,sure:boolean>>, keys array<string>"))
     short = given_names.where("short_form is not null").select(F.lower("short_form").alias("given"), F.lower("given_name").alias("full"))
     claims = read.select("sig", F.explode("claims").alias("c")).select("sig", "c.given", "c.family", "c.sure")
     # a nickname that stands beside the same full name for several families is learned
@@ -245,7 +273,7 @@ def link_signatures(signatures: DataFrame, given_names: DataFrame, max_rounds: i
     fixed = cut(read.select("sig", F.explode("keys").alias("key")))
     labels = cut(read.select("sig", F.col("sig").alias("label")).distinct())
 
-    for turn in range(max_rounds):
+    for turn in count():  # every round merges profiles or is the last
         tidy(signatures.sparkSession)
         mine = claims.join(labels, "sig").groupBy("label", "given", "family").agg(F.max("sure").alias("sure"))
         mine = cut(mine)
@@ -261,7 +289,7 @@ def link_signatures(signatures: DataFrame, given_names: DataFrame, max_rounds: i
             half = lambda word, other, tag: F.explode(F.transform(F.sequence(F.lit(0), F.length(word)), lambda i: F.concat(F.lit(tag), F.when(i == 0, F.col(word)).otherwise(F.concat(F.substring(F.col(word), F.lit(1), i - 1), F.substring(F.col(word), i + 1, F.length(word)))), F.lit("|"), F.col(other))))
             by_family = united.where("length(family) >= 5").select("label", "sure", half("family", "given", "V").alias("key"))
             by_given = united.where("length(given) >= 4").select("label", F.lit(False).alias("sure"), half("given", "family", "G").alias("key"))
-            orgs = fixed.where("substring(key, 1, 1) in ('T', 't')").join(labels, "sig").select("label", (F.substring("key", 1, 1) == "t").alias("sure"), F.concat(F.lit("T"), F.substring("key", 2, 200)).alias("key"))
+            orgs = fixed.where("substring(key, 1, 1) in ('T', 't')").join(labels, "sig").select("label", (F.substring("key", 1, 1) == "t").alias("sure"), F.concat(F.lit("T"), F.expr("substring(key, 2)")).alias("key"))
             links = _to_least(named).unionByName(_to_confirmed(by_family.unionByName(by_given).unionByName(orgs))).unionByName(_initials(mine, united))
         links = cut(links.where("a <> b").distinct())
         if links.isEmpty() and turn:
@@ -297,10 +325,10 @@ def _initials(mine: DataFrame, united: DataFrame) -> DataFrame:
     return bare.join(target, "key").select(F.col("label").alias("a"), "b")
 
 
-def pairs_of(entities: DataFrame) -> DataFrame:
-    """(signature_a, signature_b) of the same entity, a < b; every pair of a group, as that is the result asked for."""
-    size = F.count("*").over(Window.partitionBy("entity"))
-    grouped = entities.withColumn("n", size).where("n > 1")
-    left = grouped.select("entity", F.col("signature_id").alias("signature_a"))
-    right = grouped.select("entity", F.col("signature_id").alias("signature_b"))
-    return left.join(right, "entity").where("signature_a < signature_b").select("signature_a", "signature_b")
+def pairs_of(entities: DataFrame, rows: int = PAIR_ROWS) -> DataFrame:
+    """(signature_a, signature_b) of the same entity, a < b; every pair of a group, as that is the result asked for. A group of more than ``rows`` rows is split on the left side and repeated on the right, so no task pairs all of it."""
+    sizes = entities.groupBy("entity").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / rows).cast("int"))
+    grouped = entities.join(sizes, "entity")
+    left = grouped.select("entity", F.pmod(F.xxhash64("signature_id"), F.col("parts")).cast("int").alias("part"), F.col("signature_id").alias("signature_a"))
+    right = grouped.select("entity", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("signature_id").alias("signature_b"))
+    return left.join(right, ["entity", "part"]).where("signature_a < signature_b").select("signature_a", "signature_b")

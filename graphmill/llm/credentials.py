@@ -2,7 +2,8 @@
 
 A scanner reads every text once and emits candidate values: literals, assigned words, parts of addresses
 and connection strings, header values, values named in comments, and private key blocks. Each candidate
-carries the identifier it belongs to, the syntax around it and the file it stands in. Patterns label some of
+carries the identifier it belongs to, the syntax around it and the file it stands in. Whole texts and whole
+values are read; identifier and syntax are found however far before the value they stand. Patterns label some of
 them weakly. Two character Markov models (values labelled as credentials, all other values) are counted over
 all candidates; their likelihood ratio per character joins features of identifier, syntax, value and path in
 a logistic regression, fitted on a bounded number of weakly labelled candidates (``MAX_FIT``, by hash, half of
@@ -17,7 +18,9 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +46,7 @@ AWAY_WORDS = frozenset("column name file path env type count length min max head
 _PLACEHOLDER = re.compile(
     r"^[\W_]*$|^[$@%][{(]?[\w.-]+[})@%]?$|^\$\w*$|^\$[({]|^\{\{?|\{[a-z_][\w.]*\}|^<[^>]*>$|^%\(|^@[\w.]+@$|\$\{|\{\{|^\{\w*\}$|^[*xX•.#?_-]{3,}$|x{5,}|X{5,}|\*{3,}|(?i:replace|change[-_ ]?me|your[-_ ]|example$|placeholder|dummy|redacted|todo|fixme|insert|<.*here>|not[-_ ]?set|undefined|^none$|^null$|^true$|^false$|^test$|^secret$|^password$|^token$|^changeit$|^required$|^optional$|^string$|^default$|^masked$)"
 )
-_PATHLIKE = re.compile(r"^(?:[a-zA-Z]:)?[./~\\]|^[\w.-]+(?:/[\w.{}-]+)+/?$|^\w+://[^:@]*$|\.(?:py|pem|json|ya?ml|txt|csv|parquet|key|crt|cfg|ini|toml|example|internal)$")
+_PATHLIKE = re.compile(r"^(?:[a-zA-Z]:)?[./~\\]|^data:\w+/|^[\w.-]+(?:/[\w.{}-]+)+/?$|^\w+://[^:@]*$|\.(?:py|pem|json|ya?ml|txt|csv|parquet|key|crt|cfg|ini|toml|example|internal)$")
 _HEX = re.compile(r"^(?:[0-9a-f]{24,}|[0-9A-F]{24,}|sha\d+:[0-9a-f]+|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})$")
 _UUID = re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-", re.I)
 
@@ -66,67 +69,115 @@ _SCAN: list[tuple[str, re.Pattern]] = [
     ("npmrc", re.compile(r":(?P<name>_(?:authToken|auth|password))=(?P<value>[^\s\"']+)")),
 ]
 _COMMENTED = [
-    ("said", re.compile(r"(?im)(?:#|//|;|--|<!--|\*|\"\"\")[^\n]*?\b(?P<name>password|passwd|pass|pw|pwd|key|token|secret|login|credentials?|kennwort|clave)[ \t]+(?:was|is|ist|=)\s+(?P<value>\S.*?)(?=\s{2,}|\s*\(|\s*-->|[ \t\r]*$)")),
+    ("said", re.compile(r"(?im)(?:#|//|;|--|<!--|\*|\"\"\")[^\n]*?\b(?P<name>password|passwd|pass|pw|pwd|key|token|secret|login|credentials?|kennwort|clave)[ \t]+(?:was|is|ist|=)\s+(?P<value>\S.*?)(?=\s{2,}|\s*\(|\s*-->|\s*\"\"\"|[ \t\r]*$)")),
     ("said", re.compile(r"(?im)(?:#|//|;|--|<!--|\*)[^\n]*?\b(?P<name>password|passwd|pass|pw|pwd|key|token|secret|credentials?|passphrase|kennwort|clave)\b[^:\n\"'=]{0,30}:[ \t]+(?P<value>\S.*?)(?=[ \t]*-->|[ \t\r]*$)")),
     ("said", re.compile(r"(?im)\b(?P<name>password|passwd|passphrase)[ \t]+(?P<value>[^\s\"'=:,]{5,})[ \t\r]*$")),
     ("said", re.compile(r"(?im)(?:#|//|;|--|<!--|\*)[^\n]*?\b(?P<name>log ?in|user|account|connect|signin)\b[^\n]{0,30}?[ \t]/[ \t](?P<value>\S.*?)(?=[ \t]*-->|[ \t\r]*$)")),
     ("said", re.compile(r"(?im)^[ \t]*(?:#|//|;|--|<!--)[ \t]*(?P<value>\S.*?)[ \t]*(?:<-+|<=|=>|->)[ \t]*[^\n]*?\b(?P<name>password|passwd|pw|key|token|secret|login)\b")),
 ]
-_BARE = re.compile(rf"(?m)(?:^[ \t]*(?:[#;]+[ \t]*|//[ \t]*|-[ \t]+)?|\b)(?:(?:export|set|ENV|ARG|RUN)[ \t]+)?(?P<name>[A-Za-z_][\w.-]*)(?:=|[ \t]*=[ \t]+|:[ \t]+)(?P<value>{_LINE_VALUE}(?:[ ]{_LINE_VALUE})*)(?=[ \t\r]*$|[ ]and\b)")
-_BARE_WORD = re.compile(rf"\b(?P<name>[A-Za-z_][\w-]*)=(?P<value>{_VALUE})")
+_BARE = re.compile(rf"(?m)\b(?P<name>[A-Za-z_][\w.-]*+)(?:=|[ \t]*=[ \t]+|:[ \t]+)(?P<value>{_LINE_VALUE}+(?:[ ]{_LINE_VALUE}+)*)(?=[ \t\r]*$|[ ]and\b)")
+_BARE_WORD = re.compile(rf"\b(?P<name>[A-Za-z_][\w-]*+)=(?P<value>{_VALUE}+)")
 _ENV = re.compile(r"(?m)^[ \t]*ENV[ \t]+(?P<name>\w+)[ \t]+(?P<value>[^\n]*?\S)[ \t\r]*$")
 _STRING = re.compile(r"(?<![\w\"'])(?:[rRuUbBfF]{0,2})(?:\"(?!\"\")(?P<a>(?:[^\"\\\n]|\\.)*)\"|'(?!'')(?P<b>(?:[^'\\\n]|\\.)*)')")
 _JOIN = re.compile(r"[ \t]*\\?\r?\n?[ \t]*(?:\+[ \t]*\\?\r?\n?[ \t]*)?(?:[rRuUbBfF]{0,2})(?:\"(?!\"\")((?:[^\"\\\n]|\\.)*)\"|'(?!'')((?:[^'\\\n]|\\.)*)')")
+#: What stands before a literal, read backwards from its quote: identifier, call or key, however far back it begins.
 _OF = {
-    "second": re.compile(r"(?P<call>[\w.]+)\(\s*[\"'](?P<name>[\w.@-]*)[\"']\s*,\s*$"),
-    "tuple": re.compile(r"(?P<name>[\w.]+)[ \t]*(?::[ \t]*\w+[ \t]*)?=\s*[\[(]\s*[\"'][\w.@ -]*[\"']\s*,\s*$"),
-    "index": re.compile(r"\[[\"'](?P<name>[\w.-]+)[\"']\]\s*=\s*\(?\s*$"),
-    "compare": re.compile(r"(?P<name>[\w.]+)\s*[=!]=\s*$"),
-    "wrapped": re.compile(r"(?P<name>[\w.-]+)[ \t]*(?::[ \t]*[\w\[\]. ]+)?[ \t]*=\s*(?P<call>[\w.]+)\(\s*$"),
-    "assign": re.compile(r"(?P<name>[\w.-]+)[\"']?[ \t]*(?::[ \t]*[\w\[\]. ]+)?[ \t]*=\s*\(?\s*$"),
-    "key": re.compile(r"[\"']?(?P<name>[\w.-]+)[\"']?\s*:\s*\(?\s*$"),
-    "argument": re.compile(r"(?P<name>[\w.]+)\((?:[^()\"']*,)?\s*$"),
+    "second": re.compile(r"\s*,\s*[\"'](?P<name>[\w.@-]*)[\"']\s*\((?P<call>[\w.]+)"),
+    "tuple": re.compile(r"\s*,\s*[\"'][\w.@ -]*[\"']\s*[\[(]\s*=(?:[ \t]*\w+[ \t]*:)?[ \t]*(?P<name>[\w.]+)"),
+    "index": re.compile(r"\s*\(?\s*=\s*\][\"'](?P<name>[\w.-]+)[\"']\["),
+    "compare": re.compile(r"\s*=[=!]\s*(?P<name>[\w.]+)"),
+    "wrapped": re.compile(r"\s*\((?P<call>[\w.]+)\s*=[ \t]*(?:[\w\[\]. ]+[ \t]*:)?[ \t]*(?P<name>[\w.-]+)"),
+    "assign": re.compile(r"\s*\(?\s*=[ \t]*(?:[\w\[\]. ]+[ \t]*:)?[ \t]*[\"']?(?P<name>[\w.-]+)"),
+    "key": re.compile(r"\s*\(?\s*:\s*[\"']?(?P<name>[\w.-]+)"),
+    "argument": re.compile(r"\s*(?:,[^()\"']*)?\((?P<name>[\w.]+)"),
 }
 #: Which of them can hold, by the last character before the literal.
-_BEFORE = {last: [(k, _OF[k]) for k in kinds.split()] for last, kinds in {"=": "compare index assign", ":": "key", "(": "index wrapped assign key argument", ",": "second tuple argument", "[": "", "{": ""}.items()}
-_OPEN = re.compile(r"([\w.]+)[ \t]*(?::[ \t]*[\w\[\]. ]+)?=\s*$")
-
-
-_CALL = re.compile(r"([\w.]+)$")
-
-
-def _open_list(text: str, at: int) -> tuple[str, str]:
-    """(identifier, syntax) of the call, list, tuple or dictionary that is open at this place, within 600 characters."""
-    low = max(0, at - 600)
-    opened = max(text.rfind(c, low, at) for c in "[({")
-    closed = max(text.rfind(c, low, at) for c in "])}")
-    if opened < 0 or closed > opened:
+_BEFORE = {last: [(k, _OF[k].match) for k in kinds.split()] for last, kinds in {"=": "compare index assign", ":": "key", "(": "index wrapped assign key argument", ",": "second tuple argument", "[": "", "{": ""}.items()}
+_LAST = re.compile(r"\s*(\S)").match
+_OPENER = re.compile(r"\s*=(?:[\w\[\]. ]+[ \t]*:)?[ \t]*([\w.]+)").match
+_CALLED = re.compile(r"[\w.]+").match
+_NOTE = re.compile(r"[^#\n]{0,4}#[ \t]*([^\n]*)").match
+_COLON = re.compile(r"[ \t]*:").match
+_BRACKET = re.compile(r"#[^\n]*|[\[\](){}]")
+_ARGUMENT = re.compile(r"[\w-]{2,}").fullmatch
+_FOREIGN = re.compile(r"://|\b[Bb]earer |\b[Bb]asic |[;&?]\w+=")
+_QUOTE_END = re.compile(r"[\"'](?=[\s,)}\]]|$)")
+_BREAKS = re.compile(r"\r?\n")
+
+
+class _Brackets:
+    """The calls, lists, tuples and dictionaries that are open at a place; places must be asked for in text order."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.open = text, 0, []
+
+    def go(self, to: int) -> None:
+        """Read the code up to here, which holds no literals."""
+        for m in _BRACKET.finditer(self.text, self.at, to):
+            c = m[0]
+            if c in "([{":
+                self.open.append([c, m.start(), "", False])
+            elif c in ")]}" and any(o[0] == "([{"[")]}".index(c)] for o in self.open):
+                while self.open.pop()[0] != "([{"[")]}".index(c)]:
+                    pass
+                if self.open:
+                    self.open[-1][3] = True
+        self.at = max(self.at, to)
+
+    def skip(self, to: int, value: str) -> None:
+        """A literal ends here."""
+        self.at = to
+        if self.open and _ARGUMENT(value):
+            self.open[-1][2] = value
+
+
+def _open_list(brackets: _Brackets, text: str, back: str) -> tuple[str, str]:
+    """(identifier, syntax) of the innermost bracket that is open, if nothing nested in it has closed yet."""
+    if not brackets.open or brackets.open[-1][3]:
         return "", "string"
-    before = text[max(0, opened - 80) : opened]
-    if text[opened] == "(" and (hit := _CALL.search(before)):
-        others = re.findall(r"[\"']([\w-]{2,})[\"']", text[opened:at])
-        return f"{hit[1]} {others[-1] if others else ''}".strip(), "argument"
-    hit = _OPEN.search(before)
-    return (hit[1], "list") if hit else ("", "string")
-
-
-#: Texts without any of these cannot match the pattern of that place in _SCAN and _COMMENTED, so it is not tried.
-_NEEDS = {"userinfo": ("://",), "attribute": ("value=", "content="), "scheme": ("earer", "asic", "BEARER"), "header": ("X-", "uthorization", "pi-", "pikey", "piKey", "PiKey", "Pi-", "rivate-"), "element": ("</",), "npmrc": (":_",), "said": ("#", "//", ";", "--", "*", "password", "passwd", "passphrase", "Pass", "PASS")}
+    kind, opened, last, _ = brackets.open[-1]
+    n = len(text)
+    if kind == "(" and (hit := _CALLED(back, n - opened)):
+        return f"{hit[0][::-1]} {last}".strip(), "argument"
+    hit = _OPENER(back, n - opened)
+    return (hit[1][::-1], "list") if hit else ("", "string")
+
+
+#: What a match of a pattern must hold, in small letters where it ignores case: every group, at least one of it. Nothing that could match is skipped.
+_WORDS_SAID = ("passw", "pass", "pw", "key", "token", "secret", "login", "log in", "credential", "kennwort", "clave")
+_MARKS = ("#", "//", ";", "--", "*", '"""')
+_NEEDS = [
+    [("://",)], [('"', "'"), (":",)], [("value=", "content=")], [("earer", "asic", "BEARER")], [("X-", "uthorization", "pi-", "piK", "pik", "Pi-", "rivate-")], [("?", "&", ";"), ("=",)], [("</",)], [("--",)],
+    [("curl", "wget", "http"), ("-u", "--user", "--proxy-user")], [("sshpass", "mysql", "mariadb", "redis-cli", "mongo"), (" -p", " -a")], [("export",)], [("echo",), ("--password-stdin", "--with-token", "--passphrase-fd")], [(":_",)],
+]
+_NEEDS_SAID = [[_MARKS, _WORDS_SAID], [_MARKS, _WORDS_SAID + ("passphrase",), (":",)], [("passw", "passphrase")], [_MARKS, ("log", "user", "account", "connect", "signin"), ("/ ", "/\t")], [("#", "//", ";", "--"), _WORDS_SAID, ("<-", "<=", "=>", "->")]]
+_SHAPE_STARTS = ("AKIA", "ASIA", "k_live_", "k_test_", "gh", "glpat-", "xox", "AIza", "eyJ", "npm_", "SG.")
+
+
+def _possible(needs: list[tuple[str, ...]], text: str) -> bool:
+    for group in needs:
+        for word in group:
+            if word in text:
+                break
+        else:
+            return False
+    return True
 
 
-def _possible(syntax: str, text: str) -> bool:
-    return any(n in text for n in _NEEDS.get(syntax, ("",)))
+SYNTAXES = ("userinfo", "pair", "attribute", "scheme", "header", "parameter", "element", "flag", "npmrc", "said", "bare", "env", "second", "tuple", "index", "compare", "wrapped", "assign", "key", "argument", "list", "string", "shape", "block")
 
 
-SYNTAXES = ("userinfo", "pair", "attribute", "scheme", "header", "parameter", "element", "flag", "npmrc", "said", "bare", "env", "second", "tuple", "index", "compare", "wrapped", "assign", "key", "argument", "list", "string", "shape", "block")
+_IDENTIFIER = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zß-ÿ]+|\d+")
 
 
-def identifier_words(name: str) -> list[str]:
+@lru_cache(1 << 15)
+def identifier_words(name: str) -> tuple[str, ...]:
     """Words of an identifier, small."""
-    words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-zß-ÿ]+|\d+", name)]
-    return [w[:-1] if len(w) > 4 and w.endswith("s") and w[:-1] in SECRET_WORDS else w for w in words]
+    words = [w.lower() for w in _IDENTIFIER.findall(name)]
+    return tuple(w[:-1] if len(w) > 4 and w.endswith("s") and w[:-1] in SECRET_WORDS else w for w in words)
 
 
+@lru_cache(1 << 16)
 def is_placeholder(value: str) -> bool:
     """Masks, variables, templates and words that stand for a value."""
     return bool(_PLACEHOLDER.search(value)) or len(set(value)) <= 2
@@ -134,80 +185,100 @@ def is_placeholder(value: str) -> bool:
 
 def scan(text: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(start, end, value, identifier, syntax) of the candidates of a text; they never overlap."""
-    taken = np.zeros(len(text) + 1, bool)
+    taken = bytearray(len(text) + 1)
+    find = taken.find
 
     def take(a: int, b: int) -> bool:
-        if b <= a or taken[a:b].any():
+        if b <= a or find(1, a, b) >= 0:
             return False
-        taken[a:b] = True
+        taken[a:b] = b"\1" * (b - a)
         return True
 
-    for m in PRIVATE_KEY.finditer(text):
-        end = m.end()
-        quote = re.search(r"[\"'](?=[\s,)}\]]|$)", text[m.start() : end]) if not m[0].rstrip().endswith("-----") else None
-        end = m.start() + quote.start() if quote else end
-        if take(m.start(), end):
-            yield m.start(), end, m[0][: end - m.start()], "private key", "block"
-    for m in PUBLIC_BLOCK.finditer(text):
-        taken[m.start() : m.end()] = True
-    for syntax, pattern in _SCAN:
-        for m in pattern.finditer(text) if _possible(syntax, text) else ():
+    if "-----BEGIN" in text:
+        for m in PRIVATE_KEY.finditer(text):
+            end = m.end()
+            quote = _QUOTE_END.search(text, m.start(), end) if not m[0].rstrip().endswith("-----") else None
+            end = quote.start() if quote else end
+            if take(m.start(), end):
+                yield m.start(), end, text[m.start() : end], "private key", "block"
+        for m in PUBLIC_BLOCK.finditer(text):
+            taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
+    for needs, (syntax, pattern) in zip(_NEEDS, _SCAN, strict=True):
+        if not _possible(needs, text):
+            continue
+        for m in pattern.finditer(text):
             g = m.groupdict()
             which = "value2" if g.get("value2") is not None else "value"
             a, b = m.span(which)
             inner = m[which]
-            if syntax == "pair" and (TOKEN_SHAPES.search(inner) is None) and re.search(r"://|\b[Bb]earer |\b[Bb]asic |[;&?]\w+=", inner):
+            if syntax == "pair" and _FOREIGN.search(inner) and (TOKEN_SHAPES.search(inner) is None):
                 continue
             if take(a, b):
                 yield a, b, inner, g.get("name2") or g["name"] or "", syntax
-    for syntax, pattern in _COMMENTED:
-        for m in pattern.finditer(text) if _possible(syntax, text) else ():
+    small = text.casefold()
+    for needs, (syntax, pattern) in zip(_NEEDS_SAID, _COMMENTED, strict=True):
+        if not _possible(needs, small):
+            continue
+        for m in pattern.finditer(text):
             a, b = m.span("value")
             if take(a, b):
                 yield a, b, m["value"], m["name"] or "key", syntax
-    at = 0
+    if '"' in text or "'" in text:
+        yield from _literals(text, taken, take)
+    if "=" in text or ":" in text:
+        for syntax, pattern in (("env", _ENV), ("bare", _BARE), ("bare", _BARE_WORD)):
+            if syntax != "env" or "ENV" in text:
+                for m in pattern.finditer(text):
+                    a, b = m.span("value")
+                    if take(a, b):
+                        yield a, b, m["value"], m["name"], syntax
+    elif "ENV" in text:
+        for m in _ENV.finditer(text):
+            a, b = m.span("value")
+            if take(a, b):
+                yield a, b, m["value"], m["name"], "env"
+    if any(start in text for start in _SHAPE_STARTS):
+        for m in TOKEN_SHAPES.finditer(text):
+            if take(*m.span()):
+                yield *m.span(), m[0], "", "shape"
+
+
+def _literals(text: str, taken: bytearray, take: Callable[[int, int], bool]) -> Iterator[tuple[int, int, str, str, str]]:
+    """The candidates among string literals that nothing else has taken."""
+    at, n, back, brackets = 0, len(text), text[::-1], _Brackets(text)
     while m := _STRING.search(text, at):
         which = "a" if m["a"] is not None else "b"
         a, b = m.span(which)
         at = m.end()
+        brackets.go(m.start())
         value, first_end = m[which], b
-        while follow := _JOIN.match(text, at):
-            if not re.search(r"\S", text[at : follow.start()] or " ") and (follow[1] is not None or follow[2] is not None):
-                value += follow[1] if follow[1] is not None else follow[2]
-                b = follow.end() - 1
-                at = follow.end()
-            else:
-                break
-        if not value or taken[a:first_end].any():
+        while (follow := _JOIN.match(text, at)) and not text[at : follow.start()].strip():
+            value += follow[1] if follow[1] is not None else follow[2]
+            b = follow.end() - 1
+            at = follow.end()
+        if not value or taken.find(1, a, first_end) >= 0:
+            brackets.skip(at, value)
             continue
-        before = text[max(0, a - 90) : m.start()]
-        name, syntax = "", "string"
-        last = before.rstrip()[-1:]
-        for kind, pattern in _BEFORE.get(last, ()):
-            if hit := pattern.search(before):
+        name, syntax, here = "", "string", n - m.start()
+        last = found[1] if (found := _LAST(back, here)) else ""
+        for kind, match in _BEFORE.get(last, ()):
+            if hit := match(back, here):
                 g = hit.groupdict()
-                name = f"{g['call']} {g['name']}" if kind == "second" else f"{g['name']} {g['call']}" if kind == "wrapped" else g["name"]
+                name = g["name"][::-1]
+                name = f"{g['call'][::-1]} {name}" if kind == "second" else f"{name} {g['call'][::-1]}" if kind == "wrapped" else name
                 syntax = kind
                 break
         else:
-            if last in ("[", "(", "{", ","):
-                name, syntax = _open_list(text, m.start())
-        tail = text[b + 1 : b + 60].split("\n")[0]
-        note = re.match(r"[^#\n]{0,4}#\s*(.*)", tail)
-        if note and set(identifier_words(note[1])) & SECRET_WORDS:
+            if last and last in "[({,":
+                name, syntax = _open_list(brackets, text, back)
+        brackets.skip(at, value)
+        note = _NOTE(text, b + 1)
+        if note and not SECRET_WORDS.isdisjoint(identifier_words(note[1])):
             name += " " + note[1]
-        if syntax in ("list", "string", "argument") and re.match(r"[ \t]*:", text[b + 1 : b + 9]):
+        if syntax in ("list", "string", "argument") and _COLON(text, b + 1):
             continue  # the key of an entry
         if take(a, b):
             yield a, b, value, name.strip(), syntax
-    for syntax, pattern in (("env", _ENV), ("bare", _BARE), ("bare", _BARE_WORD)):
-        for m in pattern.finditer(text):
-            a, b = m.span("value")
-            if take(a, b):
-                yield a, b, m["value"], m["name"], syntax
-    for m in TOKEN_SHAPES.finditer(text):
-        if take(*m.span()):
-            yield *m.span(), m[0], "", "shape"
 
 
 #: Words that name a secret whatever else they stand beside.
@@ -218,86 +289,167 @@ _STRONG = SECRET_WORDS - frozenset("key pin hook session login phrase sas sig si
 _SIGN_IN = frozenset("connect login authenticate auth signin logon connection client session engine".split())
 
 
+_SMALL, _CAPITAL, _NUMERAL, _SIGN = (re.compile(p).search for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s]|_"))
+_DIGIT = re.compile(r"\d").search
+_TELLING = re.compile(r"[A-Z ]|\d{2}").search
+_SHORT_SECRET = re.compile(r"(?=.*\d)[\dA-Za-z]{4}").fullmatch
+_PLAIN_WORDS = re.compile(r"[a-z ,.:_-]+|[A-Z_]+|\d+").fullmatch
+_TOOLS = re.compile("curl|wget|http|sshpass|mysql|maria|redis|mongo|password-stdin").match
+_KEY_BODY = re.compile(r"(?s)KEY(?: BLOCK)?-----(.*?)(?:-----END|\Z)").search
+
+
+@lru_cache(1 << 16)
 def weak_label(value: str, name: str, syntax: str) -> int:
     """1 credential, 0 not, -1 unknown or decided elsewhere: what plain patterns can tell."""
-    if syntax == "block" or len(value) < 5 or is_placeholder(value):
+    if syntax == "block":
+        body = _KEY_BODY(value)[1].strip("\\n \t\r\"'+")
+        return -1 if not body or is_placeholder(body) else 1
+    if is_placeholder(value):
         return -1
+    words = set(identifier_words(name))
+    secret, away, strong = not SECRET_WORDS.isdisjoint(words), not AWAY_WORDS.isdisjoint(words), not _STRONG.isdisjoint(words)
+    if len(value) < 5:
+        return -1 if secret and not away and _SHORT_SECRET(value) else 0
     if TOKEN_SHAPES.match(value):
         return 1
-    words = identifier_words(name)
-    secret, away, strong = bool(SECRET_WORDS & set(words)), bool(AWAY_WORDS & set(words)), bool(_STRONG & set(words))
-    digit = bool(re.search(r"\d", value))
-    mixed = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s]|_"))
+    digit = bool(_DIGIT(value))
+    mixed = sum(find(value) is not None for find in (_SMALL, _CAPITAL, _NUMERAL, _SIGN))
     if _PATHLIKE.search(value):
         return 0
-    if syntax in ("userinfo", "npmrc") or syntax == "scheme" and re.search(r"\d|=$", value) or syntax == "flag" and re.match("curl|wget|http|sshpass|mysql|maria|redis|mongo|password-stdin", name):
+    if syntax in ("userinfo", "npmrc") or syntax == "scheme" and (digit or value.endswith("=")) or syntax == "flag" and _TOOLS(name):
         return 1
     if "hmac" in words and digit and mixed >= 3 and len(value) >= 8:
         return 1
     if not secret:
-        if syntax == "argument" and digit and len(value) >= 8 and _SIGN_IN & set(words) and (mixed >= 3 or " " in name and re.search("[a-z]", value) and "." not in value):
+        if syntax == "argument" and digit and len(value) >= 8 and not _SIGN_IN.isdisjoint(words) and (mixed >= 3 or " " in name and _SMALL(value) and "." not in value):
             return 1
         if syntax == "compare" and digit and len(value) >= 8 and (mixed >= 3 or " " in value):
             return 1
         return 0 if syntax not in ("said", "compare", "argument", "second", "tuple", "header") or mixed < 3 else -1
-    if words and words[-1] in AWAY_WORDS:
+    if identifier_words(name)[-1] in AWAY_WORDS:
         return 0
     if not away:
         if mixed >= 3 and len(value) >= 8 and " " not in value:
             return 1
-        if strong and (_HEX.match(value) or digit and len(value) >= 8 and re.search("[a-z]", value) and value.count(" ") <= 5 and re.search(r"[A-Z ]|\d{2}", value)):
+        if strong and (_HEX.match(value) or digit and len(value) >= 8 and _SMALL(value) and value.count(" ") <= 5 and _TELLING(value)):
             return 1
-    if re.fullmatch(r"[a-z ,.:_-]+|[A-Z_]+|\d+", value):
+    if _PLAIN_WORDS(value):
         return 0
     return -1
 
 
-def features(value: str, name: str, syntax: str, path: str, ratio: float) -> np.ndarray:
-    """The feature vector; ``ratio`` is the Markov log-likelihood ratio per character."""
-    words = identifier_words(name)
+# ---- features: of the value, of the identifier and of the path, each kept for the next candidate that has the same
+
+_KINDS = str.maketrans({chr(o): "d" if chr(o).isdigit() else "u" if chr(o).isupper() else "l" if chr(o).islower() else "o" for o in range(128)})
+_LOWER_WORDS = re.compile(r"[a-z]+(?:[_. -][a-z]+)*[.:!?]?").fullmatch
+_CAPITALS = re.compile(r"[A-Z][A-Z_]+").fullmatch
+_NUMBERS = re.compile(r"\d+(?:\.\d+)*").fullmatch
+_CODE_SIGNS = re.compile(r"[(){}\[\]]|%s").search
+_TEST_PATH = re.compile(r"test|example|sample|fixture|mock", re.I).search
+#: Dense features of the value (with its Markov ratio), of both together, of the identifier; then syntaxes, hashed words, path.
+_OF_VALUE, _OF_BOTH, _OF_NAME, _HASHED, _PATHS = 19, 2, 5, 32, 8
+WIDTH = 1 + _OF_VALUE + _OF_BOTH + _OF_NAME + len(SYNTAXES) + _HASHED + _PATHS
+
+
+def value_features(value: str, ratio: float) -> tuple[list[float], float, float]:
+    """(dense features, is a hexadecimal number, has digits) of a value; ``ratio`` is its Markov log-likelihood ratio per character."""
     n = len(value)
-    digits, upper, lower = (sum(map(f, value)) for f in (str.isdigit, str.isupper, str.islower))
-    other = n - digits - upper - lower - value.count(" ")
-    kinds = "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value)
-    turns = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    counts = Counter(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) if n else 0.0
-    secret = sum(w in SECRET_WORDS for w in words)
-    away = sum(w in AWAY_WORDS for w in words)
+    kinds = value.translate(_KINDS) if value.isascii() else "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "o" for c in value)
+    digits, upper = kinds.count("d"), kinds.count("u")
+    other = kinds.count("o") - value.count(" ")
+    turns = sum(map(ne, kinds, kinds[1:]))
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
+    hexadecimal = float(_HEX.match(value) is not None)
+    blanks = value.count(" ")
     dense = [
-        1.0, max(-6.0, min(6.0, ratio)), min(n, 64) / 32, digits / max(1, n), upper / max(1, n), other / max(1, n), turns / max(1, n - 1), entropy / 4,
-        float(secret > 0), float(away > 0), float(bool(words) and words[-1] in SECRET_WORDS), float(bool(words) and words[-1] in AWAY_WORDS), float(not words),
-        float(TOKEN_SHAPES.match(value) is not None), float(_HEX.match(value) is not None), float(_UUID.match(value) is not None), float(_HEX.match(value) is not None and secret > 0),
-        float(_PATHLIKE.search(value) is not None), float(" " in value), float(value.count(" ") > 4), float(re.fullmatch(r"[a-z]+(?:[_. -][a-z]+)*[.:!?]?", value) is not None),
-        float(re.fullmatch(r"[A-Z][A-Z_]+", value) is not None), float(re.fullmatch(r"\d+(?:\.\d+)*", value) is not None), float(re.search(r"[(){}\[\]]|%s", value) is not None),
-        float(secret > 0 and digits > 0), float(n < 6), float(n >= 20 and turns / n > 0.25 and " " not in value),
+        max(-6.0, min(6.0, ratio)), min(n, 64) / 32, digits / max(1, n), upper / max(1, n), other / max(1, n), turns / max(1, n - 1), entropy / 4,
+        float(TOKEN_SHAPES.match(value) is not None), hexadecimal, float(_UUID.match(value) is not None), float(_PATHLIKE.search(value) is not None), float(blanks > 0), float(blanks > 4),
+        float(_LOWER_WORDS(value) is not None), float(_CAPITALS(value) is not None), float(_NUMBERS(value) is not None), float(_CODE_SIGNS(value) is not None),
+        float(n < 6), float(n >= 20 and turns / n > 0.25 and not blanks),
     ]
-    out = np.zeros(len(dense) + len(SYNTAXES) + 32 + 8)
-    out[: len(dense)] = dense
-    out[len(dense) + SYNTAXES.index(syntax)] = 1.0
-    for w in words:
-        out[len(dense) + len(SYNTAXES) + zlib.crc32(w.encode()) % 32] = 1.0
+    return dense, hexadecimal, float(digits > 0)
+
+
+@lru_cache(1 << 15)
+def name_features(name: str) -> tuple[list[float], list[int], bool]:
+    """(dense features, cells of the hashed words, names a secret) of an identifier."""
+    words = identifier_words(name)
+    secret, away = not SECRET_WORDS.isdisjoint(words), not AWAY_WORDS.isdisjoint(words)
+    dense = [float(secret), float(away), float(bool(words) and words[-1] in SECRET_WORDS), float(bool(words) and words[-1] in AWAY_WORDS), float(not words)]
+    return dense, sorted({zlib.crc32(w.encode()) % _HASHED for w in words}), secret
+
+
+@lru_cache(1 << 12)
+def path_features(path: str) -> list[int]:
+    """Cells of a path: its ending, whether it is a test's, whether it is code."""
     ending = path.replace("\\", "/").rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower()
-    out[len(dense) + len(SYNTAXES) + 32 + zlib.crc32(ending.encode()) % 6] = 1.0
-    out[-2] = float(bool(re.search(r"test|example|sample|fixture|mock", path, re.I)))
-    out[-1] = float(ending in ("py", "js", "java", "go"))
+    return [zlib.crc32(ending.encode()) % 6] + [6] * bool(_TEST_PATH(path)) + [7] * (ending in ("py", "js", "java", "go"))
+
+
+def features(value: str, name: str, syntax: str, path: str, ratio: float) -> np.ndarray:
+    """The feature vector."""
+    dense, hexadecimal, digits = value_features(value, ratio)
+    named, cells, secret = name_features(name)
+    out = np.zeros(WIDTH)
+    at = 1 + _OF_VALUE + _OF_BOTH + _OF_NAME
+    out[:at] = [1.0, *dense, *((hexadecimal, digits) if secret else (0.0, 0.0)), *named]
+    out[at + SYNTAXES.index(syntax)] = 1.0
+    for cell in cells:
+        out[at + len(SYNTAXES) + cell] = 1.0
+    for cell in path_features(path):
+        out[at + len(SYNTAXES) + _HASHED + cell] = 1.0
     return out
 
 
+class Scorer:
+    """Probability of candidates: the same sum of weights as ``features`` times ``weights``, with the parts of value and identifier kept."""
+
+    def __init__(self, models: Markov, weights: np.ndarray):
+        w = weights.tolist()
+        a, b, c = 1 + _OF_VALUE, 1 + _OF_VALUE + _OF_BOTH, 1 + _OF_VALUE + _OF_BOTH + _OF_NAME
+        d = c + len(SYNTAXES)
+        of_syntax = dict(zip(SYNTAXES, w[c:d], strict=True))
+
+        @lru_cache(1 << 16)
+        def of_value(value: str) -> tuple[float, float]:
+            dense, hexadecimal, digits = value_features(value, models.ratio(value))
+            return w[0] + sum(x * y for x, y in zip(dense, w[1:a], strict=True)), hexadecimal * w[a] + digits * w[a + 1]
+
+        @lru_cache(1 << 15)
+        def of_name(name: str) -> tuple[float, bool]:
+            dense, cells, secret = name_features(name)
+            return sum(x * y for x, y in zip(dense, w[b:c], strict=True)) + sum(w[d + k] for k in cells), secret
+
+        @lru_cache(1 << 12)
+        def of_path(path: str) -> float:
+            return sum(w[d + _HASHED + k] for k in path_features(path))
+
+        def score(value: str, name: str, syntax: str, path: str) -> float:
+            plain, with_secret = of_value(value)
+            named, secret = of_name(name)
+            z = plain + named + (with_secret if secret else 0.0) + of_syntax[syntax] + of_path(path)
+            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+        self.score = score
+
+
 # ---- character Markov models
 
 _ALPHABET = 98
 
 
-def _code(c: str) -> int:
-    o = ord(c)
-    return o - 31 if 32 <= o < 127 else 97
+def codes_of(values: list[str]) -> np.ndarray:
+    """Codes of all characters with a mark (0) before, between and after the values."""
+    text = "\0" + "\0".join(v.replace("\0", "\1") for v in values) + "\0"
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.where((points >= 32) & (points < 127), points - 31, np.where(points == 0, 0, _ALPHABET - 1))
 
 
-def count_pairs(value: str, into: np.ndarray) -> None:
-    """Counts of neighbouring characters, with a mark at both ends."""
-    codes = [0, *map(_code, value[:400]), 0]
-    np.add.at(into, (codes[:-1], codes[1:]), 1)
+def count_pairs(values: list[str], into: np.ndarray) -> None:
+    """Counts of neighbouring characters, with a mark at both ends of each value."""
+    if values:
+        codes = codes_of(values)
+        into += np.bincount(codes[:-1] * _ALPHABET + codes[1:], minlength=_ALPHABET * _ALPHABET).reshape(_ALPHABET, _ALPHABET)
 
 
 class Markov:
@@ -308,7 +460,7 @@ class Markov:
         self.table = smooth(secret) - smooth(other)
 
     def ratio(self, value: str) -> float:
-        codes = [0, *map(_code, value[:400]), 0]
+        codes = codes_of([value])
         return float(self.table[codes[:-1], codes[1:]].mean())
 
 
@@ -339,12 +491,13 @@ def markov_models(candidates: DataFrame) -> Markov:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, _ALPHABET, _ALPHABET))
         for batch in batches:
-            for value, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                count_pairs(value, counts[1 if label == 1 else 0])
+            values, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for k in (0, 1):
+                count_pairs([v for v, label in zip(values, labels, strict=True) if label == k], counts[k])
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts.ravel()[at])], names=["cell", "n"])
 
-    cells = candidates.where("label >= 0 and syntax <> 'block'").select("value", "label").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = candidates.where("label >= 0").select("value", "label").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(2 * _ALPHABET * _ALPHABET)
     for row in cells:
         counts[row["cell"]] = row["n"]
@@ -378,12 +531,11 @@ def calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(candidates: DataFrame, max_fit: int = MAX_FIT) -> tuple[Markov, np.ndarray]:
     """The Markov models and the calibrated weights. Without both labels nothing is learned and all scores are 0.5."""
     models = markov_models(candidates)
-    keyed = candidates.where("label >= 0 and syntax <> 'block'").select("value", "name", "syntax", "path", "label", F.xxhash64("value", "name", "row_id", "start").alias("h"))
+    keyed = candidates.where("label >= 0").select("value", "name", "syntax", "path", "label", F.xxhash64("value", "name", "row_id", "start").alias("h"))
     half = [keyed.where(F.col("label") == k).orderBy("h").limit(max_fit // 2) for k in (0, 1)]
     rows = half[0].unionByName(half[1]).toPandas()
-    width = len(features("", "", "bare", "", 0.0))
     if rows.empty or rows["label"].nunique() < 2:
-        return models, np.zeros(width)
+        return models, np.zeros(WIDTH)
     x = np.stack([features(v, n, s, p, models.ratio(v)) for v, n, s, p in zip(rows["value"], rows["name"], rows["syntax"], rows["path"], strict=True)])
     y = rows["label"].to_numpy(float)
     held = rows["h"].to_numpy() % 5 == 0
@@ -395,20 +547,15 @@ def train(candidates: DataFrame, max_fit: int = MAX_FIT) -> tuple[Markov, np.nda
 
 
 def score_candidates(candidates: DataFrame, models: Markov, weights: np.ndarray) -> DataFrame:
-    """``candidates`` with their calibrated probability; placeholders have 0, private key blocks 1."""
+    """``candidates`` with their calibrated probability; placeholders have 0."""
     names = ["src_table", "row_id", "line_no", "start", "stop", "syntax", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(models, weights)
         for batch in batches:
             scores = []
             for value, name, syntax, path in zip(*(c.to_pylist() for c in batch.columns[6:10]), strict=True):
-                if syntax == "block":
-                    scores.append(1.0)
-                elif len(value) < 5 or is_placeholder(value):
-                    scores.append(0.0)
-                else:
-                    z = float(features(value, name, syntax, path, models.ratio(value)) @ weights)
-                    scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+                scores.append(0.0 if syntax != "block" and is_placeholder(value) else scorer.score(value, name, syntax, path))
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(scores, pa.float64())], names=names)
 
     own = candidates.select("src_table", "row_id", "line_no", "start", "stop", "syntax", "value", "name", F.col("syntax").alias("kind"), "path")

@@ -79,17 +79,34 @@ def test_no_placeholders(value):
         ('token = ("abc"\n         "def")', "abcdef", "token"), ('api_key: str = (\n    "v1"\n)', "v1", "api_key"), ('os.environ["PW"] = "v1"', "v1", "PW"), ('x = os.getenv("PW", "v1")', "v1", "os.getenv PW"),
         ('login("etl", "v1")', "v1", "login etl"), ('if entered == "v1":', "v1", "entered"), ('KEYS = [\n  "v1",\n]', "v1", "KEYS"), ("mysql -u etl -pv1234 shop", "v1234", "mysql"), ("echo v1234 | docker login --password-stdin", "v1234", "password-stdin"),
         ("ENV PASSWD v1 v2", "v1 v2", "PASSWD"), ("<secret>v1</secret>", "v1", "secret"), ("# pw for staging: v1", "v1", "pw"),
+        ('"""Staging login was Hq7vZp2mKd"""', "Hq7vZp2mKd", "login"), ("KEYS = [\n" + "  'filler',\n" * 200 + "  'v1',\n]", "v1", "KEYS"), ("TOKEN = make(" + " " * 900 + "'v1')", "v1", "TOKEN make"), ("pin = '4821'", "4821", "pin"),
     ],
 )
 def test_scan(text, value, name):
     assert (value, name) in {(v, n) for _, _, v, n, _ in C.scan(text)}
 
 
+def test_whole_values_are_read():
+    counts = np.zeros((98, 98))
+    C.count_pairs(["a" * 1000], counts)
+    assert counts.sum() == 1001
+    assert C.weak_label("4821", "pin", "assign") == -1 and C.weak_label("abcd", "title", "assign") == 0
+
+
+def test_scorer_is_the_product_of_features_and_weights():
+    r = np.random.default_rng(3)
+    model, w = C.Markov(r.integers(0, 9, (98, 98)), r.integers(0, 9, (98, 98))), r.normal(size=C.WIDTH)
+    scorer = C.Scorer(model, w)
+    for value, name, syntax, path in [("Hq7vZp2mKd", "db_password", "assign", "a/b.py"), ("", "", "bare", ""), ("0" * 40 + "é", "sha", "key", "tests/x.yaml"), ("deadbeef" * 4, "secret", "pair", "x")]:
+        z = float(C.features(value, name, syntax, path, model.ratio(value)) @ w)
+        assert abs(scorer.score(value, name, syntax, path) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_models():
     secret_counts, other = np.zeros((98, 98)), np.zeros((98, 98))
-    for _ in range(50):
-        C.count_pairs("xQ9", secret_counts)
-        C.count_pairs("the", other)
+    C.count_pairs(["xQ9"] * 50, secret_counts)
+    C.count_pairs(["the"] * 50, other)
+    assert secret_counts[0, C.codes_of(["x"])[1]] == 50 and secret_counts.sum() == 200
     m = C.Markov(secret_counts, other)
     assert m.ratio("xQ9") > 0 > m.ratio("the")
     x = np.array([[1, a] for a in (0, 0, 1, 1)], float)

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,6 +60,44 @@ def test_large_is_tight():
     assert plan.containers <= 1.002 * plan.lower_bound + 1
 
 
+COARSE = [
+    ({500: 50_000, 700: 60_000, 850: 40_000, 300: 20_000, 1200: 30_000}, 73_750), ({340: 70_000, 510: 50_000, 520: 50_000, 1030: 30_000, 1380: 20_000}, 69_167), ({683: 30_000, 1025: 10_000, 600: 9_000}, None), ({1400: 20_000, 900: 31_000, 640: 47_000, 210: 90_000}, None),
+    ({410: 10_000, 411: 20_000, 683: 30_000, 1000: 25_000}, None), ({130 + 97 * i: 1_000 * (1 + i * i % 7) for i in range(15)}, None), ({205 + 41 * i: 700 * (1 + i * i % 5) for i in range(25)}, None),
+]
+
+
+@pytest.mark.parametrize("histogram,optimum", COARSE)
+def test_coarse_histograms_are_near_the_linear_program(histogram, optimum):
+    """The bound is a dual solution, so a plan within 1 % of it is within 1 % of the optimum."""
+    plan = check(histogram, 2048)
+    assert plan.containers <= 1.01 * plan.lower_bound
+    assert optimum is None or 0.99 * optimum <= plan.lower_bound <= optimum
+
+
+def test_fractional_solution_serves_the_demand():
+    sizes, demand = np.array([300, 500, 700, 850, 1200]), np.array([20, 50, 60, 40, 30], float)
+    use, prices, bound = P.fractional(sizes, demand, 2048)
+    served = np.zeros(5)
+    for key, times in use.items():
+        assert sum(sizes[k] * a for k, a in key) <= 2048
+        for k, a in key:
+            served[k] += a * times
+    assert (served <= demand * (1 + 1e-6)).all() and (served * sizes).sum() >= 0.97 * (demand * sizes).sum()
+    assert (prices > 0).all() and bound <= sum(use.values()) * 1.05
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=8, unique=True), st.integers(30, 60))
+def test_knapsack_against_plain_recursion(sizes, capacity):
+    sizes = np.array(sorted(sizes))
+    prices = np.sqrt(sizes) + sizes
+    value, _, _ = P.knapsack(sizes, prices, capacity)
+    plain = [0.0]
+    for c in range(1, capacity + 1):
+        plain.append(max([plain[-1], *(plain[c - s] + p for s, p in zip(sizes, prices, strict=True) if s <= c)]))
+    assert np.allclose(value, plain)
+
+
 def run(spark, rows, capacity=10):
     df = spark.createDataFrame(rows, "doc_id long, n int, container string")
     return P.pack(df, "doc_id", "n", capacity).toPandas()
@@ -82,5 +121,6 @@ def test_empty_and_all_zero(spark):
 
 def test_ranks_of_a_hot_size(spark):
     df = spark.createDataFrame([(i, 5) for i in range(500)], "doc_id long, n int")
-    ranks = P.ranked(P.pieces(df, "doc_id", "n", 10), "doc_id").toPandas()["rank"]
-    assert sorted(ranks) == list(range(500))
+    for rows in (7, 1000):
+        ranks = P.ranked(P.pieces(df, "doc_id", "n", 10), "doc_id", rank_rows=rows).toPandas()["rank"]
+        assert sorted(ranks) == list(range(500))

@@ -14,17 +14,18 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folder of the public vocabulary files; a parameter of every operator here.
+#: Folder of the public vocabulary files on the driver; a parameter of every operator here.
 TOKENIZERS = os.environ.get("GRAPHMILL_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The published split pattern of this vocabulary.
@@ -119,13 +120,19 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def shipped(spark: SparkSession, folder: str) -> Callable[[], str]:
+    """Sends the vocabulary of the driver's ``folder`` to all executors with the job; gives its place on whichever machine it is called."""
+    spark.sparkContext.addFile(os.path.join(folder, VOCABULARY))
+    return lambda: SparkFiles.get(VOCABULARY)
+
+
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """(id, ids): one row per row of ``df``. Null and empty texts give an empty list; only two columns are read."""
-    path = os.path.join(folder, VOCABULARY)
+    path = shipped(df.sparkSession, folder)
     schema = pa.schema([(id_col, pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(path)
+        known = encoder(path())
         for batch in batches:
             each = [known.encode(t) for t in batch.column(1).to_pylist()]
             offsets = np.zeros(len(each) + 1, np.int32)
@@ -138,10 +145,10 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = TOKENIZERS) -> DataFrame:
     """(id, n_tokens): as encode_texts, but only the number of ids leaves the worker."""
-    path = os.path.join(folder, VOCABULARY)
+    path = shipped(df.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(path)
+        known = encoder(path())
         for batch in batches:
             counts = pa.array([known.count(t) for t in batch.column(1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), counts], names=[id_col, "n_tokens"])

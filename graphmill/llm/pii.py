@@ -3,36 +3,45 @@
 A generous scan emits candidate mentions with an instance key (a name, an address of mail or of a house;
 the shape of a number) and the lexical patterns around them (two words left, two words right, one of each). A few
 seeds start the bootstrap: given names from a reference list, international phone shapes, numbers
-named by the word for a document, addresses of mail and of houses in their usual forms, which count as they are.
-Spark then scores the graph of patterns and
-instances for a fixed number of rounds: a pattern is worth the share of its distinct instances that are
+named by the word for a document, addresses of mail and of houses in their usual forms. Spark then scores the graph
+of patterns and instances until no belief moves any more: a pattern is worth the share of its distinct instances that are
 believed, weighed by how many distinct ones back it; an instance is believed by its best patterns. So a
 pattern that stands around many different names is trusted and finds names no list holds, while a phrase
 that always holds the same product name has one instance and stays worth nothing.
 
-Looser forms of both kinds of address (the town first or without a comma, other words for the signs of
-a mail address) are candidates like names and numbers: only patterns that stand around addresses accept them.
+A mention becomes a find where a trusted pattern stands around it, or where nothing stands around it and its instance
+is believed. The form of a seeded number or address counts as much as one pattern that always holds such data, so it is
+a find unless the patterns around it mostly hold other things. Looser forms of both kinds of address (the town first or
+without a comma, other words for the signs of a mail address) have no such vote: only patterns accept them.
 
-Mentions that a trusted pattern or a believed instance supports become finds; each is replaced by a
-placeholder of its type.
+Finds are replaced by a placeholder of their type.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphmill.session import cut
+from graphmill.session import cut, tidy
 
 TYPES = ("person_name", "email", "phone", "id_number", "address")
-ROUNDS = 3
+#: Rounds end when no belief moves by more than this.
+SETTLED = 0.05
+#: What an instance hears from its best pattern, as a share of the pattern's score: else a pattern would talk itself into full belief.
+DAMPING = 0.7
+#: Patterns below this score pass on nothing.
+HEARD = 0.2
 #: A pattern or instance is trusted from this score on.
 TRUST = 0.35
+#: Up to so many given names go to the workers as they are; beyond, as a filter of fixed size, and its hits are joined with them.
 MOST_NAMES = 50_000
+FILTER_BITS = 1 << 23
 
 # ---- fixed values: words that name documents and parts of addresses
 ID_WORDS = (
@@ -91,13 +100,23 @@ def _words(text: str) -> list[str]:
     return ["0" if _DIGIT.search(t) else t.lower() for t in _WORD.findall(text)]
 
 
-def patterns_around(left: str, right: str) -> list[str]:
+def _near(text: str, at: int, step: int) -> str:
+    """The text before (step -1) or after (1) a place, as far as two tokens beyond the first need."""
+    window = 80
+    while True:
+        part = text[max(0, at - window) : at] if step < 0 else text[at : at + window]
+        if len(part) < window or len(_WORD.findall(part)) > 3 or (_BREAK_LEFT if step < 0 else _BREAK_RIGHT).search(part):
+            return part
+        window *= 8
+
+
+def patterns_around(text: str, start: int, stop: int) -> list[str]:
     """The lexical patterns of a mention: two tokens left, two right, one on each side; at least one must be a word.
 
     Context ends at a line end, a semicolon, a dash or slash between blanks and the end of a sentence.
     """
-    left = _BREAK_LEFT.split(EMAIL.sub("EMAIL", left[-80:]))[-1]
-    right = _BREAK_RIGHT.split(EMAIL.sub("EMAIL", right[:80]), maxsplit=1)[0]
+    left = _BREAK_LEFT.split(EMAIL.sub("EMAIL", _near(text, start, -1)))[-1]
+    right = _BREAK_RIGHT.split(EMAIL.sub("EMAIL", _near(text, stop, 1)), maxsplit=1)[0]
     before, after = _words(left)[-2:], _words(right)[:2]
     found = []
     if any(map(_LETTER.match, before)):
@@ -114,6 +133,12 @@ def shape_of(text: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", text)))
 
 
+def _before_mail(text: str, at: int) -> int:
+    """Where the context before a mail address ends: before its bracket and scheme."""
+    at -= text.startswith("<", at - 1) if at else 0
+    return at - 7 if at >= 7 and text.startswith("mailto:", at - 7) else at
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str, str, str, bool, list[str]]]:
     """(start, end, kind, instance, type seeded, seed?, patterns) of a text; kinds: address, email, number, name. Only the looser addresses, which are no seeds, may overlap others."""
     taken: list[tuple[int, int]] = []
@@ -124,19 +149,19 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str, str, bool, list[
     for m in ADDRESS.finditer(text):
         a, b = m.span()
         taken.append((a, b))
-        yield a, b, "address", m[0].lower(), "address", True, patterns_around(text[:a], text[b:])
+        yield a, b, "address", m[0].lower(), "address", True, patterns_around(text, a, b)
     for pattern in (EMAIL, HIDDEN_EMAIL):
         for m in pattern.finditer(text):
             a, b = m.span()
             if free(a, b):
                 taken.append((a, b))
-                yield a, b, "email", m[0].lower(), "email", True, patterns_around(text[:a].removesuffix("<").removesuffix("mailto:"), text[b:].removeprefix(">"))
+                yield a, b, "email", m[0].lower(), "email", True, patterns_around(text, _before_mail(text, a), b + text.startswith(">", b))
     for pattern, kind in ((LOOSE_ADDRESS, "address"), (LOOSE_EMAIL, "email")):
         for m in pattern.finditer(text):
             a, b = m.span()
             b += text.count("(", a, b) > text.count(")", a, b) and text[b : b + 1] == ")"
             if free(a, b):
-                yield a, b, kind, text[a:b].lower(), kind, False, patterns_around(text[:a], text[b:])
+                yield a, b, kind, text[a:b].lower(), kind, False, patterns_around(text, a, b)
     for pattern in (NUMBER, _SIMPLE_ID):
         for m in pattern.finditer(text):
             a, b = m.span()
@@ -155,9 +180,9 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str, str, bool, list[
                 continue
             named = _ID_BEFORE.search(text[max(0, a - 60) : a])
             kind = "id_number" if named else "phone" if _PHONE_SEED.match(value) and 7 <= digits <= 16 else ""
-            left = text[max(0, a - 60) : a][: named.start()] if named else text[:a]
+            first = max(0, a - 60) + named.start() if named else a
             taken.append((a, b))
-            yield a, b, "number", shape_of(value), kind, bool(kind), patterns_around(left, text[b:])
+            yield a, b, "number", shape_of(value), kind, bool(kind), patterns_around(text, first, b)
     at = 0
     while m := NAME.search(text, at):
         a, b = m.span()
@@ -170,7 +195,7 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str, str, bool, list[
                 at = m.start("g3")
                 continue
         family = m["f1"] or m["f2"] or m["f3"]
-        if not free(a, b) or len(family) < 3:
+        if not free(a, b) or len(family) < 2:
             at = a + 1 + len(m[0].split(" ")[0]) if not free(a, b) else b
             continue
         if m["g1"]:
@@ -178,19 +203,19 @@ def candidates(text: str) -> Iterator[tuple[int, int, str, str, str, bool, list[
             key = f"{given} {family}{more[0] if more else ''}"
         else:
             key = f"{given.rstrip('.')} {family}"
-        yield a, b, "name", key.lower(), given.lower(), False, patterns_around(text[:a], text[b:])
+        yield a, b, "name", key.lower(), given.lower(), False, patterns_around(text, a, b)
 
 
 _SMALL = re.compile(r"(?<![\w@/#.&'’+-])(?=([^\W\d_]+)( [^\W\d_][\w'’-]{3,})(?![\w@'’/=(]|-\w))")
 
 
-def small_pairs(text: str, allowed: frozenset[str] | None) -> Iterator[tuple]:
-    """Names without capitals: two words in small letters, the first of them in ``allowed`` (any, where that is None)."""
+def small_pairs(text: str, allowed: Callable[[str], bool]) -> Iterator[tuple]:
+    """Names without capitals: two words in small letters, the first of them ``allowed``."""
     for m in _SMALL.finditer(text):
         given = m[1]
-        if given.islower() and m[2].islower() and (allowed is None or given in allowed):
+        if given.islower() and m[2].islower() and allowed(given):
             a, b = m.start(), m.start() + len(m[1]) + len(m[2])
-            yield a, b, "small", m[1] + m[2], given, False, patterns_around(text[:a], text[b:])
+            yield a, b, "small", m[1] + m[2], given, False, patterns_around(text, a, b)
 
 
 FIELDS = [("src_table", pa.string()), ("src_field", pa.string()), ("record_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("instance", pa.string()), ("told", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]
@@ -214,19 +239,36 @@ def find_candidates(texts: DataFrame) -> DataFrame:
     return _scan(texts, candidates)
 
 
-def find_small_names(texts: DataFrame, given: DataFrame) -> DataFrame:
+def _filter_of(given: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of ``bits`` bits with one bit set for each given name; at most bits / 64 rows reach the driver."""
+    at = F.pmod(F.xxhash64("told"), F.lit(bits))
+    rows = given.select((at / 64).cast("long").alias("cell"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(told), {bits}L), 64L) as int))").alias("bit")).groupBy("cell").agg(F.bit_or("bit").alias("word")).toPandas()
+    words = np.zeros(bits // 64, np.int64)
+    words[rows["cell"].to_numpy(np.int64)] = rows["word"].to_numpy(np.int64)
+    return words.view(np.uint64)
+
+
+def find_small_names(texts: DataFrame, given: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
     """Two words in small letters that begin with a believed given name (column told).
 
-    The given names go to the workers only where they are few (``MOST_NAMES``); else all pairs of words are joined with them.
+    The given names go to the workers as they are where they are few; else as a filter that lets some other words
+    pass, and what passes is joined with them, which is exact.
     """
-    few = given.limit(MOST_NAMES + 1).count() <= MOST_NAMES
-    allowed = frozenset(r["told"] for r in given.collect()) if few else None
-    pairs = _scan(texts, lambda text: small_pairs(text, allowed))
-    return pairs if few else pairs.join(given, "told", "left_semi").select(*(f for f, _ in FIELDS))
+    if given.limit(most_names + 1).count() <= most_names:
+        known = frozenset(r["told"] for r in given.collect())
+        return _scan(texts, lambda text: small_pairs(text, known.__contains__))
+    words = texts.sparkSession.sparkContext.broadcast(_filter_of(given))
+
+    def may_be(word: str) -> bool:
+        at = xxhash.xxh64_intdigest(word.encode(), 42)
+        at = (at - (1 << 64) if at >= 1 << 63 else at) % FILTER_BITS
+        return bool(int(words.value[at // 64]) >> (at % 64) & 1)
+
+    return _scan(texts, lambda text: small_pairs(text, may_be)).join(given, "told", "left_semi").select(*(f for f, _ in FIELDS))
 
 
-def score_graph(found: DataFrame, given: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """(pattern scores (pii_type, kind, pattern, support, score), instance scores (pii_type, kind, instance, belief)).
+def score_graph(found: DataFrame, given: DataFrame, settled: float = SETTLED) -> tuple[DataFrame, DataFrame]:
+    """(pattern scores (pii_type, kind, pattern, strength, support, score), instance scores (pii_type, kind, instance, belief)).
 
     ``found`` are candidates that are written already, ``given`` one column of lower-case given names. Every round
     is two aggregations over the distinct (pattern, instance) edges; both combine before the shuffle, so a pattern
@@ -238,30 +280,33 @@ def score_graph(found: DataFrame, given: DataFrame, rounds: int = ROUNDS) -> tup
     numbers = typed.where("kind = 'number'").groupBy("instance").agg(F.avg((F.col("pii_type") == "phone").cast("double")).alias("phone"), F.avg((F.col("pii_type") == "id_number").cast("double")).alias("id_number"))
     numbers = numbers.select(F.lit("number").alias("kind"), "instance", F.expr("stack(2, 'phone', phone, 'id_number', id_number)").alias("pii_type", "share")).select("kind", "instance", "pii_type", F.col("share").alias("belief"))
     addresses = typed.where("kind <> 'number'").groupBy("kind", "instance", "pii_type").agg(F.max(F.col("seed").cast("double")).alias("belief"))
-    start = cut(named.select("kind", "instance", "pii_type", F.col("seed").cast("double").alias("belief")).unionByName(numbers).unionByName(addresses))
+    start = named.select("kind", "instance", "pii_type", F.col("seed").cast("double").alias("belief")).unionByName(numbers).unionByName(addresses)
+    beliefs = cut(start.select("kind", "instance", "pii_type", F.col("belief").alias("prior"), "belief"))
     edges = cut(found.select("kind", "instance", F.explode("patterns").alias("pattern")).distinct())
-    beliefs = start
-    for turn in range(rounds):
+    while True:  # beliefs only grow, so they settle
         joined = edges.join(beliefs, ["kind", "instance"])
         strength = F.sum("belief")
         scores = joined.groupBy("pii_type", "kind", "pattern").agg(strength.alias("strength"), F.count("*").alias("support"))
         # numbers have few shapes, so two of them already back a pattern
         needed = F.when(F.col("kind") == "number", 1.0).otherwise(3.0)
         scores = scores.withColumn("score", F.col("strength") / F.col("support") * F.least(F.lit(1.0), F.col("strength") / needed))
-        if turn < rounds - 1:
-            told = joined.select("kind", "instance", "pii_type", "pattern").join(scores.select("pii_type", "kind", "pattern", "score"), ["pii_type", "kind", "pattern"])
-            heard = told.groupBy("kind", "instance", "pii_type").agg(F.max("score").alias("heard"))
-            beliefs = cut(start.join(heard, ["kind", "instance", "pii_type"], "left").select("kind", "instance", "pii_type", F.greatest("belief", F.coalesce("heard", F.lit(0.0))).alias("belief")))
-    return cut(scores), beliefs
+        told = joined.select("kind", "instance", "pii_type", "pattern").join(scores.select("pii_type", "kind", "pattern", "score"), ["pii_type", "kind", "pattern"])
+        heard = told.where(F.col("score") >= HEARD).groupBy("kind", "instance", "pii_type").agg((F.max("score") * DAMPING).alias("heard"))
+        new = F.greatest("prior", F.coalesce("heard", F.lit(0.0)))
+        moved = cut(beliefs.join(heard, ["kind", "instance", "pii_type"], "left").select("kind", "instance", "pii_type", "prior", new.alias("belief"), (new - F.col("belief")).alias("moved")))
+        beliefs = moved.drop("moved")
+        if (moved.agg(F.max("moved")).first()[0] or 0.0) <= settled:
+            return cut(scores), beliefs
+        tidy(found.sparkSession)
 
 
-def find_mentions(texts: DataFrame, given: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def find_mentions(texts: DataFrame, given: DataFrame) -> DataFrame:
     """(src_table, src_field, record_id, pii_type, start, stop, occurrence) of every mention of personal data.
 
     Repeated record ids are read one by one and their equal mentions count once. Empty tables give no row.
     """
     found = cut(find_candidates(texts))
-    scores, beliefs = score_graph(found, given, rounds)
+    scores, beliefs = score_graph(found, given)
     # trusted patterns have shown which given names there are; now they find those written without capitals
     believed = beliefs.where("kind = 'name'").where(F.col("belief") >= TRUST).select("instance")
     learned = found.where("kind = 'name' and length(told) > 1").select("instance", "told").distinct().join(believed, "instance").groupBy("told").agg(F.count("*").alias("families")).where("families >= 3").select("told")
@@ -271,19 +316,21 @@ def find_mentions(texts: DataFrame, given: DataFrame, rounds: int = ROUNDS) -> D
     keys = ["src_table", "src_field", "record_id", "start"]
     of = lambda t, col: F.max(F.when(F.col("pii_type") == t, F.col(col)))
     kinds = F.when(F.col("kind") == "name", F.array(F.lit("name"), F.lit("small"))).otherwise(F.array("kind"))
-    per_pattern = scores.groupBy("kind", "pattern").agg(*(of(t, "score").alias(t) for t in TYPES)).select(F.explode(kinds).alias("kind"), "pattern", *TYPES)
+    shares = [f"{t}_share" for t in TYPES]
+    weighed = scores.withColumn("share", F.col("strength") / F.col("support")).withColumn("weight", F.least(F.lit(1.0), F.col("support") / 3.0))
+    per_pattern = weighed.groupBy("kind", "pattern").agg(*(of(t, "score").alias(t) for t in TYPES), *(of(t, "share").alias(f"{t}_share") for t in TYPES), F.max("weight").alias("weight")).select(F.explode(kinds).alias("kind"), "pattern", "weight", *TYPES, *shares)
+    own_share = F.coalesce(*(F.when(F.col("told") == t, F.col(f"{t}_share")) for t in TYPES), F.lit(0.0))
     known = beliefs.where("kind <> 'number'").select("kind", "instance", F.col("belief").alias("known"))
     own = [*keys, "stop", "kind", "instance", "told", "seed"]
     spread = found.unionByName(small).select(*own, F.explode_outer("patterns").alias("pattern"))
     best = lambda t: F.coalesce(F.max(t), F.lit(0.0)).alias(t)
-    rated = spread.join(per_pattern, ["kind", "pattern"], "left").groupBy(*own).agg(*map(best, TYPES), F.count(F.coalesce("person_name", "address", "email")).alias("heard"))
+    rated = spread.join(per_pattern, ["kind", "pattern"], "left").groupBy(*own).agg(*map(best, TYPES), F.count(F.coalesce("person_name", "address", "email")).alias("heard"), (F.lit(1.0) + F.coalesce(F.sum(F.col("weight") * own_share), F.lit(0.0))).alias("agreed"), (F.lit(1.0) + F.coalesce(F.sum("weight"), F.lit(0.0))).alias("votes"))
     rated = rated.join(known, ["kind", "instance"], "left")
     pii_type = (
-        F.when(F.col("kind").isin("address", "email") & F.col("seed"), F.col("kind"))
+        F.when(F.col("seed") & (F.col("agreed") / F.col("votes") >= TRUST), F.col("told"))
         .when((F.col("kind") == "address") & (F.col("address") >= TRUST), F.lit("address"))
         .when((F.col("kind") == "email") & (F.col("email") >= TRUST), F.lit("email"))
         .when(F.col("kind").isin("address", "email") & (F.col("heard") == 0) & (F.col("known") >= TRUST), F.col("kind"))
-        .when((F.col("kind") == "number") & F.col("seed"), F.col("told"))
         .when((F.col("kind") == "number") & (F.col("phone") >= TRUST) & (F.col("phone") >= F.col("id_number")), F.lit("phone"))
         .when((F.col("kind") == "number") & (F.col("id_number") >= TRUST), F.lit("id_number"))
         .when(F.col("kind").isin("name", "small") & (F.col("person_name") >= TRUST), F.lit("person_name"))

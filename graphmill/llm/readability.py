@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 MIN_WORDS = 25
 LEVELS = 5
-MAX_RATINGS = 200_000
+MAX_RATINGS = 100_000
 
 #: Frequent function words that tell the languages apart.
 FUNCTION_WORDS = {
@@ -148,7 +148,7 @@ def grade_estimates(lang: str, words: int, sentences: int, letters: int, syllabl
 
 def measure(text: str | None, told: str | None = None) -> tuple[str, int, float] | None:
     """(language, words of prose, median grade), or None where the prose is too short."""
-    if not text or len(text) < 2 * MIN_WORDS:
+    if not text or len(text) < 2 * MIN_WORDS - 1:
         return None
     prose = prose_of(text)
     words = _WORD.findall(prose)
@@ -213,13 +213,15 @@ def fit_cuts(grades: np.ndarray, levels: np.ndarray, bins: int = 400) -> list[fl
 
 
 def rated_cuts(grades: DataFrame, ratings: DataFrame, id_col: str = "doc_id", level_col: str = "reading_level", max_ratings: int = MAX_RATINGS) -> dict[str, list[float]]:
-    """Cut points per language, and under "" for all others, from at most ``max_ratings`` rated documents.
+    """Cut points per language, and under "" for all others, from at most ``max_ratings`` ratings.
+
+    They are drawn by hash before the join, so what is joined, broadcast and sent to the driver does not grow with the tables.
 
     Raters' null levels are left out; where two disagree both count. A language with fewer than 30 ratings
     takes the common cut points; without any rating the levels are fifths of the grades.
     """
-    rated = ratings.select(F.col(id_col), F.col(level_col).alias("level")).where(f"level between 1 and {LEVELS}")
-    sample = grades.join(rated, id_col).orderBy(F.xxhash64(id_col)).limit(max_ratings)
+    rated = ratings.select(F.col(id_col).cast("long").alias(id_col), F.col(level_col).alias("level")).where(f"level between 1 and {LEVELS}")
+    sample = grades.join(F.broadcast(rated.orderBy(F.xxhash64(id_col), id_col, "level").limit(max_ratings)), id_col)
     rows = sample.select("language", "grade", "level").toPandas()
     if rows.empty:
         fifths = grades.approxQuantile("grade", [i / LEVELS for i in range(1, LEVELS)], 0.001)

@@ -69,3 +69,23 @@ def test_looser_addresses_by_trusted_patterns(spark):
     at = len(backing)
     assert [got.get(at + i) for i in range(len(LOOSE))] == [("address", "Brackwater, 12 Kestrel Avenue"), ("address", "9 Copper Lane in Osthaven"), ("address", "31 Harrow Road Lowmere"), ("email", "zo.hobor at lab punkt test"), ("email", "mia_kelt [ät] kiosk.invalid")]
     assert not [got[i] for i in range(at + len(LOOSE), len(rows)) if i in got]
+
+
+def test_short_family_names_and_far_context(spark):
+    rows = [*CORPUS, "reported by Wei Li", "reported by Hao Wu", "reported  by" + " " * 300 + "Imani Su"]
+    got = {r["record_id"]: rows[r["record_id"]][r["start"] : r["stop"]] for r in P.find_mentions(texts(spark, rows), spark.createDataFrame(GIVEN_TABLE, "given string")).collect()}
+    assert [got.get(len(CORPUS) + i) for i in range(3)] == ["Wei Li", "Hao Wu", "Imani Su"]
+
+
+def test_seeded_forms_are_outvoted_by_their_patterns(spark):
+    """A phone-like number in a place that holds all sorts of other numbers is no find, elsewhere it is."""
+    rows = [f"stock item {n} left over" for n in ("4455-1122-9", "77 12345 88", "123456789", "AB123456", "12-345-678", "99/88/77665", "4455 12.34 5", "7.654.321 0", "1234567-8")] + ["stock item +49 30 555 18 05 left over", "call +49 30 555 18 05 when it fails"]
+    got = {r["record_id"] for r in P.find_mentions(texts(spark, rows), spark.createDataFrame(GIVEN_TABLE, "given string")).collect()}
+    assert got == {len(rows) - 1}
+
+
+def test_small_names_by_filter_and_join(spark):
+    df = texts(spark, ["thanks to robert zikanenar and imani klidrabre", "nothing here at all"])
+    given = spark.createDataFrame([("robert",), ("imani",)], "told string")
+    plain = sorted(map(tuple, P.find_small_names(df, given).select("record_id", "start", "instance").collect()))
+    assert plain and sorted(map(tuple, P.find_small_names(df, given, most_names=1).select("record_id", "start", "instance").collect())) == plain

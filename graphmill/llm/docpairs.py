@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphmill.llm import braces
 from graphmill.llm.peg import Expr, Parser, act, first, many, maybe, rule, seq, token, unless
 
 
@@ -50,7 +51,7 @@ class Pair(NamedTuple):
 
 
 def _width(space: str) -> int:
-    return len(space.expandtabs(8))
+    return len(space.expandtabs(8)) if "\t" in space else len(space)
 
 
 def _unquoted(text: str) -> str | None:
@@ -172,7 +173,21 @@ _DEF_OR_CLASS = first(
     act(seq(rule("space"), token(r"class(?=[ \t\\])"), act(seq(token(r"(?:[ \t]|\\\n)+"), token(r"[^\W\d]\w*")), lambda a, e, v: v[1]), _spelled(rule("parameters")), token(r"[ \t]*:"), rule("tail")), _header("class")),
 )
 PYTHON["definition"] = _python_definition
-PYTHON["item"] = first(rule("blank"), rule("comment_line"), rule("definition"), rule("decorator"), rule("text_line"), rule("code_line"), rule("any_line"))
+_PLAIN = r"[^\n#'\"()\[\]{}\\]"
+_QUOTED = r"\"(?!\"\")[^\"\\\n]*\"|'(?!'')[^'\\\n]*'"
+_FLAT = rf"\((?:{_PLAIN}|{_QUOTED})*+\)|\[(?:{_PLAIN}|{_QUOTED})*+\]|\{{(?:{_PLAIN}|{_QUOTED})*+\}}"
+_NESTED = rf"\((?:{_PLAIN}|{_QUOTED}|{_FLAT})*+\)|\[(?:{_PLAIN}|{_QUOTED}|{_FLAT})*+\]|\{{(?:{_PLAIN}|{_QUOTED}|{_FLAT})*+\}}"
+#: Code that ends with its line and holds nothing that needs the other rules: no definition, no string or bracket that goes on.
+_EASY_LINE = re.compile(rf"([ \t\f]*+)(?![\n@(]|(?:def|class|async)\b|(?i:[rbuft]{{0,2}})['\"])(?:{_PLAIN}|{_QUOTED}|{_NESTED})++(?:#[^\n]*+)?+(?:\n|\Z)").match
+
+
+def _easy_line(p: Parser, at: int):
+    m = _EASY_LINE(p.text, at)
+    return (m.end(), Item("code", _width(m[1]), m.end(1), m.end())) if m else None
+
+
+PYTHON["easy_line"] = _easy_line
+PYTHON["item"] = first(_easy_line, rule("blank"), rule("comment_line"), rule("definition"), rule("decorator"), rule("text_line"), rule("code_line"), rule("any_line"))
 
 
 def parse_items(text: str, grammar: dict[str, Expr]) -> list[Item]:
@@ -231,38 +246,19 @@ def _comments_above(items: list[Item], i: int) -> str | None:
     return "\n".join(line.lstrip("#") for line in reversed(lines)) if lines else None
 
 
-# ---- languages with braces and /** */ comments
-
-BRACES: dict[str, Expr] = {
-    "doc": token(r"/\*\*.*?\*/", re.S),
-    "comment": token(r"/\*.*?\*/|(?://[^\n]*(?:\n[ \t]*(?=//))?)+", re.S),
-    "string": token(r"'(?:[^\\'\n]|\\.)*'|\"(?:[^\\\"\n]|\\.)*\"|`(?:[^\\`]|\\.)*`", re.S),
-    "space": token(r"\s+"),
-    "head": act(
-        seq(token(r"(?:(?:export|default|async|public|private|protected|static|final)\s+)*(?:function\s*\*?\s+(?P<f>[\w$]+)|(?:const|let|var)\s+[\w$]+\s*=\s*(?:async\s+)?function\b)\s*"), token(r"\([^()]*(?:\([^()]*\)[^()]*)*\)")),
-        lambda at, end, v: (at, end, (re.findall(r"[\w$]+", v[0].replace("= async", "").replace("= function", "").replace("=", "")) or [""])[-1], v[1]),
-    ),
-    "documented": act(seq(first(rule("doc"), rule("comment")), maybe(rule("space")), rule("head")), lambda at, end, v: Item("def", 0, v[2][0], end, v[2][2], v[0], v[2][3])),
-    "other": act(first(rule("string"), rule("doc"), rule("comment"), rule("space"), token(r"[\w$]+|.", re.S)), lambda at, end, v: Item("code", 0, at, end)),
-    "item": first(rule("documented"), rule("other")),
-}
-
-
-def pair_braces(text: str) -> Iterator[Pair]:
-    """Pairs of texts with braces: a function directly below its comment, outside of strings and comments."""
-    for item in parse_items(text, BRACES):
-        if item.kind == "def":
-            doc = re.sub(r"^[ \t]*(?:/\*+|\*/|\*|//+!?)[ \t]?|[ \t]*\*+/$", "", item.doc or "", flags=re.M)
-            yield Pair(item.name, item.at, item.end, item.signature, doc, "comment")
+# ---- all languages
 
 
-GRAMMARS = {"python": pair_python, "braces": pair_braces}
-_BRACE_FILES = re.compile(r"\.(?:js|jsx|ts|tsx|mjs|java|php|go|rs|c|h|cpp|cs)$", re.I)
+def pair_braces(text: str, ending: str = "js") -> Iterator[Pair]:
+    """Pairs of a text in a language with braces, by its file ending."""
+    for name, at, end, signature, doc in braces.documented(text, ending):
+        yield Pair(name, at, end, signature, doc, "comment")
 
 
-def language_of_path(path: str | None) -> str:
-    """braces by file ending; everything else is read as Python."""
-    return "braces" if path and _BRACE_FILES.search(path) else "python"
+def pairs_of_file(text: str, path: str | None) -> Iterator[Pair]:
+    """Pairs by the grammar of the file's ending; whatever has none is read as Python."""
+    ending = (path or "").rpartition(".")[2].lower()
+    return pair_braces(text, ending) if ending in braces.GRAMMARS else pair_python(text)
 
 
 # ---- what documentation is worth
@@ -312,7 +308,7 @@ def extract_pairs(df: DataFrame, id_col: str = "entity_id", source_col: str = "s
             for rid, source, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = source.replace("\r\n", "\n").replace("\r", "\n")
                 line, seen = 1, 0
-                for pair in GRAMMARS[language_of_path(path)](text):
+                for pair in pairs_of_file(text, path):
                     line += text.count("\n", seen, pair.at)
                     seen = pair.at
                     if informs(pair.doc, pair.name):
@@ -320,5 +316,5 @@ def extract_pairs(df: DataFrame, id_col: str = "entity_id", source_col: str = "s
             columns = list(zip(*found, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    wanted = df.where(F.col(source_col).isNotNull() & (F.col(source_col) != "") & (F.coalesce(F.col(kind_col), F.lit("")) != "config") & F.col(source_col).rlike("def|function"))
+    wanted = df.where(F.col(source_col).isNotNull() & (F.col(source_col) != "") & (F.coalesce(F.col(kind_col), F.lit("")) != "config") & (F.col(source_col).contains("def") | F.lower(F.element_at(F.split(F.coalesce(F.col(path_col), F.lit("")), r"\."), -1)).isin(*sorted(braces.GRAMMARS))))
     return wanted.select(F.col(id_col).cast("long"), source_col, path_col).mapInArrow(run, f"{id_col} long, def_line int, name string, signature string, doc string, origin string")

@@ -19,13 +19,6 @@ def _code(spark, sf):
     return load(spark, sf, "code_entities_full")
 
 
-def a31_replacements(spark, sf):
-    """Replacements by type that masking makes in sources."""
-    kinds = {"SECRET": X.SECRET_ASSIGNMENT, "EMAIL": X.EMAIL, "URL": X.URL, "COMMIT_ID": X.HASH}
-    wide = _code(spark, sf).where("source is not null").agg(*(F.sum(X.count_matches(F.col("source"), p)).alias(k) for k, p in kinds.items()))
-    return wide.unpivot([], list(kinds), "type", "n").select("type", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 def a39_type_distribution(spark, sf):
     """Nodes per type before and after ids that occur more than once are dropped."""
     stored = nodes(spark, sf)
@@ -81,7 +74,6 @@ def m13_predictions(spark, sf):
 
 
 QUERIES = {
-    "a31_replacements": a31_replacements,
     "a39_type_distribution": a39_type_distribution,
     "j11_mapped_nodes": j11_mapped_nodes,
     "m13_predictions": m13_predictions,
@@ -107,7 +99,6 @@ _literal = lambda c: f"case when regexp_matches({c}, '^{_q(X.CODE_HOST)}') then
 _types = ", ".join(f"'{t}'" for t in G.NODE_TYPES)
 
 SQL = {
-    "a31_replacements": " union all ".join(_n(k, p) for k, p in (("SECRET", X.SECRET_ASSIGNMENT), ("EMAIL", X.EMAIL), ("URL", X.URL), ("COMMIT_ID", X.HASH))),
     "a39_type_distribution": "with b as (select coalesce(nullif(node_type, ''), 'UNKNOWN') as type, count(*) n from nodes group by 1), a as (select coalesce(nullif(node_type, ''), 'UNKNOWN') as type, count(*) n from nodes where id in (select id from nodes group by 1 having count(*) = 1) group by 1) select coalesce(b.type, a.type) as type, coalesce(b.n, 0) \"before\", coalesce(a.n, 0) \"after\" from b full join a on a.type = b.type",
     "j11_mapped_nodes": """with t as (select distinct node_id, regexp_replace(node_id, '^[A-Za-z]+:', '') q from target_ast_map where node_id is not null), n as (select distinct id, qualified_name from nodes where id is not null),
 c as (select node_id, id, 'id' strategy, 0 p from t join n on node_id = id union all select node_id, id, 'qualified_name', 1 from t join n on q = qualified_name union all select node_id, id, 'short_name', 2 from t join n on list_last(string_split(q, '.')) = list_last(string_split(qualified_name, '.')))

@@ -57,28 +57,6 @@ def x14_node_rewrite(spark, sf):
     return n.where("id is not null").groupBy("node_type", label.alias("label")).agg(F.count_distinct("id").alias("n"))
 
 
-def x17_rewrite(spark, sf):
-    """Definitions, calls and words of an entity's own name in its source replaced by a placeholder."""
-    short = F.substring_index("name", ".", -1)
-    c = _code(spark, sf).where("source is not null and kind in ('function', 'method') and name is not null")
-    return c.select("entity_id", F.md5(F.replace(F.col("source"), short, F.concat(F.lit("func_"), F.col("entity_id").cast("string")))).alias("rewritten"))
-
-
-def x19_pipeline(spark, sf):
-    """Imports, definitions, classes, then literals, in a fixed order."""
-    t = F.regexp_replace("source", r"(?md)^([ \t]*)(?:from[ ]+[A-Za-z0-9_.]+[ ]+)?import[ ]+[A-Za-z0-9_., ]+$", "$1import module")
-    t = F.regexp_replace(t, r"\bdef\s+[A-Za-z_][A-Za-z0-9_]*", "def func")
-    t = F.regexp_replace(t, r"\bclass\s+[A-Za-z_][A-Za-z0-9_]*", "class Cls")
-    return _code(spark, sf).where("source is not null").select("entity_id", F.md5(X.mask_inside(t)).alias("rewritten"))
-
-
-def x20_snippets(spark, sf):
-    t = F.col("snippet")
-    for words, token in (("api_?key", "[API_KEY]"), ("access_?key", "[ACCESS_KEY]"), ("auth_?token|token", "[AUTH_TOKEN]"), ("private_?key", "[PRIVATE_KEY]"), ("secret|passwd|password", "[SECRET]")):
-        t = F.regexp_replace(t, rf"(?i)\b({words})(\s*[=:]\s*)[\"'][^\"'\n]{{4,}}[\"']", f"$1$2{token}")
-    return load(spark, sf, "code_snippets").where("snippet is not null").select("snippet_id", F.md5(t).alias("rewritten"))
-
-
 def x22_residual_names(spark, sf):
     """Function names that documentation still mentions word by word."""
     words = _code(spark, sf).where("doc is not null").select("entity_id", F.explode(F.array_distinct(F.regexp_extract_all("doc", F.lit("[A-Za-z_][A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
@@ -164,16 +142,11 @@ QUERIES = {
     "x9_entities": x9_entities,
     "x10_contributors": lambda s, d: P.canonical_contributors(load(s, d, "commits_sample").select("author_name"), "author_name"),
     "x10_merged_contributors": lambda s, d: P.merged_contributors(load(s, d, "commits_sample").select("author_name"), "author_name"),
-    "x11_placeholders": lambda s, d: P.placeholders(_names(s, d), "name", "entity_id", "func_", 6),
     "x12_signatures": lambda s, d: _code(s, d).where("sig is not null").select("entity_id", P.masked_signature(F.col("sig")).alias("sig")),
     "x13_docstrings": x13_docstrings,
     "x14_node_rewrite": x14_node_rewrite,
     "x15_roles": lambda s, d: P.role_of(_names(s, d), "name"),
-    "x16_role_counters": lambda s, d: P.ranks(P.role_of(_names(s, d), "name"), "role", ["name"]).select("name", F.concat(F.col("role"), F.lit("_func_"), F.lpad(F.col("n").cast("string"), 6, "0")).alias("placeholder")),
-    "x17_rewrite": x17_rewrite,
     "x18_literals": lambda s, d: _code(s, d).where("source is not null").select("entity_id", F.md5(X.mask_inside(F.col("source"))).alias("rewritten")),
-    "x19_pipeline": x19_pipeline,
-    "x20_snippets": x20_snippets,
     "x21_residuals": lambda s, d: P.residuals(_bodies(s, d).select("record_id", F.lit("body").alias("field"), F.col("body").alias("value")), "record_id"),
     "a38_residual_counts": lambda s, d: P.residuals(_bodies(s, d).select("record_id", F.lit("body").alias("field"), F.col("body").alias("value")), "record_id").groupBy("pattern_type", "severity").agg(F.count("*").alias("n")),
     "x22_residual_names": x22_residual_names,
@@ -256,11 +229,6 @@ _fp = " or ".join(["lower(token) in (" + ", ".join(f"'{b}'" for b in BLOCKLIST)
 _PAY = "p as (select snippet_id, node_id, 'Node: ' || coalesce(node_id, '?') || chr(10) || 'Path: ' || coalesce(path, '?') header, coalesce(snippet, '') snippet from code_snippets)"
 _build = lambda c: f"header || chr(10) || chr(10) || case when {c} <> '' then 'Code:' || chr(10) || {c} || chr(10) || chr(10) else '' end || 'Summarize.'"
 _est = lambda c: f"case when coalesce(length({c}), 0) = 0 then 0 else greatest(1, floor(length({c}) / 4)) end::int"
-_snip = "snippet"
-for _w, _t in (("api_?key", "[API_KEY]"), ("access_?key", "[ACCESS_KEY]"), ("auth_?token|token", "[AUTH_TOKEN]"), ("private_?key", "[PRIVATE_KEY]"), ("secret|passwd|password", "[SECRET]")):
-    _snip = f"regexp_replace({_snip}, '{_q(rf'(?i)\b({_w})(\s*[=:]\s*)[\"' + chr(39) + r'][^\"' + chr(39) + r'\n]{4,}[\"' + chr(39) + ']')}', '\\1\\2{_t}', 'g')"
-_pipe = r"regexp_replace(source, '(?m)^([ \t]*)(?:from[ ]+[A-Za-z0-9_.]+[ ]+)?import[ ]+[A-Za-z0-9_., ]+$', '\1import module', 'g')"
-_pipe = rf"regexp_replace(regexp_replace({_pipe}, '\bdef\s+[A-Za-z_][A-Za-z0-9_]*', 'def func', 'g'), '\bclass\s+[A-Za-z_][A-Za-z0-9_]*', 'class Cls', 'g')"
 
 SQL = {
     "x1_field_audit": f"{_AUDIT} select field, final_category, {_ACTION} as action, count(*) n from b group by all",
@@ -272,16 +240,11 @@ SQL = {
     "x7_nested_commits": f"select record_id, coalesce(array_to_string(list_transform(commits, lambda c: concat_ws('|', '[COMMIT_HASH]', {_inside('c.message_head')})), chr(10)), '') commits from pull_requests where commits is not null",
     "x9_entities": f"select record_id, {_BODYCOUNTS(lambda x: x)} from pull_requests",
     "x10_contributors": r"with k as (select distinct author_name, array_to_string(list_sort(string_split(lower(trim(regexp_replace(author_name, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')), ' ') k from commits_sample where author_name is not null), f as (select k, min(author_name) s from k where k <> '' group by 1), n as (select k, row_number() over (order by s, k) i from f) select author_name, 'CONTRIBUTOR_' || i::varchar contributor from k left join n using (k)",
-    "x11_placeholders": f"with {_NAMES}, f as (select name, min(entity_id) s from nm where name <> '' group by 1) select name, 'func_' || lpad(row_number() over (order by s, name)::varchar, 6, '0') placeholder from f",
     "x12_signatures": r"select entity_id, case when trim(i) = '' then '()' else '(' || array_to_string(list_transform(string_split(i, ','), lambda p, k: case when trim(p) in ('self', 'cls', '*', '/') then trim(p) else regexp_extract(trim(p), '^(\*{0,2})', 1) || 'param_' || lpad(k::varchar, 3, '0') || case when contains(p, '=') then '=[DEFAULT]' else '' end end), ', ') || ')' end sig from (select entity_id, regexp_replace(sig, '^\(|\)$', '', 'g') i from code_entities_full where sig is not null)",
     "x13_docstrings": f"select entity_id, regexp_replace(regexp_replace(doc, '{_q(X.FILE_PATH)}', '[FILE]', 'g'), '{_q(X.DOTTED_MODULE)}', '[MODULE]', 'g') doc from code_entities_full where doc is not null",
     "x14_node_rewrite": "select node_type, case when node_type in ('Function', 'Class') then lower(node_type) || '_' || left(sha1(label), 6) when node_type = 'File' then 'file.' || list_last(string_split(label, '.')) when node_type = 'Commit' then '[COMMIT]' else label end as label, count(distinct id) n from nodes where id is not null group by 1, 2",
     "x15_roles": f"with {_ROLES} select name, role from rl",
-    "x16_role_counters": f"with {_ROLES} select name, role || '_func_' || lpad(row_number() over (partition by role order by name)::varchar, 6, '0') placeholder from rl",
-    "x17_rewrite": "select entity_id, md5(replace(source, list_last(string_split(name, '.')), 'func_' || entity_id::varchar)) rewritten from code_entities_full where source is not null and kind in ('function', 'method') and name is not null",
     "x18_literals": f"select entity_id, md5({_inside('source')}) rewritten from code_entities_full where source is not null",
-    "x19_pipeline": f"select entity_id, md5({_inside(_pipe)}) rewritten from code_entities_full where source is not null",
-    "x20_snippets": f"select snippet_id, md5({_snip}) rewritten from code_snippets where snippet is not null",
     "x21_residuals": f"with {_RES} select * from res",
     "a38_residual_counts": f"with {_RES} select pattern_type, severity, count(*) n from res group by all",
     "x22_residual_names": f"with {_NAMES}, w as (select distinct entity_id, unnest(regexp_extract_all(doc, '[A-Za-z_][A-Za-z0-9_]+', 0)) as name from code_entities_full where doc is not null) select entity_id, name from w where name in (select name from nm)",

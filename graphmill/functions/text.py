@@ -52,32 +52,13 @@ def value_category(value: Column) -> Column:
     """SAFE, PROVENANCE, LITERAL, STRUCTURAL or UNKNOWN by the shape of a value; the first that fits."""
     return (
         F.when(value.isNull() | value.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), "SAFE")
-        .when(value.rlike("^[0-9a-f]{40}$") | value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}") | value.rlike(f"^{EMAIL}$"), "PROVENANCE")
-        .when(value.rlike("^https?://"), "LITERAL")
-        .when(value.rlike(r"^[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)+$") | value.rlike(r"^[a-z_][a-z0-9_]*(\.[a-zA-Z_][A-Za-z0-9_]*)+$"), "STRUCTURAL")
+        .when(F.trim(value).rlike("^[0-9a-f]{40}$") | value.rlike("[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}") | value.rlike(r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z]+"), "PROVENANCE")
+        .when(value.rlike(r"https?://[^\s]"), "LITERAL")
+        .when(value.rlike(r"[A-Za-z0-9_./-]+\.(?:py|json|yaml|yml|txt|md|csv|sh|cfg|ini|toml)") | F.trim(value).rlike(r"^[a-z_]+(?:\.[a-z_]+)+$"), "STRUCTURAL")
         .otherwise("UNKNOWN")
     )
 
 
-def action_of(category: Column) -> Column:
-    """What is done with a category."""
-    return F.when(category == "SAFE", "KEEP").when(category == "PROVENANCE", "MASK").when(category == "LITERAL", "REPLACE").when(category == "STRUCTURAL", "RENAME").otherwise("REVIEW")
-
-
-def false_positive(token: Column, blocklist: tuple[str, ...]) -> Column:
-    """Tokens an entity recogniser takes for names wrongly: listed, file names, versions, short capitals, snake case, hashes, one or two letters."""
-    return (
-        F.lower(token).isin(*blocklist)
-        | token.rlike(r"^[A-Za-z0-9_-]+\.(py|md|json|txt|yaml|csv)$")
-        | token.rlike(r"^v?[0-9]+(\.[0-9]+)+$")
-        | token.rlike("^[0-9]+$")
-        | token.rlike("^[A-Z]{1,3}$")
-        | token.rlike("^[a-z]+(_[a-z0-9]+)+$")
-        | token.rlike("^[0-9a-f]{7,40}$")
-        | (F.length(token) <= 2)
-    )
-
-
 def tokens(text: Column) -> Column:
     """Distinct small tokens between blanks, in order."""
     return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != ""))

@@ -14,11 +14,6 @@ from graphmill.functions import text as X
 from graphmill.operators.graph import components
 from graphmill.session import cut
 
-#: Category of each field of a node; all others go by their value.
-FIELD_CATEGORIES = {
-    "id": "STRUCTURAL", "node_type": "SAFE", "label": "STRUCTURAL", "path": "STRUCTURAL", "file": "STRUCTURAL", "qualified_name": "STRUCTURAL", "lineno": "SAFE", "sha": "PROVENANCE",
-    "number": "PROVENANCE", "author": "PROVENANCE", "date": "PROVENANCE", "message": "PROVENANCE", "title": "PROVENANCE", "html_url": "LITERAL", "attrs.type": "SAFE", "attrs.size": "SAFE",
-}
 #: Roles of functions and the words that tell them, in the order in which ties are decided.
 ROLES = {
     "data_loader": ("load", "fetch", "read", "ingest", "download", "unzip", "import", "parse"),
@@ -32,20 +27,6 @@ ROLES = {
 STANDARD_MODULES = tuple("os sys re json math csv time datetime pickle logging random collections itertools functools pathlib typing subprocess argparse hashlib io copy".split())
 
 
-def unpivoted(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, value) of the given fields as text, nulls kept."""
-    return df.select(key, *(F.col(c).cast("string").alias(c) for c in fields)).unpivot([key], fields, "field", "value")
-
-
-def audited(fields: DataFrame) -> DataFrame:
-    """field rows with field_category, value_category, final_category and action; the value decides where the field is unknown."""
-    known = F.create_map(*(F.lit(x) for kv in FIELD_CATEGORIES.items() for x in kv))
-    by_field = F.coalesce(F.try_element_at(known, F.col("field")), F.lit("UNKNOWN"))
-    out = fields.withColumns({"field_category": by_field, "value_category": X.value_category(F.col("value"))})
-    final = F.when(F.col("field_category") == "UNKNOWN", F.col("value_category")).otherwise(F.col("field_category"))
-    return out.withColumn("final_category", final).withColumn("action", X.action_of(final))
-
-
 def ranks(df: DataFrame, group: str | None, order: list[str], name: str = "n") -> DataFrame:
     """``df`` numbered from 1 within each group in the given order, without gathering any group in one task.
 
@@ -103,16 +84,6 @@ def masked_commits(commits: Column) -> Column:
     return F.transform(commits, lambda c: F.struct(F.lit("[COMMIT_HASH]").alias("sha"), X.mask_inside(c["message_head"]).alias("message_head")))
 
 
-def residuals(fields: DataFrame, key: str) -> DataFrame:
-    """(key, field, pattern_type, matched_text, severity): every literal that is left in a field, all patterns in one pass."""
-
-    def of(kind: str, pattern: str, severity: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.col("value"), F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(kind).alias("pattern_type"), m.alias("matched_text"), F.lit(severity).alias("severity")))
-
-    found = F.flatten(F.array(*(of(k, p, s) for k, (p, s) in X.RESIDUALS.items())))
-    return fields.where("value is not null").select(key, "field", F.explode(found).alias("r")).select(key, "field", "r.pattern_type", "r.matched_text", "r.severity")
-
-
 def author_signals(df: DataFrame, text: str) -> DataFrame:
     """Counts of addresses, home directories, hashes and long numbers (each list ordered, distinct, at most ten) and the risk they add up to."""
     found = {"emails": X.EMAIL, "paths": X.HOME_PATH, "hashes": X.SHORT_HASH, "numbers": X.LONG_NUMBER}
@@ -274,9 +245,3 @@ def replace_words(df: DataFrame, key: str, text: str, names: DataFrame) -> DataF
     joined = cut_up.join(names.select(F.col("name").alias("word"), "placeholder"), "word", "left")
     parts = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("placeholder", "word").alias("w"))))
     return joined.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["w"]), "").alias(text))
-
-
-def routed(df: DataFrame, routes: dict[str, str]) -> DataFrame:
-    """Each field through the mask of its route: keep, literal, inside or drop; fields without a route are kept."""
-    masks = {"keep": lambda c: c, "literal": X.mask_whole, "inside": X.mask_inside, "drop": lambda c: F.when(c.isNotNull(), "[MASKED]")}
-    return df.select(*(masks[routes.get(c, "keep")](F.col(c)).alias(c) for c in df.columns))

@@ -19,15 +19,6 @@ def _code(spark, sf):
     return load(spark, sf, "code_entities_full")
 
 
-def a39_type_distribution(spark, sf):
-    """Nodes per type before and after ids that occur more than once are dropped."""
-    stored = nodes(spark, sf)
-    once = stored.groupBy("id").agg(F.count("*").alias("k")).where("k = 1").select("id")
-    before = G.type_counts(stored, "node_type").withColumnRenamed("n", "before")
-    after = G.type_counts(stored.join(once, "id", "left_semi"), "node_type").withColumnRenamed("n", "after")
-    return before.join(after, "type", "full_outer").select("type", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
-
-
 def j11_mapped_nodes(spark, sf):
     """Targets and the node that is meant: equal id, equal qualified name, equal last segment."""
     t = load(spark, sf, "target_ast_map").where("node_id is not null").select("node_id").distinct().withColumn("q", F.regexp_replace("node_id", "^[A-Za-z]+:", "")).withColumn("short", F.substring_index("q", ".", -1))
@@ -74,7 +65,6 @@ def m13_predictions(spark, sf):
 
 
 QUERIES = {
-    "a39_type_distribution": a39_type_distribution,
     "j11_mapped_nodes": j11_mapped_nodes,
     "m13_predictions": m13_predictions,
     "so4_distinct_values": lambda s, d: _code(s, d).select("kind").distinct(),
@@ -82,7 +72,6 @@ QUERIES = {
     "u14_candidate_scores": u14_candidate_scores,
     "u17_validation": u17_validation,
     "w11_word_replacement": w11_word_replacement,
-    "x8_router": lambda s, d: P.routed(load(s, d, "commits_sample").select("record_id", "html_url", "message_head", "author_name", "sha"), {"html_url": "literal", "message_head": "inside", "author_name": "drop", "sha": "literal"}),
 }
 
 _q = lambda p: p.replace("'", "''")
@@ -99,7 +88,6 @@ _literal = lambda c: f"case when regexp_matches({c}, '^{_q(X.CODE_HOST)}') then
 _types = ", ".join(f"'{t}'" for t in G.NODE_TYPES)
 
 SQL = {
-    "a39_type_distribution": "with b as (select coalesce(nullif(node_type, ''), 'UNKNOWN') as type, count(*) n from nodes group by 1), a as (select coalesce(nullif(node_type, ''), 'UNKNOWN') as type, count(*) n from nodes where id in (select id from nodes group by 1 having count(*) = 1) group by 1) select coalesce(b.type, a.type) as type, coalesce(b.n, 0) \"before\", coalesce(a.n, 0) \"after\" from b full join a on a.type = b.type",
     "j11_mapped_nodes": """with t as (select distinct node_id, regexp_replace(node_id, '^[A-Za-z]+:', '') q from target_ast_map where node_id is not null), n as (select distinct id, qualified_name from nodes where id is not null),
 c as (select node_id, id, 'id' strategy, 0 p from t join n on node_id = id union all select node_id, id, 'qualified_name', 1 from t join n on q = qualified_name union all select node_id, id, 'short_name', 2 from t join n on list_last(string_split(q, '.')) = list_last(string_split(qualified_name, '.')))
 select node_id, id, strategy from (select *, row_number() over (partition by node_id order by p, id) r from c) where r = 1""",
@@ -108,5 +96,4 @@ select node_id, id, strategy from (select *, row_number() over (partition by nod
     "u14_candidate_scores": f"with p as (select {_S('relpath')} file, count(*) symbols from code_entities_full where relpath is not null group by 1), k as (select distinct {_S('path')} file from code_snippets where path is not null) select p.file, case when regexp_matches(p.file, '(^|/)src/') then 20 else 0 end + case when k.file is null then 0 else 10 end + symbols - case when starts_with(p.file, 'cloudrun/') or starts_with(p.file, 'serving/') then 5 else 0 end score from p left join k on k.file = p.file",
     "u17_validation": rf"with e as (select unnest([case when node_type is null or node_type = '' then 'type_missing' end, case when node_type not in ({_types}) then 'type_unknown' end, case when not contains(id, ':') then 'id_without_type' end, case when contains(id, '\') then 'backslash' end, case when split_part(id, ':', 1) <> node_type then 'type_differs' end, case when node_type in ('Function', 'Class') and path is null then 'no_path' end]) error from nodes) select error, count(*) n from e where error is not null group by 1",
     "w11_word_replacement": "with n as (select list_last(string_split(name, '.')) w, 'func_' || min(entity_id)::varchar p from code_entities_full where kind in ('function', 'method') and name is not null group by 1), t as (select entity_id, unnest(l) w, generate_subscripts(l, 1) i from (select entity_id, regexp_extract_all(doc, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+', 0) l from code_entities_full where doc <> '')) select entity_id, string_agg(coalesce(p, t.w), '' order by i) doc from t left join n on n.w = t.w group by 1",
-    "x8_router": f"select record_id, {_literal('html_url')} html_url, {_mask('message_head')} message_head, case when author_name is not null then '[MASKED]' end author_name, {_literal('sha')} sha from commits_sample",
 }

@@ -11,13 +11,6 @@ from graphmill.operators import privacy as P
 from graphmill.sources import load
 from graphmill.sources.knowledge import nodes
 
-FIELDS = ["node_type", "label", "path", "qualified_name", "lineno", "sha", "number"]
-BLOCKLIST = ("fix", "add", "update", "remove", "clean", "test", "rename", "handle", "random", "forest")
-
-
-def _fields(spark, sf):
-    stored = nodes(spark, sf).select("id", *FIELDS).distinct()
-    return P.unpivoted(stored, "id", FIELDS)
 
 
 def _messages(spark, sf):
@@ -41,22 +34,11 @@ def x5_provenance(spark, sf):
     return c.select("record_id", X.mask_inside(F.col("message_head")).alias("message"), F.when(F.col("author_date").isNotNull(), "[TIMESTAMP]").alias("author_date"), F.when(F.col("author_email").rlike(f"^{X.EMAIL}$"), "[EMAIL]").otherwise(F.col("author_email")).alias("author_email"))
 
 
-def x9_entities(spark, sf):
-    t = _bodies(spark, sf)
-    return t.select("record_id", *(X.count_matches(F.col("body"), p).cast("int").alias(n.lower()) for n, (p, _) in X.RESIDUALS.items()))
-
-
 def x13_docstrings(spark, sf):
     doc = F.regexp_replace(F.regexp_replace("doc", X.FILE_PATH, "[FILE]"), X.DOTTED_MODULE, "[MODULE]")
     return _code(spark, sf).where("doc is not null").select("entity_id", doc.alias("doc"))
 
 
-def x14_node_rewrite(spark, sf):
-    n = nodes(spark, sf)
-    label = F.when(F.col("node_type").isin("Function", "Class"), F.concat(F.lower("node_type"), F.lit("_"), F.substring(F.sha1("label"), 1, 6))).when(F.col("node_type") == "File", F.concat(F.lit("file."), F.substring_index("label", ".", -1))).when(F.col("node_type") == "Commit", "[COMMIT]").otherwise(F.col("label"))
-    return n.where("id is not null").groupBy("node_type", label.alias("label")).agg(F.count_distinct("id").alias("n"))
-
-
 def x22_residual_names(spark, sf):
     """Function names that documentation still mentions word by word."""
     words = _code(spark, sf).where("doc is not null").select("entity_id", F.explode(F.array_distinct(F.regexp_extract_all("doc", F.lit("[A-Za-z_][A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
@@ -69,13 +51,6 @@ def x23_unused_placeholders(spark, sf):
     return _names(spark, sf).select("name").distinct().join(words, "name", "left_anti")
 
 
-def x28_redacted_attributes(spark, sf):
-    """Attributes with sensitive keys redacted, as sorted text."""
-    clean = F.transform_values("attrs", lambda k, v: F.when(k.rlike("(?i)token|secret|password|hash|key"), F.lit("[REDACTED]")).otherwise(v))
-    flat = F.array_join(F.array_sort(F.transform(F.map_entries(clean), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";")
-    return nodes(spark, sf).where("attrs is not null").groupBy(flat.alias("attrs")).agg(F.count("*").alias("n"))
-
-
 def x29_name_similarity(spark, sf):
     d = load(spark, sf, "retrieval_debug").where("label is not null and node_id is not null")
     return d.select("retrieval_id", F.round(X.name_similarity(F.substring_index("node_id", ".", -1), F.col("label")), 6).alias("similarity"))
@@ -132,36 +107,23 @@ def pj15_parsed_output(spark, sf):
 
 
 QUERIES = {
-    "x1_field_audit": lambda s, d: P.audited(_fields(s, d)).groupBy("field", "final_category", "action").agg(F.count("*").alias("n")),
-    "x2_value_categories": lambda s, d: P.audited(_fields(s, d)).groupBy("field", "value_category").agg(F.count("*").alias("n")),
-    "a30_leakage_share": lambda s, d: P.audited(_fields(s, d)).groupBy("final_category").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("field")), ";").alias("fields")),
     "x4_literal_mask": lambda s, d: load(s, d, "commits_sample").select("record_id", X.mask_whole(F.col("html_url")).alias("html_url"), X.mask_whole(F.col("sha")).alias("sha")),
-    "x5_provenance_mask": x5_provenance,
-    "x6_hash_lists": lambda s, d: load(s, d, "commits_sample").where("parents is not null").select("record_id", F.array_join(F.transform("parents", lambda x: X.mask_whole(x)), ",").alias("parents")),
     "x7_nested_commits": lambda s, d: load(s, d, "pull_requests").where("commits is not null").select("record_id", F.array_join(F.transform(P.masked_commits(F.col("commits")), lambda c: F.concat_ws("|", c["sha"], c["message_head"])), "\n").alias("commits")),
-    "x9_entities": x9_entities,
     "x10_contributors": lambda s, d: P.canonical_contributors(load(s, d, "commits_sample").select("author_name"), "author_name"),
     "x10_merged_contributors": lambda s, d: P.merged_contributors(load(s, d, "commits_sample").select("author_name"), "author_name"),
     "x12_signatures": lambda s, d: _code(s, d).where("sig is not null").select("entity_id", P.masked_signature(F.col("sig")).alias("sig")),
     "x13_docstrings": x13_docstrings,
-    "x14_node_rewrite": x14_node_rewrite,
     "x15_roles": lambda s, d: P.role_of(_names(s, d), "name"),
-    "x18_literals": lambda s, d: _code(s, d).where("source is not null").select("entity_id", F.md5(X.mask_inside(F.col("source"))).alias("rewritten")),
-    "x21_residuals": lambda s, d: P.residuals(_bodies(s, d).select("record_id", F.lit("body").alias("field"), F.col("body").alias("value")), "record_id"),
-    "a38_residual_counts": lambda s, d: P.residuals(_bodies(s, d).select("record_id", F.lit("body").alias("field"), F.col("body").alias("value")), "record_id").groupBy("pattern_type", "severity").agg(F.count("*").alias("n")),
     "x22_residual_names": x22_residual_names,
     "x23_unused_placeholders": x23_unused_placeholders,
     "x24_syntax": lambda s, d: _code(s, d).where("source is not null and kind <> 'config'").groupBy(P.parses("source").alias("parses")).agg(F.count("*").alias("n")),
     "x25_author_signals": lambda s, d: P.author_signals(_bodies(s, d), "body").drop("body"),
     "x25_all_author_signals": lambda s, d: P.all_author_signals(load(s, d, "pull_requests"), "record_id", "body", "title", "merge_commit_sha", load(s, d, "commits_sample")),
-    "x27_pii_scan": lambda s, d: _bodies(s, d).select("record_id", *(F.size(X.distinct_matches(F.col("body"), p)).alias(n.lower()) for n, (p, _) in X.RESIDUALS.items())),
-    "x28_redacted_attributes": x28_redacted_attributes,
     "x29_name_similarity": x29_name_similarity,
     "f9_seeded_sample": lambda s, d: nodes(s, d).where("id is not null").select("id").distinct().orderBy(F.xxhash64("id", F.lit(7)), "id").limit(150),
     "f8_silver_sample": lambda s, d: nodes(s, d).where(F.col("node_type").isin("Function", "Class") & F.col("path").startswith("src/")).select("id", "path").distinct(),
     "f10_skip_lists": lambda s, d: _code(s, d).where(~G.slashed(F.col("relpath")).rlike("(^|/)(tests?|tools|node_modules)/") & ~F.col("relpath").rlike(r"\.(xml|json|toml)$")).select("entity_id"),
     "f11_stdlib_blocklist": lambda s, d: _code(s, d).where("source is not null").select(F.explode(F.regexp_extract_all("source", F.lit(r"(?m)^import ([A-Za-z0-9_.]+)"), F.lit(1))).alias("module")).where(~F.substring_index("module", ".", 1).isin(*P.STANDARD_MODULES)).groupBy("module").agg(F.count("*").alias("n")),
-    "f12_false_positives": lambda s, d: load(s, d, "pull_requests").where("title is not null").select(F.explode(F.split("title", " ")).alias("token")).where("token <> ''").groupBy(X.false_positive(F.col("token"), BLOCKLIST).alias("false_positive")).agg(F.count("*").alias("n"), F.count_distinct("token").alias("tokens")),
     "f13_long_parameters": lambda s, d: _code(s, d).where("sig is not null").select("entity_id", F.explode(F.regexp_extract_all("sig", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("p")).where("length(p) > 2").groupBy("p").agg(F.count("*").alias("n")),
     "f14_ordered_distinct": lambda s, d: load(s, d, "commits_sample").where("message_head is not null").select("record_id", F.array_join(F.slice(X.tokens(F.col("message_head")), 1, 10), ",").alias("words")),
     "f15_payload_errors": f15_payload_errors,
@@ -200,16 +162,10 @@ def _inside(c: str) -> str:
 
 
 _whole = lambda c: f"case when regexp_matches({c}, '^{_q(X.CODE_HOST)}') then '[REPO_URL]' when regexp_matches({c}, '^https?://') then '[URL]' when regexp_matches({c}, '^[0-9a-f]{{40}}$') then '[HASH]' else {c} end"
-_VALUECAT = rf"case when value is null or regexp_matches(value, '^-?[0-9]+(\.[0-9]+)?$') then 'SAFE' when regexp_matches(value, '^[0-9a-f]{{40}}$') or regexp_matches(value, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') or regexp_matches(value, '^{X.EMAIL}$') then 'PROVENANCE' when regexp_matches(value, '^https?://') then 'LITERAL' when regexp_matches(value, '^[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)+$') or regexp_matches(value, '^[a-z_][a-z0-9_]*(\.[a-zA-Z_][A-Za-z0-9_]*)+$') then 'STRUCTURAL' else 'UNKNOWN' end"
-_FIELDCAT = "case field " + " ".join(f"when '{k}' then '{v}'" for k, v in P.FIELD_CATEGORIES.items()) + " else 'UNKNOWN' end"
-_AUDIT = f"with n as (select distinct id, {', '.join(FIELDS)} from nodes), f as (" + " union all ".join(f"select id, '{c}' field, {c}::varchar as value from n" for c in FIELDS) + f"), a as (select field, {_FIELDCAT} fc, {_VALUECAT} value_category from f), b as (select field, value_category, case when fc = 'UNKNOWN' then value_category else fc end final_category from a)"
-_ACTION = "case final_category when 'SAFE' then 'KEEP' when 'PROVENANCE' then 'MASK' when 'LITERAL' then 'REPLACE' when 'STRUCTURAL' then 'RENAME' else 'REVIEW' end"
 _NAMES = "nm as (select entity_id, list_last(string_split(name, '.')) as name from code_entities_full where kind in ('function', 'method') and name is not null)"
 _ROLEVALUES = ", ".join(f"('{w}', '{r}', {i})" for i, (r, ws) in enumerate(P.ROLES.items()) for w in ws)
 _ROLES = f"""{_NAMES}, dn as (select distinct name from nm), k(word, role, ro) as (values {_ROLEVALUES}), w as (select name, unnest(ws) word, generate_subscripts(ws, 1) pos from (select name, regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_. ]+') ws from dn)),
 h as (select name, role, ro, count(*) n, min(pos) f from w join k using (word) group by 1, 2, 3), b as (select name, role, row_number() over (partition by name order by n desc, f, ro) r from h), rl as (select dn.name, coalesce(role, 'utility') role from dn left join b on b.name = dn.name and r = 1)"""
-_RES = "res as (" + " union all ".join(f"select record_id, 'body' field, '{n}' pattern_type, unnest({_all('body', p)}) matched_text, '{s}' severity from pull_requests where body is not null" for n, (p, s) in X.RESIDUALS.items()) + ")"
-_BODYCOUNTS = lambda f: ", ".join(f"coalesce(len({f(_all('body', p))}), 0)::int {n.lower()}" for n, (p, _) in X.RESIDUALS.items())
 _split = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda t: t <> '')"
 _PREDS = "pr as (select number id, coalesce(title, '') p, coalesce(commits[1].message_head, '') r from (select *, row_number() over (partition by number order by record_id) k from pull_requests where len(commits) > 0 and number is not null) where k = 1)"
 _grams = lambda c, n: f"case when len({c}) >= {n} then list_transform(generate_series(1, len({c}) - {n - 1}), lambda i: array_to_string(list_slice({c}, i, i + {n - 1}), ' ')) else [] end"
@@ -225,38 +181,24 @@ def _rouge(n: int) -> str:
 _BLEU = f"{_PREDS}, w as (select {_split('p')} p, {_split('r')} r from pr), g as (select len(p) pl, len(r) rl, " + ", ".join(f"{_grams('p', n)} p{n}, {_grams('r', n)} r{n}" for n in range(1, 5)) + " from w), t as (select sum(pl)::bigint plen, sum(rl)::bigint rlen, " + ", ".join(f"sum({_clip(f'p{n}', f'r{n}')})::double m{n}, sum(len(p{n}))::double t{n}" for n in range(1, 5)) + " from g)"
 _chars = lambda c: f"string_split(regexp_replace({c}, '\\s+', '', 'g'), '')"
 _CHRF = f"{_PREDS}, w as (select list_filter({_chars('p')}, lambda x: x <> '') p, list_filter({_chars('r')}, lambda x: x <> '') r from pr), g as (select " + ", ".join(f"{_grams('p', n)} p{n}, {_grams('r', n)} r{n}" for n in range(1, 7)) + " from w), t as (select " + ", ".join(f"sum({_clip(f'p{n}', f'r{n}')})::double m{n}, sum(len(p{n}))::double p{n}, sum(len(r{n}))::double r{n}" for n in range(1, 7)) + " from g), s as (select (" + " + ".join(f"coalesce(m{n} / nullif(p{n}, 0), 0)" for n in range(1, 7)) + ") / 6 p, (" + " + ".join(f"coalesce(m{n} / nullif(r{n}, 0), 0)" for n in range(1, 7)) + ") / 6 r from t)"
-_fp = " or ".join(["lower(token) in (" + ", ".join(f"'{b}'" for b in BLOCKLIST) + ")", *(f"regexp_matches(token, '{p}')" for p in (r"^[A-Za-z0-9_-]+\.(py|md|json|txt|yaml|csv)$", r"^v?[0-9]+(\.[0-9]+)+$", "^[0-9]+$", "^[A-Z]{1,3}$", "^[a-z]+(_[a-z0-9]+)+$", "^[0-9a-f]{7,40}$")), "length(token) <= 2"])
 _PAY = "p as (select snippet_id, node_id, 'Node: ' || coalesce(node_id, '?') || chr(10) || 'Path: ' || coalesce(path, '?') header, coalesce(snippet, '') snippet from code_snippets)"
 _build = lambda c: f"header || chr(10) || chr(10) || case when {c} <> '' then 'Code:' || chr(10) || {c} || chr(10) || chr(10) else '' end || 'Summarize.'"
 _est = lambda c: f"case when coalesce(length({c}), 0) = 0 then 0 else greatest(1, floor(length({c}) / 4)) end::int"
 
 SQL = {
-    "x1_field_audit": f"{_AUDIT} select field, final_category, {_ACTION} as action, count(*) n from b group by all",
-    "x2_value_categories": f"{_AUDIT} select field, value_category, count(*) n from b group by all",
-    "a30_leakage_share": f"{_AUDIT} select final_category, count(*) n, array_to_string(list_sort(list(distinct field)), ';') fields from b group by 1",
     "x4_literal_mask": f"select record_id, {_whole('html_url')} html_url, {_whole('sha')} sha from commits_sample",
-    "x5_provenance_mask": f"select record_id, {_inside('message_head')} message, case when author_date is not null then '[TIMESTAMP]' end author_date, case when regexp_matches(author_email, '^{_q(X.EMAIL)}$') then '[EMAIL]' else author_email end author_email from commits_sample",
-    "x6_hash_lists": f"select record_id, array_to_string(list_transform(parents, lambda x: {_whole('x')}), ',') parents from commits_sample where parents is not null",
     "x7_nested_commits": f"select record_id, coalesce(array_to_string(list_transform(commits, lambda c: concat_ws('|', '[COMMIT_HASH]', {_inside('c.message_head')})), chr(10)), '') commits from pull_requests where commits is not null",
-    "x9_entities": f"select record_id, {_BODYCOUNTS(lambda x: x)} from pull_requests",
     "x10_contributors": r"with k as (select distinct author_name, array_to_string(list_sort(string_split(lower(trim(regexp_replace(author_name, '[^A-Za-z0-9]+', ' ', 'g'))), ' ')), ' ') k from commits_sample where author_name is not null), f as (select k, min(author_name) s from k where k <> '' group by 1), n as (select k, row_number() over (order by s, k) i from f) select author_name, 'CONTRIBUTOR_' || i::varchar contributor from k left join n using (k)",
     "x12_signatures": r"select entity_id, case when trim(i) = '' then '()' else '(' || array_to_string(list_transform(string_split(i, ','), lambda p, k: case when trim(p) in ('self', 'cls', '*', '/') then trim(p) else regexp_extract(trim(p), '^(\*{0,2})', 1) || 'param_' || lpad(k::varchar, 3, '0') || case when contains(p, '=') then '=[DEFAULT]' else '' end end), ', ') || ')' end sig from (select entity_id, regexp_replace(sig, '^\(|\)$', '', 'g') i from code_entities_full where sig is not null)",
     "x13_docstrings": f"select entity_id, regexp_replace(regexp_replace(doc, '{_q(X.FILE_PATH)}', '[FILE]', 'g'), '{_q(X.DOTTED_MODULE)}', '[MODULE]', 'g') doc from code_entities_full where doc is not null",
-    "x14_node_rewrite": "select node_type, case when node_type in ('Function', 'Class') then lower(node_type) || '_' || left(sha1(label), 6) when node_type = 'File' then 'file.' || list_last(string_split(label, '.')) when node_type = 'Commit' then '[COMMIT]' else label end as label, count(distinct id) n from nodes where id is not null group by 1, 2",
     "x15_roles": f"with {_ROLES} select name, role from rl",
-    "x18_literals": f"select entity_id, md5({_inside('source')}) rewritten from code_entities_full where source is not null",
-    "x21_residuals": f"with {_RES} select * from res",
-    "a38_residual_counts": f"with {_RES} select pattern_type, severity, count(*) n from res group by all",
     "x22_residual_names": f"with {_NAMES}, w as (select distinct entity_id, unnest(regexp_extract_all(doc, '[A-Za-z_][A-Za-z0-9_]+', 0)) as name from code_entities_full where doc is not null) select entity_id, name from w where name in (select name from nm)",
     "x23_unused_placeholders": f"with {_NAMES} select distinct name from nm where name not in (select unnest(regexp_extract_all(snippet, '[A-Za-z_][A-Za-z0-9_]+', 0)) from code_snippets where snippet is not null)",
     "x25_author_signals": f"with c as (select record_id, " + ", ".join(f"least(10, coalesce(len(list_distinct({_all('body', p)})), 0))::int {k}" for k, p in (("emails", X.EMAIL), ("paths", X.HOME_PATH), ("hashes", X.SHORT_HASH), ("numbers", X.LONG_NUMBER))) + " from pull_requests), r as (select *, least(10, 3 * emails + 2 * paths + hashes + 2 * numbers) risk from c) select *, case when risk < 3 then 'LOW' when risk < 6 then 'MEDIUM' else 'HIGH' end as level from r",
-    "x27_pii_scan": f"select record_id, {_BODYCOUNTS(lambda x: f'list_distinct({x})')} from pull_requests",
-    "x28_redacted_attributes": "select array_to_string(list_sort(list_transform(map_entries(attrs), lambda e: concat_ws('=', e.key, case when regexp_matches(e.key, '(?i)token|secret|password|hash|key') then '[REDACTED]' else e.value end))), ';') attrs, count(*) n from nodes where attrs is not null group by 1",
     "x29_name_similarity": "with s as (select retrieval_id, list_distinct(list_filter(regexp_split_to_array(list_last(string_split(node_id, '.')), '[._]'), lambda t: t <> '')) a, list_distinct(list_filter(regexp_split_to_array(label, '[._]'), lambda t: t <> '')) b from retrieval_debug where label is not null and node_id is not null) select retrieval_id, round(coalesce(len(list_intersect(a, b)) / nullif(greatest(len(a), len(b)), 0), 0)::double, 6) similarity from s",
     "f8_silver_sample": "select distinct id, path from nodes where node_type in ('Function', 'Class') and starts_with(path, 'src/')",
     "f10_skip_lists": r"select entity_id from code_entities_full where not regexp_matches(replace(relpath, '\', '/'), '(^|/)(tests?|tools|node_modules)/') and not regexp_matches(relpath, '\.(xml|json|toml)$')",
     "f11_stdlib_blocklist": "with m as (select unnest(regexp_extract_all(source, '(?m)^import ([A-Za-z0-9_.]+)', 1)) as module from code_entities_full where source is not null) select module, count(*) n from m where split_part(module, '.', 1) not in (" + ", ".join(f"'{m}'" for m in P.STANDARD_MODULES) + ") group by 1",
-    "f12_false_positives": f"with t as (select unnest(string_split(title, ' ')) token from pull_requests where title is not null) select {_fp} false_positive, count(*) n, count(distinct token) tokens from t where token <> '' group by 1",
     "f13_long_parameters": "with t as (select unnest(regexp_extract_all(sig, '[A-Za-z_][A-Za-z0-9_]*', 0)) p from code_entities_full where sig is not null) select p, count(*) n from t where length(p) > 2 group by 1",
     "f14_ordered_distinct": f"with t as (select record_id, {_split('message_head')} l from commits_sample where message_head is not null) select record_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 10), ',') words from t",
     "f15_payload_errors": f"with {_PAY} select snippet_id, concat_ws(';', case when node_id is null then 'no_node' end, case when length(snippet) < 10 then 'short_snippet' end, case when not contains(header, 'Path: ') or ends_with(header, 'Path: ?') then 'no_path' end) errors from p",

@@ -205,7 +205,6 @@ QUERIES = {
     "a24_top_commit_by_time": lambda s, d: _pr_commits(s, d).groupBy("number", "sha").agg(F.count("*").alias("lines"), F.max("created_at").alias("at")).groupBy("number").agg(F.max(F.struct("lines", "at", "sha")).alias("b")).select("number", F.col("b.sha").alias("sha")),
     "a25_latest_commit": a25_latest_commit,
     "a28_symbols_per_file": lambda s, d: load(s, d, "code_entities_full").groupBy(G.slashed(F.col("relpath")).alias("file")).agg(F.count("*").alias("n")),
-    "a33_kind_counts": lambda s, d: load(s, d, "code_entities_full").groupBy("kind").agg(F.count("*").alias("n")),
     "a35_pr_occurrences": lambda s, d: _pr_commits(s, d).groupBy("number").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "number").limit(10),
     "a36_orientation": a36_orientation,
     "s24_unmapped_commits": s24_unmapped_commits,
@@ -258,7 +257,6 @@ select n.name, coalesce(lf.place, ld.place) place, case when lf.name is not null
     "a24_top_commit_by_time": f"with {_PRC} select number, sha from (select number, sha, row_number() over (partition by number order by count(*) desc, max(created_at) desc nulls last, sha desc) r from pc group by 1, 2) where r = 1",
     "a25_latest_commit": "select author_email, case when max(author_date) is not null then (list(sha order by author_date desc nulls last, sha desc))[1] else min(sha) end sha from commits_sample where author_email is not null group by 1",
     "a28_symbols_per_file": f"select {_S('relpath')} file, count(*) n from code_entities_full group by 1",
-    "a33_kind_counts": "select kind, count(*) n from code_entities_full group by 1",
     "a35_pr_occurrences": f"with {_PRC} select number, count(*) n from pc group by 1 order by 2 desc, 1 limit 10",
     "a36_orientation": f"with {_PRC}, s as (select round(avg((regexp_matches(number::varchar, '^[0-9]+$'))::int), 6) numeric_keys, round(avg((regexp_matches(sha, '^[0-9a-f]{{7,40}}$'))::int), 6) hex_values from pc) select *, numeric_keys > 0.6 or hex_values > 0.2 invert from s",
     "s24_unmapped_commits": f"with {_PRC} select c.sha, coalesce(prs, '') prs from (select distinct sha from commits_sample) c left join (select sha, array_to_string(list_sort(list(distinct number)), ',') prs from pc group by 1) p on p.sha = c.sha",

@@ -56,47 +56,6 @@ def x29_name_similarity(spark, sf):
     return d.select("retrieval_id", F.round(X.name_similarity(F.substring_index("node_id", ".", -1), F.col("label")), 6).alias("similarity"))
 
 
-def _payload(spark, sf):
-    """Sections of a prompt for each snippet."""
-    s = load(spark, sf, "code_snippets")
-    head = F.concat(F.lit("Node: "), F.coalesce("node_id", F.lit("?")), F.lit("\nPath: "), F.coalesce("path", F.lit("?")))
-    return s.select("snippet_id", "node_id", head.alias("header"), F.coalesce("snippet", F.lit("")).alias("snippet"))
-
-
-def pj19_payload(spark, sf):
-    """Header, code and instructions; over 200 estimated tokens the code is halved once."""
-    p = _payload(spark, sf)
-    build = lambda code: F.array_join(F.array_compact(F.array(F.col("header"), F.when(code != "", F.concat(F.lit("Code:\n"), code)), F.lit("Summarize."))), "\n\n")
-    whole = build(F.col("snippet"))
-    half = build(F.left("snippet", F.greatest(F.lit(0), (F.length("snippet") / 2).cast("int"))))
-    text = F.when(X.estimated_tokens(whole) > 200, half).otherwise(whole)
-    return p.select("snippet_id", F.md5(text).alias("payload"), X.estimated_tokens(text).alias("est_tokens"))
-
-
-def f15_payload_errors(spark, sf):
-    p = _payload(spark, sf)
-    errors = F.array_join(F.array_compact(F.array(F.when(F.col("node_id").isNull(), "no_node"), F.when(F.length("snippet") < 10, "short_snippet"), F.when(~F.col("header").contains("Path: ") | F.col("header").endswith("Path: ?"), "no_path"))), ";")
-    return p.select("snippet_id", errors.alias("errors"))
-
-
-def pj20_snippets_by_span(spark, sf):
-    """Lines of the entity's own text by a span of five lines around its third, else the first lines."""
-    lines = F.split("source", "\n")
-    part = F.when(F.size(lines) >= 3, F.slice(lines, F.lit(1), F.lit(5))).otherwise(lines)
-    return _code(spark, sf).where("source is not null").select("entity_id", F.array_join(part, "\n").alias("snippet"))
-
-
-def _predictions(spark, sf):
-    """Pull requests' titles as predictions of their first commit's message."""
-    p = load(spark, sf, "pull_requests").where("size(commits) > 0").groupBy("number").agg(F.min(F.struct("record_id", "title", F.col("commits")[0]["message_head"].alias("m"))).alias("b"))
-    return p.select(F.col("number").alias("id"), F.col("b.title").alias("prediction"), F.col("b.m").alias("reference")).where("id is not null")
-
-
-def pj13_two_sentences(spark, sf):
-    first = F.regexp_extract("body", r"^((?:[^.!?]*[.!?]){1,2})", 1)
-    return _bodies(spark, sf).where("body is not null").select("record_id", X.single_spaced(F.when(first == "", F.col("body")).otherwise(first)).alias("text"))
-
-
 def pj15_parsed_output(spark, sf):
     """First line as the one-liner, later lines that start with a dash as points, and the notes on what is missing."""
     lines = F.split(F.regexp_replace("body", "\r", ""), "\n")
@@ -123,32 +82,15 @@ QUERIES = {
     "f9_seeded_sample": lambda s, d: nodes(s, d).where("id is not null").select("id").distinct().orderBy(F.xxhash64("id", F.lit(7)), "id").limit(150),
     "f8_silver_sample": lambda s, d: nodes(s, d).where(F.col("node_type").isin("Function", "Class") & F.col("path").startswith("src/")).select("id", "path").distinct(),
     "f10_skip_lists": lambda s, d: _code(s, d).where(~G.slashed(F.col("relpath")).rlike("(^|/)(tests?|tools|node_modules)/") & ~F.col("relpath").rlike(r"\.(xml|json|toml)$")).select("entity_id"),
-    "f11_stdlib_blocklist": lambda s, d: _code(s, d).where("source is not null").select(F.explode(F.regexp_extract_all("source", F.lit(r"(?m)^import ([A-Za-z0-9_.]+)"), F.lit(1))).alias("module")).where(~F.substring_index("module", ".", 1).isin(*P.STANDARD_MODULES)).groupBy("module").agg(F.count("*").alias("n")),
     "f13_long_parameters": lambda s, d: _code(s, d).where("sig is not null").select("entity_id", F.explode(F.regexp_extract_all("sig", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("p")).where("length(p) > 2").groupBy("p").agg(F.count("*").alias("n")),
     "f14_ordered_distinct": lambda s, d: load(s, d, "commits_sample").where("message_head is not null").select("record_id", F.array_join(F.slice(X.tokens(F.col("message_head")), 1, 10), ",").alias("words")),
-    "f15_payload_errors": f15_payload_errors,
     "pj11_path_parts": lambda s, d: _code(s, d).where("relpath is not null").select("entity_id", F.substring_index(G.slashed(F.col("relpath")), "/", -1).alias("base"), F.lower(F.regexp_extract("relpath", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"), P.path_prefix(G.slashed(F.col("relpath"))).alias("place")),
     "pj12_request": lambda s, d: _code(s, d).where("relpath is not null").select("entity_id", X.relative_path(F.concat(F.lit("./../"), F.col("relpath"))).alias("path"), X.single_spaced(F.coalesce("doc", F.lit(""))).alias("request")),
-    "pj13_two_sentences": pj13_two_sentences,
-    "pj14_prediction_text": lambda s, d: load(s, d, "pull_requests").select("record_id", F.coalesce(F.nullif("title", F.lit("")), F.nullif("body", F.lit("")), F.array_join(F.transform(F.coalesce("commits", F.array().cast("array<struct<sha:string,message_head:string>>")), lambda c: c["message_head"]), " ")).alias("text")),
     "pj15_parsed_output": pj15_parsed_output,
     "pj17_token_estimate": lambda s, d: load(s, d, "documents").select("doc_id", X.estimated_tokens(F.col("text")).alias("est_tokens")),
     "pj18_truncated": lambda s, d: load(s, d, "documents").where("text is not null").select("doc_id", F.md5(X.truncated(F.col("text"), 400)).alias("head")),
-    "pj19_payload": pj19_payload,
-    "pj20_snippets_by_span": pj20_snippets_by_span,
-    "pj23_metadata": lambda s, d: load(s, d, "code_snippets").select("snippet_id", F.coalesce(F.nullif("path", F.lit("")), F.nullif("source_hint", F.lit("")), F.lit("unknown")).alias("path"), F.coalesce(F.nullif("start_line", F.lit(0)), F.lit(1)).alias("start_line")),
-    "pj24_node_summary": lambda s, d: nodes(s, d).where("id is not null").select("id", F.coalesce(F.nullif("qualified_name", F.lit("")), F.nullif("label", F.lit("")), F.col("id")).alias("name"), F.coalesce("node_type", F.lit("UNKNOWN")).alias("node_type")).distinct(),
     "pj25_reference_template": lambda s, d: load(s, d, "code_snippets").where("node_id is not null").select("node_id", F.lit("").alias("reference")).distinct(),
     "s9_grouped_references": lambda s, d: load(s, d, "code_snippets").where("node_id is not null and snippet is not null").groupBy("node_id").agg(F.array_join(F.array_sort(F.transform(F.collect_list("snippet"), lambda x: F.md5(x))), ",").alias("refs"), F.count("*").alias("n")),
-    "s15_file_index": lambda s, d: _code(s, d).where("relpath is not null").select(F.when(F.col("relpath").endswith(".py"), "code").when(F.col("relpath").rlike(r"\.(ya?ml|json|toml|ini|xml|env)$"), "config").when(F.col("relpath").rlike(r"\.(md|txt)$"), "docs").otherwise("other").alias("category"), F.size(F.slice(F.split(F.coalesce("source", F.lit("")), "\n"), 1, 20)).alias("sampled")).groupBy("category").agg(F.count("*").alias("n"), F.sum("sampled").alias("sampled_lines")),
-    "e1_token_overlap": lambda s, d: E.token_overlap(_predictions(s, d)).select("id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1"))),
-    "e2_bleu": lambda s, d: E.corpus_bleu(_predictions(s, d)),
-    "e3_chrf": lambda s, d: E.corpus_chrf(_predictions(s, d)),
-    "e4_rouge1": lambda s, d: E.rouge_n(_predictions(s, d), 1).select("id", F.round("f", 6).alias("f")),
-    "e4_rouge2": lambda s, d: E.rouge_n(_predictions(s, d), 2).select("id", F.round("f", 6).alias("f")),
-    "e5_sequence_scores": lambda s, d: E.sequence_scores(_predictions(s, d)),
-    "e7_summary": lambda s, d: E.summary(_predictions(s, d)),
-    "e8_jaccard": lambda s, d: E.fill(_predictions(s, d)).select("id", F.round(X.jaccard(X.tokens(F.col("prediction")), X.tokens(F.col("reference"))), 6).alias("jaccard")),
 }
 
 _q = lambda s: s.replace("'", "''")
@@ -167,22 +109,8 @@ _ROLEVALUES = ", ".join(f"('{w}', '{r}', {i})" for i, (r, ws) in enumerate(P.ROL
 _ROLES = f"""{_NAMES}, dn as (select distinct name from nm), k(word, role, ro) as (values {_ROLEVALUES}), w as (select name, unnest(ws) word, generate_subscripts(ws, 1) pos from (select name, regexp_split_to_array(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[_. ]+') ws from dn)),
 h as (select name, role, ro, count(*) n, min(pos) f from w join k using (word) group by 1, 2, 3), b as (select name, role, row_number() over (partition by name order by n desc, f, ro) r from h), rl as (select dn.name, coalesce(role, 'utility') role from dn left join b on b.name = dn.name and r = 1)"""
 _split = lambda c: f"list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda t: t <> '')"
-_PREDS = "pr as (select number id, coalesce(title, '') p, coalesce(commits[1].message_head, '') r from (select *, row_number() over (partition by number order by record_id) k from pull_requests where len(commits) > 0 and number is not null) where k = 1)"
-_grams = lambda c, n: f"case when len({c}) >= {n} then list_transform(generate_series(1, len({c}) - {n - 1}), lambda i: array_to_string(list_slice({c}, i, i + {n - 1}), ' ')) else [] end"
-_clip = lambda a, b: f"coalesce(list_sum(list_transform(list_distinct(list_filter({a}, lambda x: list_contains({b}, x))), lambda x: least(len(list_filter({a}, lambda y: y = x)), len(list_filter({b}, lambda y: y = x))))), 0)"
-_words1 = lambda c: f"list_filter(regexp_split_to_array(lower(regexp_replace({c}, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
-_SETS = f"{_PREDS}, st as (select id, list_distinct({_split('p')}) p, list_distinct({_split('r')}) r from pr), o as (select id, len(p) np, len(r) nr, len(list_intersect(p, r)) n from st), ov as (select id, case when np = 0 and nr = 0 then 1.0 when np = 0 or nr = 0 then 0.0 else n / np end::double p, case when np = 0 and nr = 0 then 1.0 when np = 0 or nr = 0 then 0.0 else n / nr end::double r from o)"
-
-
-def _rouge(n: int) -> str:
-    return f"{_PREDS}, g{n} as (select id, {_grams('pw', n)} p, {_grams('rw', n)} r from (select id, {_words1('p')} pw, {_words1('r')} rw from pr)), f{n} as (select id, coalesce(2.0 * {_clip('p', 'r')} / nullif(len(p) + len(r), 0), 0)::double f from g{n})"
 
 
-_BLEU = f"{_PREDS}, w as (select {_split('p')} p, {_split('r')} r from pr), g as (select len(p) pl, len(r) rl, " + ", ".join(f"{_grams('p', n)} p{n}, {_grams('r', n)} r{n}" for n in range(1, 5)) + " from w), t as (select sum(pl)::bigint plen, sum(rl)::bigint rlen, " + ", ".join(f"sum({_clip(f'p{n}', f'r{n}')})::double m{n}, sum(len(p{n}))::double t{n}" for n in range(1, 5)) + " from g)"
-_chars = lambda c: f"string_split(regexp_replace({c}, '\\s+', '', 'g'), '')"
-_CHRF = f"{_PREDS}, w as (select list_filter({_chars('p')}, lambda x: x <> '') p, list_filter({_chars('r')}, lambda x: x <> '') r from pr), g as (select " + ", ".join(f"{_grams('p', n)} p{n}, {_grams('r', n)} r{n}" for n in range(1, 7)) + " from w), t as (select " + ", ".join(f"sum({_clip(f'p{n}', f'r{n}')})::double m{n}, sum(len(p{n}))::double p{n}, sum(len(r{n}))::double r{n}" for n in range(1, 7)) + " from g), s as (select (" + " + ".join(f"coalesce(m{n} / nullif(p{n}, 0), 0)" for n in range(1, 7)) + ") / 6 p, (" + " + ".join(f"coalesce(m{n} / nullif(r{n}, 0), 0)" for n in range(1, 7)) + ") / 6 r from t)"
-_PAY = "p as (select snippet_id, node_id, 'Node: ' || coalesce(node_id, '?') || chr(10) || 'Path: ' || coalesce(path, '?') header, coalesce(snippet, '') snippet from code_snippets)"
-_build = lambda c: f"header || chr(10) || chr(10) || case when {c} <> '' then 'Code:' || chr(10) || {c} || chr(10) || chr(10) else '' end || 'Summarize.'"
 _est = lambda c: f"case when coalesce(length({c}), 0) = 0 then 0 else greatest(1, floor(length({c}) / 4)) end::int"
 
 SQL = {
@@ -198,29 +126,13 @@ SQL = {
     "x29_name_similarity": "with s as (select retrieval_id, list_distinct(list_filter(regexp_split_to_array(list_last(string_split(node_id, '.')), '[._]'), lambda t: t <> '')) a, list_distinct(list_filter(regexp_split_to_array(label, '[._]'), lambda t: t <> '')) b from retrieval_debug where label is not null and node_id is not null) select retrieval_id, round(coalesce(len(list_intersect(a, b)) / nullif(greatest(len(a), len(b)), 0), 0)::double, 6) similarity from s",
     "f8_silver_sample": "select distinct id, path from nodes where node_type in ('Function', 'Class') and starts_with(path, 'src/')",
     "f10_skip_lists": r"select entity_id from code_entities_full where not regexp_matches(replace(relpath, '\', '/'), '(^|/)(tests?|tools|node_modules)/') and not regexp_matches(relpath, '\.(xml|json|toml)$')",
-    "f11_stdlib_blocklist": "with m as (select unnest(regexp_extract_all(source, '(?m)^import ([A-Za-z0-9_.]+)', 1)) as module from code_entities_full where source is not null) select module, count(*) n from m where split_part(module, '.', 1) not in (" + ", ".join(f"'{m}'" for m in P.STANDARD_MODULES) + ") group by 1",
     "f13_long_parameters": "with t as (select unnest(regexp_extract_all(sig, '[A-Za-z_][A-Za-z0-9_]*', 0)) p from code_entities_full where sig is not null) select p, count(*) n from t where length(p) > 2 group by 1",
     "f14_ordered_distinct": f"with t as (select record_id, {_split('message_head')} l from commits_sample where message_head is not null) select record_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 10), ',') words from t",
-    "f15_payload_errors": f"with {_PAY} select snippet_id, concat_ws(';', case when node_id is null then 'no_node' end, case when length(snippet) < 10 then 'short_snippet' end, case when not contains(header, 'Path: ') or ends_with(header, 'Path: ?') then 'no_path' end) errors from p",
     "pj11_path_parts": r"select entity_id, list_last(string_split(p, '/')) base, lower(regexp_extract(p, '\.([A-Za-z0-9]+)$', 1)) ext, case when contains(p, 'test') then 'test' when starts_with(p, 'dags/') then 'dags' when starts_with(p, 'cloudrun/') then 'deploy' when contains(p, 'src/') then 'src' when contains(p, 'config') then 'config' when contains(p, 'data') then 'data' else 'file' end place from (select entity_id, replace(relpath, '\', '/') p from code_entities_full where relpath is not null)",
     "pj12_request": r"select entity_id, regexp_replace(replace('./../' || relpath, '\', '/'), '^[./]+', '') path, trim(regexp_replace(coalesce(doc, ''), '\s+', ' ', 'g')) request from code_entities_full where relpath is not null",
-    "pj13_two_sentences": r"select record_id, trim(regexp_replace(case when f = '' then body else f end, '\s+', ' ', 'g')) as text from (select record_id, body, regexp_extract(body, '^((?:[^.!?]*[.!?]){1,2})', 1) f from pull_requests where body is not null)",
-    "pj14_prediction_text": "select record_id, coalesce(nullif(title, ''), nullif(body, ''), array_to_string(list_transform(commits, lambda c: c.message_head), ' '), '') as text from pull_requests",
     "pj15_parsed_output": r"with l as (select record_id, string_split(replace(body, chr(13), ''), chr(10)) l from pull_requests where body is not null), b as (select record_id, trim(l[1]) one_liner, len(list_filter(list_slice(l, 2, len(l)), lambda x: starts_with(x, '-')))::int points from l), n as (select *, concat_ws(';', case when one_liner = '' then 'no_one_liner' end, case when points < 2 then 'few_points' end) notes from b) select *, case when notes = '' then 'OK' else 'WARN' end status from n",
     "pj17_token_estimate": f"select doc_id, {_est('text')} est_tokens from documents",
     "pj18_truncated": "with h as (select doc_id, text, left(text, 400) h from documents where text is not null), b as (select *, case when contains(h, chr(10)) then length(h) - length(list_last(string_split(h, chr(10)))) - 1 else 0 end k from h) select doc_id, md5(case when length(text) <= 400 then text when contains(h, chr(10)) and k > 240 then left(text, k) else h end) head from b",
-    "pj19_payload": f"with {_PAY}, t as (select snippet_id, case when {_est(_build('snippet'))} > 200 then {_build('left(snippet, (length(snippet) // 2)::int)')} else {_build('snippet')} end t from p) select snippet_id, md5(t) payload, {_est('t')} est_tokens from t",
-    "pj20_snippets_by_span": "select entity_id, array_to_string(case when len(l) >= 3 then list_slice(l, 1, 5) else l end, chr(10)) snippet from (select entity_id, string_split(source, chr(10)) l from code_entities_full where source is not null)",
-    "pj23_metadata": "select snippet_id, coalesce(nullif(path, ''), nullif(source_hint, ''), 'unknown') path, coalesce(nullif(start_line, 0), 1) start_line from code_snippets",
-    "pj24_node_summary": "select distinct id, coalesce(nullif(qualified_name, ''), nullif(label, ''), id) as name, coalesce(node_type, 'UNKNOWN') node_type from nodes where id is not null",
     "pj25_reference_template": "select distinct node_id, '' reference from code_snippets where node_id is not null",
     "s9_grouped_references": "select node_id, array_to_string(list_sort(list(md5(snippet))), ',') refs, count(*) n from code_snippets where node_id is not null and snippet is not null group by 1",
-    "s15_file_index": r"select case when ends_with(relpath, '.py') then 'code' when regexp_matches(relpath, '\.(ya?ml|json|toml|ini|xml|env)$') then 'config' when regexp_matches(relpath, '\.(md|txt)$') then 'docs' else 'other' end category, count(*) n, sum(least(20, len(string_split(coalesce(source, ''), chr(10)))))::bigint sampled_lines from code_entities_full where relpath is not null group by 1",
-    "e1_token_overlap": f"with {_SETS} select id, round(p, 6) as \"precision\", round(r, 6) recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) f1 from ov",
-    "e2_bleu": f"with {_BLEU} select round(case when least(m1, m2, m3, m4) = 0 then 0 else 100 * case when plen >= rlen then 1 else exp(1 - rlen / plen) end * exp((ln(m1 / t1) + ln(m2 / t2) + ln(m3 / t3) + ln(m4 / t4)) / 4) end, 4) bleu, plen, rlen from t",
-    "e3_chrf": f"with {_CHRF} select round(100 * coalesce(5 * p * r / nullif(4 * p + r, 0), 0), 4) chrf from s",
-    "e4_rouge1": f"with {_rouge(1)} select id, round(f, 6) f from f1",
-    "e4_rouge2": f"with {_rouge(2)} select id, round(f, 6) f from f2",
-    "e7_summary": f"with {_SETS}, {_rouge(1)[len(_PREDS) + 2:]}, {_rouge(2)[len(_PREDS) + 2:]} select 'precision' metric, round(100 * avg(p), 4) as value from ov union all select 'recall', round(100 * avg(r), 4) from ov union all select 'f1', round(100 * avg(coalesce(2 * p * r / nullif(p + r, 0), 0)), 4) from ov union all select 'rouge1', round(100 * avg(f), 4) from f1 union all select 'rouge2', round(100 * avg(f), 4) from f2",
-    "e8_jaccard": f"with {_SETS} select id, round(case when np + nr - n = 0 then 1 else n / (np + nr - n) end::double, 6) jaccard from o",
 }

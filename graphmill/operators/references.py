@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: An open interval ends here.
+#: References of one key that one task sorts at most, about, and how many keys may be split for having more.
+HOT_ROWS = 2_000_000
+HOT_KEYS = 20_000
 FOREVER = "9999-12-31 00:00:00"
 STATUSES = ("valid", "missing", "deleted", "late")
 
@@ -38,7 +41,7 @@ def parent_intervals(parents: DataFrame, key: str, start: str, end: str) -> Data
     )
 
 
-def classify_references(refs: DataFrame, intervals: DataFrame, hot_share: float = 0.005, salts: int = 32) -> DataFrame:
+def classify_references(refs: DataFrame, intervals: DataFrame, hot_share: float = 0.005, salts: int = 32, hot_rows: int = HOT_ROWS) -> DataFrame:
     """refs (ref_table, ref_field, row_id, ref_key, at) with ``status`` added.
 
     * valid: a parent with starts <= at < ends exists,
@@ -53,8 +56,11 @@ def classify_references(refs: DataFrame, intervals: DataFrame, hot_share: float
     live = refs.select("ref_table", "ref_field", "row_id", compared_key(F.col("ref_key")).alias("key"), F.col("at").cast("timestamp_ntz").alias("at")).where("key is not null and key <> '' and at is not null")
     counts = live.groupBy("key").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    hot = counts.join(F.broadcast(total)).where(F.col("n") > F.greatest(F.lit(1000.0), F.col("total") * hot_share)).select("key", F.lit(salts).alias("parts"))
-    hot = F.broadcast(hot)  # at most 1 / hot_share rows
+    # a key is hot by its share of all rows, or by more rows than one task should sort, but never more than HOT_KEYS keys by the latter
+    most = F.greatest(F.lit(float(hot_rows)), F.col("total") / HOT_KEYS)
+    limit = F.least(F.greatest(F.lit(1000.0), F.col("total") * hot_share), most)
+    hot = counts.join(F.broadcast(total)).where(F.col("n") > limit).select("key", F.greatest(F.lit(salts), F.ceil(F.col("n") / most)).cast("int").alias("parts"))  # one row is broadcast
+    hot = F.broadcast(hot)  # at most 1 / hot_share + HOT_KEYS rows
     live = live.join(hot, "key", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("row_id", "ref_field"), F.col("parts"))).otherwise(F.lit(0)).cast("int"))
     parents = intervals.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
     low = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")

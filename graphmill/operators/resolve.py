@@ -40,27 +40,36 @@ def prioritized(strategies: list[DataFrame], keys: list[str], order: list[str])
 
 
 def commits_of_prs(prs: DataFrame, commits: DataFrame) -> DataFrame:
-    """(number, sha, strategy): the merge commit of a pull request by equal hash, equal small letters, equal first seven, or one hash within the other.
-
-    Containment is looked for among hashes of the same first seven characters, as a hash is only ever cut at its end.
-    """
-    left = prs.select("number", F.col("merge_commit_sha").alias("want")).where("want is not null and want <> ''").distinct()
+    """(number, sha, strategy): the commit of a pull request by equal hash, equal small letters, equal first seven characters, the first seven anywhere in a hash, and last a listed commit whose first seven are those of a known one. The first strategy that hits decides."""
+    left = prs.select("number", F.col("merge_commit_sha").alias("want")).where("number is not null and want is not null and want <> ''").distinct()
     have = commits.select("sha").where("sha is not null").distinct()
     low = lambda c: F.lower(F.col(c))
+    seven = lambda c: F.substring(low(c), 1, 7)
     exact = left.join(have, F.col("want") == F.col("sha")).select("number", "sha", F.lit("exact").alias("strategy"))
     lower = left.join(have, low("want") == low("sha")).select("number", "sha", F.lit("lower").alias("strategy"))
-    seven = left.join(have, F.substring(low("want"), 1, 7) == F.substring(low("sha"), 1, 7))
-    prefix = seven.select("number", "sha", F.lit("prefix7").alias("strategy"))
-    return prioritized([exact, lower, prefix], ["number"], ["sha", "strategy"]).select("number", "sha", "strategy")
+    prefix = left.join(have, seven("want") == seven("sha")).select("number", "sha", F.lit("prefix7").alias("strategy"))
+    open_ = cut(left.join(prefix.select("number").distinct(), "number", "left_anti"))
+    inside = contained(open_.select(seven("want").alias("part")).distinct(), have.select(low("sha").alias("whole")))
+    within = open_.join(inside, seven("want") == F.col("part")).join(have, low("sha") == F.col("whole")).select("number", "sha", F.lit("contains").alias("strategy"))
+    listed = prs.select("number", F.explode("commits").alias("c")).where("number is not null and c.sha <> ''").select("number", F.substring(F.lower("c.sha"), 1, 7).alias("s7")).distinct()
+    reverse = listed.join(have.withColumn("s7", seven("sha")), "s7").select("number", "sha", F.lit("listed").alias("strategy"))
+    return prioritized([exact, lower, prefix, within, reverse], ["number"], ["sha", "strategy"]).select("number", "sha", "strategy")
+
+
+#: Lines of a file that one block holds when sites look for the spans around them.
+BLOCK = 128
 
 
-def enclosing(sites: DataFrame, spans: DataFrame) -> DataFrame:
+def enclosing(sites: DataFrame, spans: DataFrame, block: int = BLOCK) -> DataFrame:
     """sites (file, site_id, line) with the smallest span (file, name, first, last) that holds the line.
 
-    The join is on the file; spans of a file are distinct and the smallest is found by an aggregation. Sites without
-    a span keep a null name.
+    The join is on the file and the block of lines, so a site meets the spans near it and not all of its file; distinct
+    spans are repeated once for each block they reach into. The smallest is found by an aggregation. Sites without a
+    span keep a null name.
     """
-    inside = sites.join(spans.select("file", "name", "first", "last").distinct(), "file").where("line between first and last")
+    of = lambda c: F.floor(F.col(c) / block)
+    near = spans.select("file", "name", "first", "last").where("first <= last").distinct().withColumn("block", F.explode(F.sequence(of("first"), of("last"))))
+    inside = sites.withColumn("block", of("line")).join(near, ["file", "block"]).where("line between first and last")
     best = inside.groupBy("site_id").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("width"), "first", "name")).alias("b")).select("site_id", F.col("b.name").alias("name"), F.col("b.width").alias("width"))
     return sites.join(best, "site_id", "left")
 
@@ -68,14 +77,64 @@ def enclosing(sites: DataFrame, spans: DataFrame) -> DataFrame:
 def by_suffix(names: DataFrame, symbols: DataFrame) -> DataFrame:
     """names (short) with the least qualified symbol that ends in ``.short``, else the least that ends in ``short``.
 
-    The first strategy is an equality on the last segment. The second compares within the same last three letters.
+    Both are equalities: the first on the last segment, the second on all endings of the symbols that are as long as one
+    of the names the first left open.
     """
     short = names.select("short").where("short <> ''").distinct()
     known = symbols.select("qualified").where("qualified is not null").distinct()
-    dotted = short.join(known.withColumn("short", F.substring_index("qualified", ".", -1)), "short").select("short", "qualified", F.lit("dotted").alias("strategy"))
-    tail = lambda c: F.substring(F.col(c), -3, 3)
-    bare = short.join(known, (tail("short") == tail("qualified")) & F.col("qualified").endswith(F.col("short"))).select("short", "qualified", F.lit("bare").alias("strategy"))
-    return prioritized([dotted, bare], ["short"], ["qualified", "strategy"]).select("short", "qualified", "strategy")
+    dotted = cut(short.join(known.withColumn("short", F.substring_index("qualified", ".", -1)), "short").groupBy("short").agg(F.min("qualified").alias("qualified")).withColumn("strategy", F.lit("dotted")))
+    open_ = cut(short.join(dotted, "short", "left_anti"))
+    sizes = open_.select(F.length("short").alias("n")).distinct()
+    endings = known.join(F.broadcast(sizes), F.col("n") <= F.length("qualified")).select("qualified", F.expr("right(qualified, n)").alias("short"))  # as many rows as names have lengths
+    bare = open_.join(endings, "short").groupBy("short").agg(F.min("qualified").alias("qualified")).withColumn("strategy", F.lit("bare"))
+    return dotted.unionByName(bare).select("short", "qualified", "strategy")
+
+
+def chain_strategies(sites: DataFrame, symbols: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
+    """Candidates (module, chain, qualified, strategy) of call chains for each strategy, from distinct sites (module, chain), symbols (qualified) and aliases (module, alias, target).
+
+    direct: the chain is a symbol. module_scoped: a single name in the site's module. alias: the first segment is an alias of
+    the module, expanded with as much of the rest as is a symbol. alias_whole: the target itself. progressive, shortest: the
+    longest and the shortest beginning of the chain. class_method, class_method_global: two segments in the module, or at
+    the end of any symbol. short: the last segment of any symbol; short_single only for single names.
+    """
+    s = cut(sites.select("module", "chain").where("chain <> ''").distinct())
+    known = cut(symbols.select("qualified").where("qualified is not null").distinct())
+    parts = F.split("chain", r"\.")
+    size = F.size(parts)
+    keys = ["module", "chain"]
+    named = lambda df, strategy: df.select(*keys, "qualified", F.lit(strategy).alias("strategy"))
+    look = lambda df: df.join(known, "qualified", "left_semi")
+    heads = s.withColumn("k", F.explode(F.sequence(F.lit(1), size))).withColumn("qualified", F.array_join(F.slice(parts, F.lit(1), F.col("k")), "."))
+    begun = look(heads)
+    best = lambda df, order: df.groupBy(*keys).agg(F.max(F.struct(order.alias("o"), "qualified"))["qualified"].alias("qualified"))
+    mapped = s.join(aliases.select("module", "alias", "target").distinct(), (s["module"] == aliases["module"]) & (F.get(parts, F.lit(0)) == F.col("alias"))).select(s["module"], "chain", "target")
+    expanded = mapped.withColumn("k", F.explode(F.sequence(F.lit(0), size - 1))).withColumn("qualified", F.when(F.col("k") == 0, F.col("target")).otherwise(F.concat_ws(".", "target", F.array_join(F.slice(parts, F.lit(2), F.col("k")), "."))))
+    tails = lambda n: known.withColumn("tail", F.substring_index("qualified", ".", -n))
+    short = s.withColumn("tail", F.substring_index("chain", ".", -1)).join(tails(1), "tail")
+    return {
+        "direct": named(look(s.withColumn("qualified", F.col("chain"))), "direct"),
+        "module_scoped": named(look(s.where(size == 1).withColumn("qualified", F.concat_ws(".", "module", "chain"))), "module_scoped"),
+        "alias": named(best(look(expanded.where("k > 0 or chain not like '%.%'")), F.col("k")), "alias"),
+        "alias_whole": named(look(expanded.where("k = 0")), "alias_whole"),
+        "progressive": named(best(begun, F.col("k")), "progressive"),
+        "shortest": named(best(begun, -F.col("k")), "shortest"),
+        "class_method": named(look(s.where(size == 2).withColumn("qualified", F.concat_ws(".", "module", "chain"))), "class_method"),
+        "class_method_global": named(s.where(size == 2).join(tails(2), F.col("chain") == F.col("tail")).where("qualified <> chain"), "class_method_global"),
+        "short": named(short, "short"),
+        "short_single": named(short.where(size == 1), "short"),
+    }
+
+
+CHAIN_ORDER = ("direct", "module_scoped", "alias", "progressive", "class_method", "class_method_global", "short")
+OLDER_ORDER = ("direct", "shortest", "module_scoped", "short_single", "alias", "alias_whole")
+
+
+def resolved_chains(sites: DataFrame, symbols: DataFrame, aliases: DataFrame, order: tuple[str, ...] = CHAIN_ORDER) -> DataFrame:
+    """(module, chain, qualified, strategy): the first strategy of ``order`` that hits, with its least symbol; chains without any are ``unresolved``."""
+    found = chain_strategies(sites, symbols, aliases)
+    best = prioritized([found[name] for name in order], ["module", "chain"], ["qualified", "strategy"]).select("module", "chain", "qualified", "strategy")
+    return sites.select("module", "chain").where("chain <> ''").distinct().join(best, ["module", "chain"], "left").select("module", "chain", "qualified", F.coalesce("strategy", F.lit("unresolved")).alias("strategy"))
 
 
 def longest_prefix(names: DataFrame, modules: DataFrame) -> DataFrame:
@@ -86,14 +145,15 @@ def longest_prefix(names: DataFrame, modules: DataFrame) -> DataFrame:
     return hits.groupBy("name").agg(F.max(F.struct("depth", "module", "file")).alias("b")).select("name", F.col("b.module").alias("module"), F.col("b.file").alias("file"))
 
 
-def by_path_suffix(targets: DataFrame, entities: DataFrame) -> DataFrame:
-    """targets (target_id, path, name) scored against entities (entity_id, path, name, first, last) of the same base name.
+def by_path_suffix(targets: DataFrame, entities: DataFrame, k: int = 3) -> DataFrame:
+    """The k best entities (entity_id, path, name, first, last) of the same base name for targets (target_id, path, name); equal questions are scored once.
 
     Path ends with +5, contains +2, equal last two segments +3.5, equal name +3, contained name +1.5, a span +0.5, .py +0.1.
     """
     t = targets.select("target_id", slashed(F.col("path")).alias("want"), F.col("name").alias("want_name"), basename(F.col("path")).alias("base"))
     e = entities.select("entity_id", slashed(F.col("path")).alias("have"), F.col("name").alias("have_name"), "first", "last", basename(F.col("path")).alias("base"))
-    pairs = t.join(e, "base")
+    asks = t.select("want", "want_name", "base").distinct()
+    pairs = asks.join(e, "base")
     two = lambda c: F.substring_index(F.col(c), "/", -2)
     points = [
         F.when(F.col("have").endswith(F.col("want")), 5.0).when(F.col("have").contains(F.col("want")), 2.0).otherwise(0.0),
@@ -102,7 +162,9 @@ def by_path_suffix(targets: DataFrame, entities: DataFrame) -> DataFrame:
         F.when(F.col("first").isNotNull() & F.col("last").isNotNull(), 0.5).otherwise(0.0),
         F.when(F.col("have").endswith(".py"), 0.1).otherwise(0.0),
     ]
-    return pairs.select("target_id", "entity_id", F.round(reduce(lambda a, b: a + b, points), 2).alias("score"))
+    scored = pairs.select("want", "want_name", "entity_id", F.round(reduce(lambda a, b: a + b, points), 2).alias("score"))
+    best = top_k(scored, ["want", "want_name"], [F.desc("score"), F.col("entity_id")], k)
+    return t.join(best, ["want", "want_name"]).select("target_id", "entity_id", "score", "rank")
 
 
 def _runs(text: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphmill.operators import graph as G
 from graphmill.operators import resolve as V
 from graphmill.sources import load
-from graphmill.sources.knowledge import nodes, raw_edges
+from graphmill.sources.knowledge import ALIASES_SQL, aliases, nodes, raw_edges
 
 
 def _symbols(spark, sf):
@@ -41,31 +41,21 @@ def j12_enclosing(spark, sf):
     return V.enclosing(sites, _spans(spark, sf)).select("site_id", "name", "width")
 
 
-def _chains(spark, sf):
-    """Distinct listed chains with their last two segments and the last one."""
+def _sites(spark, sf):
+    """Listed chains with the module they are listed in."""
     chain = F.trim(G.slashed(F.regexp_replace("neighbor_id", "^(?:Function|Class):", "")))
-    listed = load(spark, sf, "retrieval_debug").where("neighbor_id like 'Function:%' or neighbor_id like 'Class:%'").select(chain.alias("chain")).distinct()
-    return listed.select("chain", F.substring_index("chain", ".", -2).alias("pair"), F.substring_index("chain", ".", -1).alias("short"))
-
-
-def _strategies(spark, sf):
-    symbols = _symbols(spark, sf).distinct()
-    chains = _chains(spark, sf)
-    direct = chains.join(symbols, F.col("chain") == F.col("qualified")).select("chain", "qualified", F.lit("direct").alias("strategy"))
-    member = chains.where(F.col("pair").contains(".")).join(symbols.withColumn("tail", F.substring_index("qualified", ".", -2)), F.col("pair") == F.col("tail")).select("chain", "qualified", F.lit("class_method").alias("strategy"))
-    short = chains.join(symbols.withColumn("tail", F.substring_index("qualified", ".", -1)), F.col("short") == F.col("tail")).select("chain", "qualified", F.lit("global_short").alias("strategy"))
-    return direct, member, short
+    listed = load(spark, sf, "retrieval_debug").where("(neighbor_id like 'Function:%' or neighbor_id like 'Class:%')").select(G.module_name(F.col("path")).alias("module"), chain.alias("chain"), "label")
+    whole = listed.select("module", "chain")
+    return whole.unionByName(listed.select("module", F.substring_index("chain", ".", -2).alias("chain"))).unionByName(listed.select("module", F.col("label").alias("chain"))).where("module is not null and chain <> ''").distinct()
 
 
 def j13_chain_resolution(spark, sf):
-    direct, member, short = _strategies(spark, sf)
-    return V.prioritized([direct, member, short], ["chain"], ["qualified", "strategy"]).select("chain", "qualified", "strategy")
+    return V.resolved_chains(_sites(spark, sf), _symbols(spark, sf), aliases(spark, sf))
 
 
 def j22_older_precedence(spark, sf):
-    """The same strategies, the short name before the class member."""
-    direct, member, short = _strategies(spark, sf)
-    return V.prioritized([direct, short, member], ["chain"], ["qualified", "strategy"]).select("chain", "qualified", "strategy")
+    """The older order: beginnings, the shortest first, then the module, a single short name and aliases last."""
+    return V.resolved_chains(_sites(spark, sf), _symbols(spark, sf), aliases(spark, sf), V.OLDER_ORDER)
 
 
 def j14_longest_prefix(spark, sf):
@@ -84,7 +74,7 @@ def g10_target_resolution(spark, sf):
     """The three best entities for each mapped target by path and name points."""
     targets = load(spark, sf, "target_ast_map").where("path is not null").select(F.col("map_id").alias("target_id"), "path", F.coalesce(F.col("chosen_neighbor.label"), F.lit("")).alias("name"))
     entities = load(spark, sf, "code_entities_full").where("relpath is not null").select("entity_id", F.col("relpath").alias("path"), F.coalesce("name", F.lit("")).alias("name"), F.col("lineno").alias("first"), F.col("end_lineno").alias("last"))
-    return V.top_k(V.by_path_suffix(targets, entities), ["target_id"], [F.desc("score"), F.col("entity_id")], 3)
+    return V.by_path_suffix(targets, entities)
 
 
 def g10_best_of_all(spark, sf):
@@ -218,8 +208,28 @@ _LAST = lambda c, n: f"array_to_string(list_slice(string_split({c}, '.'), -{n},
 _TWO = lambda c: f"array_to_string(list_slice(string_split({c}, '/'), -2, -1), '/')"
 _PRC = "pc as (select number, created_at, c.sha sha, c.message_head message from (select number, created_at, unnest(commits) c from pull_requests) where c.sha is not null)"
 _SPANS = f"spans as (select {_S('relpath')} file, name, lineno as first, end_lineno as last from code_entities_full where relpath is not null and lineno is not null and end_lineno is not null)"
-_CHAINS = f"""sym as (select distinct qualified_name q from nodes where qualified_name is not null), ch as (select chain, {_LAST('chain', 2)} pair, {_LAST('chain', 1)} short from (select distinct trim({_S("regexp_replace(neighbor_id, '^(?:Function|Class):', '')")}) chain from retrieval_debug where neighbor_id like 'Function:%' or neighbor_id like 'Class:%')),
-cand as (select chain, q, 'direct' strategy, 0 p, 0 old from ch join sym on chain = q union all select chain, q, 'class_method', 1, 2 from ch join sym on pair = {_LAST('q', 2)} where contains(pair, '.') union all select chain, q, 'global_short', 2, 1 from ch join sym on short = {_LAST('q', 1)})"""
+_SITES = rf"""sym as (select distinct qualified_name q from nodes where qualified_name is not null), rl as (select replace(regexp_replace(regexp_replace({_S('path')}, '\.py$', ''), '/__init__$', ''), '/', '.') as module, trim({_S("regexp_replace(neighbor_id, '^(?:Function|Class):', '')")}) chain, label from retrieval_debug where neighbor_id like 'Function:%' or neighbor_id like 'Class:%'),
+st as (select distinct module, chain, string_split(chain, '.') p from (select module, chain from rl union select module, {_LAST('chain', 2)} from rl union select module, label from rl) where module is not null and chain <> '')"""
+_HEADS = "hd as (select module, chain, k, array_to_string(list_slice(p, 1, k), '.') q from (select *, unnest(generate_series(1, len(p))) k from st)), hk as (select hd.* from hd join sym using (q))"
+_EXP = "xp as (select module, chain, k, case when k = 0 then target else target || '.' || array_to_string(list_slice(p, 2, k + 1), '.') end q from (select st.*, target, unnest(generate_series(0, len(p) - 1)) k from st join al on al.module = st.module and al.alias = p[1])), xk as (select xp.* from xp join sym using (q))"
+_BY = {
+    "direct": "select module, chain, q, 'direct' strategy from st join sym on q = chain",
+    "module_scoped": "select module, chain, q, 'module_scoped' from st join sym on q = module || '.' || chain where len(p) = 1",
+    "alias": "select module, chain, q, 'alias' from (select *, row_number() over (partition by module, chain order by k desc, q desc) r from xk where k > 0 or not contains(chain, '.')) where r = 1",
+    "alias_whole": "select module, chain, q, 'alias_whole' from xk where k = 0",
+    "progressive": "select module, chain, q, 'progressive' from (select *, row_number() over (partition by module, chain order by k desc) r from hk) where r = 1",
+    "shortest": "select module, chain, q, 'shortest' from (select *, row_number() over (partition by module, chain order by k) r from hk) where r = 1",
+    "class_method": "select module, chain, q, 'class_method' from st join sym on q = module || '.' || chain where len(p) = 2",
+    "class_method_global": f"select module, chain, q, 'class_method_global' from st join sym on {_LAST('q', 2)} = chain where len(p) = 2 and q <> chain",
+    "short": f"select module, chain, q, 'short' from st join sym on {_LAST('q', 1)} = {_LAST('chain', 1)}",
+    "short_single": f"select module, chain, q, 'short' from st join sym on {_LAST('q', 1)} = chain where len(p) = 1",
+}
+
+
+def _resolved(order) -> str:
+    each = " union all ".join(f"select module, chain, q, strategy, {i} pr from ({_BY[n].replace(chr(39) + n + chr(39), chr(39) + n + chr(39) + ' strategy', 1) if n not in ('direct', 'short_single', 'short') else _BY[n].replace(chr(39) + 'short' + chr(39), chr(39) + 'short' + chr(39) + ' strategy', 1)})" for i, n in enumerate(order))
+    return f"with {_SITES}, {ALIASES_SQL}, {_HEADS}, {_EXP}, cd as ({each}), bs as (select *, row_number() over (partition by module, chain order by pr, q) r from cd) select st.module, st.chain, q qualified, coalesce(strategy, 'unresolved') strategy from st left join bs on bs.module = st.module and bs.chain = st.chain and r = 1"
+
 
 SQL = {
     "j8_suffix": f"""with n as (select distinct label short from retrieval_debug where label <> ''), s as (select distinct qualified_name q from nodes where qualified_name is not null),
@@ -227,14 +237,16 @@ c as (select short, q, 'dotted' strategy, 0 p from n join s on {_LAST('q', 1)} =
 select short, q qualified, strategy from (select *, row_number() over (partition by short order by p, q) r from c) where r = 1""",
     "j9_mentions": rf"""with d as (select distinct id document, lower(regexp_replace({_BASE('label')}, '(?:_[0-9]+)?\.[A-Za-z]+$', '')) stem from nodes where node_type = 'Document' and label is not null), f as (select distinct id file, lower({_BASE('path')}) base from nodes where node_type = 'File' and path is not null)
 select document, file from d, f where length(stem) >= 3 and contains(base, stem)""",
-    "j10_commit_pr": """with w as (select distinct number, merge_commit_sha want from pull_requests where merge_commit_sha <> ''), h as (select distinct sha from commits_sample where sha is not null),
-c as (select number, sha, 'exact' strategy, 0 p from w join h on want = sha union all select number, sha, 'lower', 1 from w join h on lower(want) = lower(sha) union all select number, sha, 'prefix7', 2 from w join h on left(lower(want), 7) = left(lower(sha), 7))
+    "j10_commit_pr": """with w as (select distinct number, merge_commit_sha want from pull_requests where merge_commit_sha <> '' and number is not null), h as (select distinct sha from commits_sample where sha is not null),
+li as (select distinct number, left(lower(c.sha), 7) s7 from (select number, unnest(commits) c from pull_requests) where c.sha <> '' and number is not null),
+c as (select number, sha, 'exact' strategy, 0 p from w join h on want = sha union all select number, sha, 'lower', 1 from w join h on lower(want) = lower(sha) union all select number, sha, 'prefix7', 2 from w join h on left(lower(want), 7) = left(lower(sha), 7)
+ union all select number, sha, 'contains', 3 from w join h on contains(lower(sha), left(lower(want), 7)) union all select number, sha, 'listed', 4 from li join h on left(lower(sha), 7) = s7)
 select number, sha, strategy from (select *, row_number() over (partition by number order by p, sha) r from c) where r = 1""",
     "j12_enclosing": f"""with {_SPANS}, t as (select {_S('path')} file, snippet_id site_id, start_line line from code_snippets where path is not null and start_line is not null),
 c as (select site_id, name, last - first width, row_number() over (partition by site_id order by last - first, first, name nulls first) r from t join spans using (file) where line between first and last)
 select t.site_id, name, width from t left join c on c.site_id = t.site_id and r = 1""",
-    "j13_chain_resolution": f"with {_CHAINS} select chain, q qualified, strategy from (select *, row_number() over (partition by chain order by p, q) r from cand) where r = 1",
-    "j22_older_precedence": f"with {_CHAINS} select chain, q qualified, strategy from (select *, row_number() over (partition by chain order by old, q) r from cand) where r = 1",
+    "j13_chain_resolution": _resolved(V.CHAIN_ORDER),
+    "j22_older_precedence": _resolved(V.OLDER_ORDER),
     "j14_longest_prefix": "with n as (select distinct qualified_name as name from nodes where qualified_name is not null), m as (select distinct qualified_name module, coalesce(path, '') file from nodes where node_type = 'Module' and qualified_name is not null) select name, module, file from (select *, row_number() over (partition by name order by length(module) desc, file desc) r from n join m on name = module or starts_with(name, module || '.')) where r = 1",
     "j18_author_hints": f"with {_PRC} select number, count(distinct author_name) authors, min(author_name) first_author from (select distinct number, left(sha, 7) s7 from pc) join (select distinct left(sha, 7) s7, author_name from commits_sample where author_name is not null) using (s7) group by 1",
     "j21_location_triage": f"""with w as (select distinct id, qualified_name q, {_LAST('qualified_name', 1)} short from nodes where node_type = 'Function' and qualified_name is not null), c as (select {_MOD} || '.' || name chain, {_LAST('name', 1)} short from code_entities_full where name is not null and relpath is not null),

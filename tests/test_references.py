@@ -50,6 +50,7 @@ def test_hot_key_is_split(spark):
     refs = [("hot", day(i % 20)) for i in range(3000)] + [("rare", day(3))]
     parents = [("hot", day(5), day(9)), ("hot", day(12), None), ("rare", day(1), None)]
     assert run(spark, refs, parents, hot_share=0.01, salts=4) == brute(refs, parents)
+    assert run(spark, refs, parents, hot_share=2.0, salts=2, hot_rows=100) == brute(refs, parents)  # by rows alone
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphmill.plans import audit, code, connectors, data_quality, knowledge, resolution, retail, rewriting, sanitizing, segmentation, summaries, texts
+from graphmill.plans import audit, code, connectors, data_quality, history, knowledge, resolution, retail, rewriting, sanitizing, segmentation, summaries, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (audit, code, connectors, data_quality, knowledge, resolution, retail, rewriting, sanitizing, segmentation, summaries, texts)
+MODULES = (audit, code, connectors, data_quality, history, knowledge, resolution, retail, rewriting, sanitizing, segmentation, summaries, texts)
 
 
 def queries() -> dict[str, Query]:

@@ -19,38 +19,6 @@ def _code(spark, sf):
     return load(spark, sf, "code_entities_full")
 
 
-def j11_mapped_nodes(spark, sf):
-    """Targets and the node that is meant: equal id, equal qualified name, equal last segment."""
-    t = load(spark, sf, "target_ast_map").where("node_id is not null").select("node_id").distinct().withColumn("q", F.regexp_replace("node_id", "^[A-Za-z]+:", "")).withColumn("short", F.substring_index("q", ".", -1))
-    n = nodes(spark, sf).where("id is not null").select("id", "qualified_name").distinct()
-    exact = t.join(n, F.col("node_id") == F.col("id")).select("node_id", "id", F.lit("id").alias("strategy"))
-    named = t.join(n, F.col("q") == F.col("qualified_name")).select("node_id", "id", F.lit("qualified_name").alias("strategy"))
-    last = t.join(n.withColumn("s", F.substring_index("qualified_name", ".", -1)), F.col("short") == F.col("s")).select("node_id", "id", F.lit("short_name").alias("strategy"))
-    return V.prioritized([exact, named, last], ["node_id"], ["id", "strategy"]).select("node_id", "id", "strategy")
-
-
-def u13_text_backfill(spark, sf):
-    """Lines of short names by what is known: one file gives its first line, several are ambiguous."""
-    spans = _code(spark, sf).where("relpath is not null and lineno is not null and name is not null").select(F.substring_index("name", ".", -1).alias("short"), G.slashed(F.col("relpath")).alias("file"), "lineno")
-    g = spans.groupBy("short").agg(F.count_distinct("file").alias("files"), F.min("lineno").alias("line"))
-    return g.select("short", F.when(F.col("files") == 1, F.col("line")).alias("line"), F.when(F.col("files") == 1, "found").otherwise("ambiguous").alias("status"))
-
-
-def u14_candidate_scores(spark, sf):
-    """Files scored as places of a definition: +20 below src, +10 in the manifest, + their symbols, -5 in deploy folders."""
-    per = _code(spark, sf).where("relpath is not null").groupBy(G.slashed(F.col("relpath")).alias("file")).agg(F.count("*").alias("symbols"))
-    known = load(spark, sf, "code_snippets").where("path is not null").select(G.slashed(F.col("path")).alias("file")).distinct().withColumn("known", F.lit(10))
-    score = F.when(F.col("file").rlike("(^|/)src/"), 20).otherwise(0) + F.coalesce("known", F.lit(0)) + F.col("symbols") - F.when(F.col("file").startswith("cloudrun/") | F.col("file").startswith("serving/"), 5).otherwise(0)
-    return per.join(known, "file", "left").select("file", score.cast("long").alias("score"))
-
-
-def u17_validation(spark, sf):
-    """Errors of node records against the declared rules, counted."""
-    n = nodes(spark, sf)
-    rules = [F.when(F.col("node_type").isNull() | (F.col("node_type") == ""), "type_missing"), F.when(F.col("node_type").isNotNull() & ~F.col("node_type").isin(*G.NODE_TYPES), "type_unknown"), F.when(~F.col("id").contains(":"), "id_without_type"), F.when(F.col("id").contains("\\"), "backslash"), F.when(F.substring_index("id", ":", 1) != F.col("node_type"), "type_differs"), F.when(F.col("node_type").isin("Function", "Class") & F.col("path").isNull(), "no_path")]
-    return n.select(F.explode(F.array_compact(F.array(*rules))).alias("error")).groupBy("error").agg(F.count("*").alias("n"))
-
-
 def w11_word_replacement(spark, sf):
     """Documentation with the names of functions replaced by placeholders, word by word."""
     names = _code(spark, sf).where("kind in ('function', 'method') and name is not null").groupBy(F.substring_index("name", ".", -1).alias("name")).agg(F.concat(F.lit("func_"), F.min("entity_id").cast("string")).alias("placeholder"))
@@ -65,12 +33,8 @@ def m13_predictions(spark, sf):
 
 
 QUERIES = {
-    "j11_mapped_nodes": j11_mapped_nodes,
     "m13_predictions": m13_predictions,
     "so4_distinct_values": lambda s, d: _code(s, d).select("kind").distinct(),
-    "u13_text_backfill": u13_text_backfill,
-    "u14_candidate_scores": u14_candidate_scores,
-    "u17_validation": u17_validation,
     "w11_word_replacement": w11_word_replacement,
 }
 
@@ -88,12 +52,6 @@ _literal = lambda c: f"case when regexp_matches({c}, '^{_q(X.CODE_HOST)}') then
 _types = ", ".join(f"'{t}'" for t in G.NODE_TYPES)
 
 SQL = {
-    "j11_mapped_nodes": """with t as (select distinct node_id, regexp_replace(node_id, '^[A-Za-z]+:', '') q from target_ast_map where node_id is not null), n as (select distinct id, qualified_name from nodes where id is not null),
-c as (select node_id, id, 'id' strategy, 0 p from t join n on node_id = id union all select node_id, id, 'qualified_name', 1 from t join n on q = qualified_name union all select node_id, id, 'short_name', 2 from t join n on list_last(string_split(q, '.')) = list_last(string_split(qualified_name, '.')))
-select node_id, id, strategy from (select *, row_number() over (partition by node_id order by p, id) r from c) where r = 1""",
     "so4_distinct_values": "select distinct kind from code_entities_full",
-    "u13_text_backfill": f"with s as (select list_last(string_split(name, '.')) short, {_S('relpath')} file, lineno from code_entities_full where relpath is not null and lineno is not null and name is not null) select short, case when count(distinct file) = 1 then min(lineno) end line, case when count(distinct file) = 1 then 'found' else 'ambiguous' end status from s group by 1",
-    "u14_candidate_scores": f"with p as (select {_S('relpath')} file, count(*) symbols from code_entities_full where relpath is not null group by 1), k as (select distinct {_S('path')} file from code_snippets where path is not null) select p.file, case when regexp_matches(p.file, '(^|/)src/') then 20 else 0 end + case when k.file is null then 0 else 10 end + symbols - case when starts_with(p.file, 'cloudrun/') or starts_with(p.file, 'serving/') then 5 else 0 end score from p left join k on k.file = p.file",
-    "u17_validation": rf"with e as (select unnest([case when node_type is null or node_type = '' then 'type_missing' end, case when node_type not in ({_types}) then 'type_unknown' end, case when not contains(id, ':') then 'id_without_type' end, case when contains(id, '\') then 'backslash' end, case when split_part(id, ':', 1) <> node_type then 'type_differs' end, case when node_type in ('Function', 'Class') and path is null then 'no_path' end]) error from nodes) select error, count(*) n from e where error is not null group by 1",
     "w11_word_replacement": "with n as (select list_last(string_split(name, '.')) w, 'func_' || min(entity_id)::varchar p from code_entities_full where kind in ('function', 'method') and name is not null group by 1), t as (select entity_id, unnest(l) w, generate_subscripts(l, 1) i from (select entity_id, regexp_extract_all(doc, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+', 0) l from code_entities_full where doc <> '')) select entity_id, string_agg(coalesce(p, t.w), '' order by i) doc from t left join n on n.w = t.w group by 1",
 }

@@ -84,16 +84,6 @@ def g10_best_of_all(spark, sf):
     return V.best_entities(targets, entities)
 
 
-def j21_location_triage(spark, sf):
-    """Function nodes by how their location can be found: exact name, the only short name, several, none."""
-    want = nodes(spark, sf).where("node_type = 'Function' and qualified_name is not null").select("id", "qualified_name").distinct().withColumn("short", F.substring_index("qualified_name", ".", -1))
-    code = load(spark, sf, "code_entities_full").where("name is not null and relpath is not null").select(F.concat_ws(".", G.module_name(F.col("relpath")), "name").alias("chain"), F.substring_index("name", ".", -1).alias("short"))
-    exact = code.select(F.col("chain").alias("qualified_name")).distinct().withColumn("hit", F.lit(True))
-    shorts = code.groupBy("short").agg(F.count_distinct("chain").alias("n"))
-    state = F.when(F.col("hit"), "sym_exact").when(F.col("n") == 1, "short_unique").when(F.col("n") > 1, "ambiguous").otherwise("no_match")
-    return want.join(exact, "qualified_name", "left").join(shorts, "short", "left").groupBy(state.alias("status")).agg(F.count("*").alias("n"))
-
-
 def j23_attach_spans(spark, sf):
     """Snippets with the line span of their entity by file and name; the first definition wins."""
     spans = _spans(spark, sf).groupBy("file", "name").agg(F.min(F.struct("first", "last")).alias("s"))
@@ -139,14 +129,6 @@ def a18_coverage(spark, sf):
     return totals.join(held, "node_type", "left").select("node_type", "total", F.coalesce("held", F.lit(0)).alias("held"), F.round(F.try_divide(100.0 * F.coalesce("held", F.lit(0)), F.col("total")), 4).alias("percentage"))
 
 
-def a19_precision_recall(spark, sf):
-    """Precision, recall and F1 of listed neighbours against the nodes that exist."""
-    said = load(spark, sf, "retrieval_debug").where("neighbor_id <> ''").select(F.trim(G.slashed(F.col("neighbor_id"))).alias("id"))
-    sizes = V.set_sizes(said, nodes(spark, sf).where("id is not null").select("id")).groupBy().pivot("operation", ["intersection", "left_only", "right_only"]).agg(F.sum("n"))
-    p, r = F.try_divide(F.col("intersection"), F.col("intersection") + F.col("left_only")), F.try_divide(F.col("intersection"), F.col("intersection") + F.col("right_only"))
-    return sizes.select(F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 6).alias("f1"))
-
-
 def _pr_commits(spark, sf):
     return load(spark, sf, "pull_requests").select("number", "created_at", F.explode("commits").alias("c")).select("number", "created_at", F.col("c.sha").alias("sha"), F.col("c.message_head").alias("message")).where("sha is not null")
 
@@ -163,14 +145,6 @@ def s24_unmapped_commits(spark, sf):
     return load(spark, sf, "commits_sample").select("sha").distinct().join(known, "sha", "left").select("sha", F.coalesce("prs", F.lit("")).alias("prs"))
 
 
-def a36_orientation(spark, sf):
-    """Whether a map's keys look like numbers (over 60 %) or its values like hashes (over 20 %): then it is inverted."""
-    m = _pr_commits(spark, sf).select(F.col("number").cast("string").alias("k"), F.col("sha").alias("v"))
-    share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    s = m.agg(share(F.col("k").rlike("^[0-9]+$")).alias("numeric_keys"), share(F.col("v").rlike("^[0-9a-f]{7,40}$")).alias("hex_values"))
-    return s.select("numeric_keys", "hex_values", ((F.col("numeric_keys") > 0.6) | (F.col("hex_values") > 0.2)).alias("invert"))
-
-
 QUERIES = {
     "j8_suffix": j8_suffix,
     "j9_mentions": j9_mentions,
@@ -179,7 +153,6 @@ QUERIES = {
     "j13_chain_resolution": j13_chain_resolution,
     "j14_longest_prefix": j14_longest_prefix,
     "j18_author_hints": j18_author_hints,
-    "j21_location_triage": j21_location_triage,
     "j22_older_precedence": j22_older_precedence,
     "j23_attach_spans": j23_attach_spans,
     "g10_target_resolution": g10_target_resolution,
@@ -189,16 +162,10 @@ QUERIES = {
     "w10_second_newest": w10_second_newest,
     "w13_definition_end": w13_definition_end,
     "a18_coverage": a18_coverage,
-    "a19_precision_recall": a19_precision_recall,
-    "a22_lines_per_commit": lambda s, d: _pr_commits(s, d).groupBy("number", "sha").agg(F.count("*").alias("lines"), F.max("message").alias("message")),
-    "a23_top_commit": lambda s, d: _pr_commits(s, d).groupBy("number", "sha").agg(F.count("*").alias("lines")).groupBy("number").agg(F.min(F.struct((-F.col("lines")).alias("r"), "sha")).alias("b")).select("number", F.col("b.sha").alias("sha")),
-    "a24_top_commit_by_time": lambda s, d: _pr_commits(s, d).groupBy("number", "sha").agg(F.count("*").alias("lines"), F.max("created_at").alias("at")).groupBy("number").agg(F.max(F.struct("lines", "at", "sha")).alias("b")).select("number", F.col("b.sha").alias("sha")),
     "a25_latest_commit": a25_latest_commit,
     "a28_symbols_per_file": lambda s, d: load(s, d, "code_entities_full").groupBy(G.slashed(F.col("relpath")).alias("file")).agg(F.count("*").alias("n")),
     "a35_pr_occurrences": lambda s, d: _pr_commits(s, d).groupBy("number").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "number").limit(10),
-    "a36_orientation": a36_orientation,
     "s24_unmapped_commits": s24_unmapped_commits,
-    "a20_edge_reasons": lambda s, d: raw_edges(s, d).groupBy("source", "type").agg(F.count("*").alias("count"), F.array_join(F.array_sort(F.collect_set("provenance")), ";").alias("reasons")),
 }
 
 _S = lambda c: f"replace({c}, '\\', '/')"
@@ -249,8 +216,6 @@ select t.site_id, name, width from t left join c on c.site_id = t.site_id and r
     "j22_older_precedence": _resolved(V.OLDER_ORDER),
     "j14_longest_prefix": "with n as (select distinct qualified_name as name from nodes where qualified_name is not null), m as (select distinct qualified_name module, coalesce(path, '') file from nodes where node_type = 'Module' and qualified_name is not null) select name, module, file from (select *, row_number() over (partition by name order by length(module) desc, file desc) r from n join m on name = module or starts_with(name, module || '.')) where r = 1",
     "j18_author_hints": f"with {_PRC} select number, count(distinct author_name) authors, min(author_name) first_author from (select distinct number, left(sha, 7) s7 from pc) join (select distinct left(sha, 7) s7, author_name from commits_sample where author_name is not null) using (s7) group by 1",
-    "j21_location_triage": f"""with w as (select distinct id, qualified_name q, {_LAST('qualified_name', 1)} short from nodes where node_type = 'Function' and qualified_name is not null), c as (select {_MOD} || '.' || name chain, {_LAST('name', 1)} short from code_entities_full where name is not null and relpath is not null),
-n as (select short, count(distinct chain) n from c group by 1) select case when q in (select chain from c) then 'sym_exact' when n = 1 then 'short_unique' when n > 1 then 'ambiguous' else 'no_match' end status, count(*) n from w left join n using (short) group by 1""",
     "j23_attach_spans": f"with {_SPANS}, f as (select file, name, first, last, row_number() over (partition by file, name order by first, last) r from spans) select snippet_id, first first_line, last last_line from (select snippet_id, {_S('path')} file, {_LAST('node_id', 1)} as name from code_snippets where path is not null and node_id is not null) join f using (file, name) where r = 1",
     "g10_target_resolution": f"""with t as (select map_id target_id, {_S('path')} w, coalesce(chosen_neighbor.label, '') wn, {_BASE('path')} base from target_ast_map where path is not null), e as (select entity_id, {_S('relpath')} h, coalesce(name, '') hn, lineno, end_lineno, {_BASE('relpath')} base from code_entities_full where relpath is not null),
 s as (select target_id, entity_id, round((case when ends_with(h, w) then 5.0 when contains(h, w) then 2.0 else 0.0 end)::double + (case when {_TWO('h')} = {_TWO('w')} then 3.5 else 0.0 end)::double + (case when hn = wn then 3.0 when contains(hn, wn) then 1.5 else 0.0 end)::double + (case when lineno is not null and end_lineno is not null then 0.5 else 0.0 end)::double + (case when ends_with(h, '.py') then 0.1 else 0.0 end)::double, 2) score from t join e using (base))
@@ -263,17 +228,8 @@ select n.name, coalesce(lf.place, ld.place) place, case when lf.name is not null
     "w10_second_newest": "select entity_key, entity_id from (select *, row_number() over (partition by entity_key order by indexed_at desc, entity_id) r from code_entities_full where entity_key is not null and indexed_at is not null) where r = 2",
     "w13_definition_end": f"with {_SPANS}, s as (select distinct file, first from spans) select file, first, coalesce(lead(first) over (partition by file order by first) - 1, (select max(last) from spans x where x.file = s.file)) end_line from s",
     "a18_coverage": "with h as (select node_type, count(distinct id) held from nodes group by 1), t as (select 'Commit' node_type, count(distinct sha) total from commits_sample union all select 'PR', count(distinct number) from pull_requests union all select 'Function', count(distinct entity_key) from code_entities_full where kind in ('function', 'method') union all select 'File', count(distinct relpath) from code_entities_full) select node_type, total, coalesce(held, 0) held, round(100.0 * coalesce(held, 0) / nullif(total, 0), 4) percentage from t left join h using (node_type)",
-    "a19_precision_recall": f"with a as (select distinct trim({_S('neighbor_id')}) id from retrieval_debug where neighbor_id <> ''), b as (select distinct id from nodes where id is not null), x as (select (select count(*) from a where id in (select id from b))::double i, (select count(*) from a)::double na, (select count(*) from b)::double nb) select round(i / na, 6) as \"precision\", round(i / nb, 6) recall, round(2 * i / (na + nb), 6) f1 from x",
-    "a22_lines_per_commit": f"with {_PRC} select number, sha, count(*) lines, max(message) message from pc group by 1, 2",
-    "a23_top_commit": f"with {_PRC} select number, sha from (select number, sha, row_number() over (partition by number order by count(*) desc, sha) r from pc group by 1, 2) where r = 1",
-    "a24_top_commit_by_time": f"with {_PRC} select number, sha from (select number, sha, row_number() over (partition by number order by count(*) desc, max(created_at) desc nulls last, sha desc) r from pc group by 1, 2) where r = 1",
     "a25_latest_commit": "select author_email, case when max(author_date) is not null then (list(sha order by author_date desc nulls last, sha desc))[1] else min(sha) end sha from commits_sample where author_email is not null group by 1",
     "a28_symbols_per_file": f"select {_S('relpath')} file, count(*) n from code_entities_full group by 1",
     "a35_pr_occurrences": f"with {_PRC} select number, count(*) n from pc group by 1 order by 2 desc, 1 limit 10",
-    "a36_orientation": f"with {_PRC}, s as (select round(avg((regexp_matches(number::varchar, '^[0-9]+$'))::int), 6) numeric_keys, round(avg((regexp_matches(sha, '^[0-9a-f]{{7,40}}$'))::int), 6) hex_values from pc) select *, numeric_keys > 0.6 or hex_values > 0.2 invert from s",
     "s24_unmapped_commits": f"with {_PRC} select c.sha, coalesce(prs, '') prs from (select distinct sha from commits_sample) c left join (select sha, array_to_string(list_sort(list(distinct number)), ',') prs from pc group by 1) p on p.sha = c.sha",
-    "a20_edge_reasons": None,
 }
-from graphmill.sources.knowledge import EDGES_SQL  # noqa: E402
-
-SQL["a20_edge_reasons"] = f"with {EDGES_SQL} select source, type, count(*) as \"count\", array_to_string(list_sort(list(distinct provenance)), ';') reasons from raw group by 1, 2"

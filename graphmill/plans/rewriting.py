@@ -95,7 +95,7 @@ found as (select 'function' kind, FUNCTION_PREFIX prefix, name, min(entity_id) s
  union all select 'package', 'pkg_', split_part(p, '/', 1) g, min(entity_id), '' from fp where contains(p, '/') and split_part(p, '/', 1) <> '' group by g
  union all select 'file', {_PREFIX} || '_file_', name, min(entity_id), regexp_extract(name, '(\.[A-Za-z0-9]+)$', 1) from (select entity_id, p as name from fp) where name <> '' group by name),
 known as (select kind, name, prefix || case when n < 1000 then lpad(n::varchar, 3, '0') else n::varchar end || ext placeholder from (select *, row_number() over (partition by prefix order by seen, name) n from found))"""
-_ROLED, _PLAIN = _FOUND.replace("FUNCTION_PREFIX", "role || '_func_'"), _FOUND.replace("FUNCTION_PREFIX", "'func_'")
+ROLED_SQL, _PLAIN = _FOUND.replace("FUNCTION_PREFIX", "role || '_func_'"), _FOUND.replace("FUNCTION_PREFIX", "'func_'")
 _NAMES3 = "nt as (select name, max(case when kind = 'function' then placeholder end) f, max(case when kind = 'class' then placeholder end) c, max(case when kind = 'parameter' then placeholder end) p from known where kind in ('function', 'class', 'parameter') group by 1)"
 
 
@@ -135,9 +135,9 @@ cn as (select distinct lower(trim(author_name)) r from commits_sample where leng
 fin as (select entity_id, case when l is null then t else list_reduce(list_prepend(t, l), lambda a, n: regexp_replace(a, '(?i)\b' || regexp_escape(n) || '\b', '[CONTRIBUTOR]', 'g')) end t from lit left join hit using (entity_id))"""
 SQL = {
     "x11_placeholders": f"with {_PLAIN} select kind, name, placeholder from known",
-    "x16_role_counters": f"with {_ROLED} select kind, name, placeholder from known",
-    "x17_rewrite": f"with {_ROLED}, {_SRC}, {_rewritten('src', 'entity_id')} select entity_id, md5(t) rewritten, {', '.join(R.CHANGES)} from out",
-    "a31_replacements": f"with {_ROLED}, {_SRC}, {_rewritten('src', 'entity_id')}, j as (select replace(relpath, '\\', '/') file, out.* from out join code_entities_full using (entity_id)), u as (" + " union all ".join(f"select file, '{c}' change_type, {c}::bigint n from j" for c in R.CHANGES) + ") select file, change_type, sum(n)::bigint n from u group by 1, 2 having sum(n) > 0",
-    "x19_pipeline": f"with {_ROLED}, {_SRC}, {_imports('src', 'entity_id')}, {_rewritten('imp', 'entity_id')}, {_MASKED} select entity_id, md5(t) rewritten from fin",
-    "x20_snippets": f"with {_ROLED}, src as (select snippet_id, {_snip} t from code_snippets), {_imports('src', 'snippet_id')}, {_rewritten('imp', 'snippet_id')}, s as (select snippet_id, list_last(string_split(node_id, '.')) short, replace(path, '\\', '/') path from code_snippets) select snippet_id, coalesce(a.placeholder, short) node, coalesce(b.placeholder, path) path, md5({_inside('t')}) rewritten from out join s using (snippet_id) left join known a on a.kind = 'function' and a.name = short left join known b on b.kind = 'file' and b.name = path",
+    "x16_role_counters": f"with {ROLED_SQL} select kind, name, placeholder from known",
+    "x17_rewrite": f"with {ROLED_SQL}, {_SRC}, {_rewritten('src', 'entity_id')} select entity_id, md5(t) rewritten, {', '.join(R.CHANGES)} from out",
+    "a31_replacements": f"with {ROLED_SQL}, {_SRC}, {_rewritten('src', 'entity_id')}, j as (select replace(relpath, '\\', '/') file, out.* from out join code_entities_full using (entity_id)), u as (" + " union all ".join(f"select file, '{c}' change_type, {c}::bigint n from j" for c in R.CHANGES) + ") select file, change_type, sum(n)::bigint n from u group by 1, 2 having sum(n) > 0",
+    "x19_pipeline": f"with {ROLED_SQL}, {_SRC}, {_imports('src', 'entity_id')}, {_rewritten('imp', 'entity_id')}, {_MASKED} select entity_id, md5(t) rewritten from fin",
+    "x20_snippets": f"with {ROLED_SQL}, src as (select snippet_id, {_snip} t from code_snippets), {_imports('src', 'snippet_id')}, {_rewritten('imp', 'snippet_id')}, s as (select snippet_id, list_last(string_split(node_id, '.')) short, replace(path, '\\', '/') path from code_snippets) select snippet_id, coalesce(a.placeholder, short) node, coalesce(b.placeholder, path) path, md5({_inside('t')}) rewritten from out join s using (snippet_id) left join known a on a.kind = 'function' and a.name = short left join known b on b.kind = 'file' and b.name = path",
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphmill.session import cut
@@ -19,6 +19,30 @@ NODE_TYPES = ("File", "Module", "Function", "Class", "Commit", "PR", "Dependency
 EDGE_TYPES = ("IMPORTS", "CALLS", "CALLS_FILE_LEVEL", "DEFINES", "MODIFIED_BY", "CLOSED_BY", "DEPENDS_ON", "MENTIONS")
 
 
+#: Columns of the stored graph.
+NODE_SCHEMA = "id string, node_type string, label string, path string, qualified_name string, lineno int, sha string, number bigint, attrs map<string,string>"
+EDGE_SCHEMA = "source string, target string, type string, count bigint, provenance string"
+
+
+def write_schema(spark: SparkSession, path: str) -> bool:
+    """Writes the declared types of nodes and edges as JSON where nothing is stored yet; whether it did."""
+    files = spark._jvm.org.apache.hadoop.fs
+    place = files.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return False
+    rows = [("node", t, NODE_SCHEMA) for t in NODE_TYPES] + [("edge", t, EDGE_SCHEMA) for t in EDGE_TYPES]
+    spark.createDataFrame(rows, "record string, type string, columns string").coalesce(1).write.json(path)
+    return True
+
+
+def enforced(df: DataFrame, schema: str, column: str, types: tuple[str, ...]) -> DataFrame:
+    """``df`` with the columns and types of a schema (missing ones null, others dropped); rows of no declared type are left out."""
+    wanted = df.sparkSession.createDataFrame([], schema).schema
+    have = set(df.columns)
+    shaped = df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted))
+    return shaped.where(F.col(column).isin(*types))
+
+
 def slashed(path: Column) -> Column:
     return F.translate(path, "\\", "/")
 
@@ -134,12 +158,12 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): least id of each undirected component, by least-neighbour rounds with pointer jumping until nothing moves."""
     both = cut(undirected(edges))
     ends = both.select(F.col("source").alias("id")).distinct()
     roots = cut(nodes.select("id").distinct().unionByName(ends).distinct().withColumn("component", F.col("id")))
-    for _ in range(rounds):
+    while True:  # every round lowers a component or is the last
         seen = both.join(roots.select(F.col("id").alias("target"), "component"), "target").groupBy(F.col("source").alias("id")).agg(F.min("component").alias("seen"))
         step = roots.join(seen, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("seen", "component")).alias("component"))
         jump = step.join(roots.select(F.col("id").alias("component"), F.col("component").alias("next")), "component", "left")
@@ -148,7 +172,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFram
         roots = moved.select("id", "component")
         if done:
             return roots
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def component_sizes(parts: DataFrame) -> DataFrame:

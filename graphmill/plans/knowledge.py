@@ -220,6 +220,11 @@ select 'nodes' metric, nodes as value from w union all select 'edges', edges fro
 o as (select * from (select *, row_number() over (partition by node_id order by score desc, neighbor_id) r from b) where r <= 8), f as (select node_id from b group by 1 having count(*) < 8),
 x as (select distinct b.node_id, o.neighbor_id from b join f using (node_id) join o on o.node_id = b.neighbor_id where o.neighbor_id <> b.node_id), y as (select x.*, round(0.5 + 1 / 3.0, 6)::double score, true expanded from x where not exists (select 1 from b where b.node_id = x.node_id and b.neighbor_id = x.neighbor_id)), z as (select node_id, neighbor_id, score, false expanded from b union all select node_id, neighbor_id, score, expanded from y)
 select * from (select *, row_number() over (partition by node_id order by expanded, score desc, neighbor_id) rank from z) where rank <= 8""",
+    "g7_components": _E(f""", x as (select * from e where type in ('PARENT', 'CLOSED_BY')), ux as (select distinct source, target from (select source, target from x union all select target, source from x) where source <> target), al as (select id from nodes where id is not null union select source from ux),
+rc as (select id, id root from al union select ux.target, rc.root from rc join ux on ux.source = rc.id), cp as (select id, min(root) component from rc group by 1), cs as (select component, count(*) n from cp group by 1) select count(*) components, max(n) largest, round(max(n) / sum(n), 6) largest_share from cs"""),
+    "g8_path_statistics": _E(f""", x as (select * from e where type in ('PARENT', 'CLOSED_BY')), ux as (select distinct source, target from (select source, target from x union all select target, source from x) where source <> target), al as (select id from nodes where id is not null union select source from ux),
+rc as (select id, id root from al union select ux.target, rc.root from rc join ux on ux.source = rc.id), cp as (select id, min(root) component from rc group by 1), lg as (select component from cp group by 1 order by count(*) desc, component limit 1), sd as (select id seed from cp where component = (select component from lg) order by 1 limit 200),
+wk as (select seed, seed id, 0 d from sd union select wk.seed, ux.target, wk.d + 1 from wk join ux on ux.source = wk.id where wk.d < 10), ds as (select seed, id, min(d) d from wk group by 1, 2) select round(avg(d), 4) mean_path, max(d) pseudo_diameter from ds"""),
     "w6_top_scores": "select * from (select node_id, retrieval_id, coalesce(score, 0) score, row_number() over (partition by node_id order by coalesce(score, 0) desc, retrieval_id) rank from retrieval_debug where node_id is not null) where rank <= 5",
     "w7_context_union": """with f as (select node_id, neighbor_id, category, coalesce(score, 0) score, case category when 'callers' then 0 when 'callees' then 1 when 'same_file' then 2 else 3 end priority from retrieval_debug where node_id is not null and neighbor_id <> ''),
 d as (select * from (select *, row_number() over (partition by node_id, neighbor_id order by priority, score desc) r from f) where r = 1),

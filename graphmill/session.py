@@ -15,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -27,11 +28,12 @@ def build_session(app: str = "graphmill", cores: str = "*", partitions: int = 8)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where it is unset (tests), a temporary one."""
-    if spark.conf.get("spark.checkpoint.dir", None):
+    """Use the shared folder of ``spark.checkpoint.dir``. Where it is unset a local session takes a temporary folder; a cluster, whose machines do not share one, is an error."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
         return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "graphmill-checkpoints"))
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "graphmill-checkpoints"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,6 +52,6 @@ def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let the driver drop the plans of earlier rounds of a loop; their shuffle and checkpoint files go with them."""
+    """Let the driver drop the plans of earlier rounds of a loop; their shuffle files go with them, and checkpoint files where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()

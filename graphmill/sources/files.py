@@ -160,9 +160,26 @@ def text_of_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def append_scores(scored: DataFrame, table: str) -> None:
-    """Scored rows with a timestamp appended to a table, which is made where it is missing."""
-    scored.withColumn("scored_at", F.current_timestamp()).write.mode("append").saveAsTable(table)
+def append_scores(scored: DataFrame, table: str, started: float | None = None) -> None:
+    """Scored rows with a timestamp and the latency in seconds since ``started`` (a time of the clock; null without) appended to a table; where it is missing it is made first, empty and with their columns."""
+    spark = scored.sparkSession
+    latency = F.lit(None).cast("double") if started is None else (F.unix_micros(F.current_timestamp()) / 1e6 - F.lit(float(started))).cast("double")
+    rows = scored.withColumn("scored_at", F.current_timestamp()).withColumn("latency", latency)
+    if not spark.catalog.tableExists(table):
+        rows.limit(0).write.saveAsTable(table)
+    rows.select(*spark.table(table).columns).write.mode("append").saveAsTable(table)
+
+
+def mapped_commits(shas: DataFrame, known: DataFrame, lookup: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(sha, prs): the numbers of known (sha, number) for each sha, joined and ordered; only those it does not have go through ``lookup`` (a table of sha to a table of sha and number), and what that does not know, or a look-up that fails, gives an empty list."""
+    rest = shas.join(known.select("sha").distinct(), "sha", "left_anti")
+    try:
+        more = lookup(rest).select("sha", "number")
+        more.schema  # noqa: B018 - a look-up that cannot be planned fails here
+    except Exception:  # noqa: BLE001 - whatever the service does, the commits stay
+        more = known.select("sha", "number").limit(0)
+    found = known.select("sha", "number").unionByName(more).groupBy("sha").agg(F.array_join(F.transform(F.array_sort(F.collect_set("number")), lambda x: x.cast("string")), ",").alias("prs"))
+    return shas.join(found, "sha", "left").select("sha", F.coalesce("prs", F.lit("")).alias("prs"))
 
 
 def serving_model(models: DataFrame) -> DataFrame:

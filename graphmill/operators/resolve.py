@@ -51,6 +51,8 @@ def commits_of_prs(prs: DataFrame, commits: DataFrame) -> DataFrame:
     open_ = cut(left.join(prefix.select("number").distinct(), "number", "left_anti"))
     inside = contained(open_.select(seven("want").alias("part")).distinct(), have.select(low("sha").alias("whole")))
     within = open_.join(inside, seven("want") == F.col("part")).join(have, low("sha") == F.col("whole")).select("number", "sha", F.lit("contains").alias("strategy"))
+    if "commits" not in prs.columns:
+        return prioritized([exact, lower, prefix, within], ["number"], ["sha", "strategy"]).select("number", "sha", "strategy")
     listed = prs.select("number", F.explode("commits").alias("c")).where("number is not null and c.sha <> ''").select("number", F.substring(F.lower("c.sha"), 1, 7).alias("s7")).distinct()
     reverse = listed.join(have.withColumn("s7", seven("sha")), "s7").select("number", "sha", F.lit("listed").alias("strategy"))
     return prioritized([exact, lower, prefix, within, reverse], ["number"], ["sha", "strategy"]).select("number", "sha", "strategy")

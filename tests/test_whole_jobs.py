@@ -89,7 +89,7 @@ def test_all_author_signals(spark):
 def test_csv_export_of_every_map(spark, tmp_path):
     rows = [("a", {"type": "X", "size": "1"}), ("b", {"size": "1", "type": 'say "hi"\n'}), ("c", None), ("d", {}), ("e", {"z": None, "b": "\u00e4"})]
     spark.createDataFrame(rows, "id string, attrs map<string,string>").write.parquet(str(tmp_path / "nodes.parquet"))
-    got = {r["id"]: r["attrs"] for r in plans.queries()["s8_csv_export_all"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: r["attrs"] for r in plans.queries()["s8_csv_export"](spark, str(tmp_path)).collect()}
     assert got == {"a": '{"size":"1","type":"X"}', "b": '{"size":"1","type":"say \\"hi\\"\\n"}', "c": None, "d": "{}", "e": '{"b":"\u00e4","z":null}'}
     files.write_csv(spark.createDataFrame(rows, "id string, attrs map<string,string>"), str(tmp_path / "out"))
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "out"))

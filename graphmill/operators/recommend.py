@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphmill.session import cut
+
 
 def without_customers(tx: DataFrame, outliers: DataFrame) -> DataFrame:
     """Transactions of customers that are no outliers; rows without a customer stay."""
@@ -34,7 +36,8 @@ def unbought(top: DataFrame, bought: DataFrame, customers: DataFrame) -> DataFra
 
 def recommendations(tx: DataFrame, outliers: DataFrame, customers: DataFrame, top: int = 10, keep: int = 3) -> DataFrame:
     """(customer_id, cluster, rec1_code, rec1_description, ...): the first unbought top products, short lists padded with null."""
-    kept = without_customers(tx, outliers)
+    # added up once and written, as both the cluster's and the customer's products come from it
+    kept = cut(without_customers(tx, outliers).groupBy("customer_id", "stock_code", "description").agg(F.sum("quantity").alias("quantity")))
     open_ = unbought(top_products(kept, customers, top), purchases(kept, customers), customers)
     # at most ``top`` offers per customer: the first ``keep`` by rank in one aggregation
     listed = open_.groupBy("customer_id", "cluster").agg(F.slice(F.sort_array(F.collect_list(F.struct("rank", "stock_code", "description"))), 1, keep).alias("recs"))

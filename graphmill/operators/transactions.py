@@ -119,13 +119,11 @@ def recency(tx: DataFrame) -> DataFrame:
 
 
 def rfm(tx: DataFrame) -> DataFrame:
-    """Transactions, products, spend, average transaction and distinct products, in one aggregation. Cancelled rows count."""
-    base = tx.groupBy("customer_id").agg(
-        F.count_distinct("invoice_no").alias("total_transactions"),
-        F.sum("quantity").alias("total_products_purchased"),
-        F.round(F.sum(F.col("unit_price") * F.col("quantity")), 4).alias("total_spend"),
-        F.count_distinct("stock_code").alias("unique_products_purchased"),
-    )
+    """Transactions, products, spend, average transaction and distinct products. Cancelled rows count. Rows are added up per invoice first, and codes made distinct, so no row is repeated for a distinct count."""
+    invoices = tx.groupBy("customer_id", "invoice_no").agg(F.sum("quantity").alias("quantity"), F.sum(F.col("unit_price") * F.col("quantity")).alias("spend"))
+    sums = invoices.groupBy("customer_id").agg(F.count("invoice_no").alias("total_transactions"), F.sum("quantity").alias("total_products_purchased"), F.round(F.sum("spend"), 4).alias("total_spend"))
+    codes = tx.select("customer_id", "stock_code").distinct().groupBy("customer_id").agg(F.count("stock_code").alias("unique_products_purchased"))
+    base = sums.join(codes, sums["customer_id"].eqNullSafe(codes["customer_id"])).select(sums["customer_id"], "total_transactions", "total_products_purchased", "total_spend", "unique_products_purchased")
     return base.withColumn("average_transaction_value", F.round(F.try_divide("total_spend", "total_transactions"), 4))
 
 
@@ -187,13 +185,16 @@ def seasonality(tx: DataFrame) -> DataFrame:
 
 
 def customer_totals(tx: DataFrame) -> DataFrame:
-    """All features of one grain in one aggregation: totals, distinct counts, span of days, cancellations."""
+    """All features of one grain: rows are added up per invoice first, so distinct invoices are counted as rows and no row is repeated for a distinct count; distinct codes likewise."""
     day = F.to_date("invoice_date")
-    cancelled = F.when(F.col("transaction_status") == "Cancelled", F.col("invoice_no"))
-    base = tx.groupBy("customer_id").agg(
-        F.count_distinct("invoice_no").alias("total_transactions"), F.sum("quantity").alias("total_products_purchased"), F.round(F.sum(F.col("unit_price") * F.col("quantity")), 4).alias("total_spend"),
-        F.count_distinct("stock_code").alias("unique_products_purchased"), F.count_distinct(cancelled).alias("cancellation_frequency"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("n"),
-    )
+    invoices = tx.groupBy("customer_id", "invoice_no").agg(
+        F.sum("quantity").alias("quantity"), F.sum(F.col("unit_price") * F.col("quantity")).alias("spend"), F.max((F.col("transaction_status") == "Cancelled").cast("int")).alias("cancelled"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("n")
+    )
+    codes = tx.groupBy("customer_id", "stock_code").agg(F.lit(1).alias("one")).groupBy("customer_id").agg(F.count("stock_code").alias("unique_products_purchased"))
+    base = invoices.groupBy("customer_id").agg(
+        F.count("invoice_no").alias("total_transactions"), F.sum("quantity").alias("total_products_purchased"), F.round(F.sum("spend"), 4).alias("total_spend"),
+        F.sum(F.when(F.col("invoice_no").isNotNull(), F.col("cancelled")).otherwise(0)).alias("cancellation_frequency"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.sum("n").alias("n"),
+    ).join(codes, "customer_id")
     end = base.agg(F.max("last_day").alias("end_day"))
     return base.join(F.broadcast(end)).select(  # one row is broadcast
         "customer_id", "total_transactions", "total_products_purchased", "total_spend", "unique_products_purchased",
@@ -203,6 +204,16 @@ def customer_totals(tx: DataFrame) -> DataFrame:
     )
 
 
+def favourites(tx: DataFrame, home: str) -> DataFrame:
+    """Favourite weekday and hour and whether the main country is ``home``, from one pass: each row votes for all three, votes combine before the shuffle."""
+    vote = lambda kind, number, text: F.struct(F.lit(kind).alias("kind"), number.cast("int").alias("number"), text.cast("string").alias("text"))
+    votes = F.array(vote("day", F.weekday("invoice_date"), F.lit(None)), vote("hour", F.hour("invoice_date"), F.lit(None)), vote("country", F.lit(None), F.col("country")))
+    counts = tx.select("customer_id", F.explode(votes).alias("v")).groupBy("customer_id", "v.kind", "v.number", "v.text").agg(F.count("*").alias("n"))
+    best = lambda kind, c: F.min(F.when(F.col("kind") == kind, F.struct((-F.col("n")).alias("n"), F.col(c))))[c]
+    top = counts.groupBy("customer_id").agg(best("day", "number").alias("day_of_week"), best("hour", "number").alias("hour"), best("country", "text").alias("country"))
+    return top.select("customer_id", "day_of_week", "hour", (F.col("country") == home).cast("int").alias("is_uk"))
+
+
 def customer_features(tx: DataFrame, home: str) -> DataFrame:
     """The whole feature frame. Customers with one row drop out, as gaps are joined inner.
 
@@ -213,7 +224,6 @@ def customer_features(tx: DataFrame, home: str) -> DataFrame:
     return (
         customer_totals(tx)
         .where("average_days_between_purchases is not null")
-        .join(favourite_times(tx), "customer_id")
-        .join(main_country(tx, home).drop("country"), "customer_id", "left")
+        .join(favourites(tx, home), "customer_id")
         .join(seasonality(tx), "customer_id")
     )

@@ -84,14 +84,6 @@ def masked_commits(commits: Column) -> Column:
     return F.transform(commits, lambda c: F.struct(F.lit("[COMMIT_HASH]").alias("sha"), X.mask_inside(c["message_head"]).alias("message_head")))
 
 
-def author_signals(df: DataFrame, text: str) -> DataFrame:
-    """Counts of addresses, home directories, hashes and long numbers (each list ordered, distinct, at most ten) and the risk they add up to."""
-    found = {"emails": X.EMAIL, "paths": X.HOME_PATH, "hashes": X.SHORT_HASH, "numbers": X.LONG_NUMBER}
-    out = df.withColumns({k: F.size(F.slice(X.distinct_matches(F.col(text), p), 1, 10)) for k, p in found.items()})
-    score = F.least(F.lit(10), 3 * F.col("emails") + 2 * F.col("paths") + F.col("hashes") + 2 * F.col("numbers"))
-    return out.withColumn("risk", score).withColumn("level", F.when(score < 3, "LOW").when(score < 6, "MEDIUM").otherwise("HIGH"))
-
-
 #: Words for identifiers of people.
 IDENTIFIER_WORDS = ("customerid", "email", "ssn", "phone", "userid", "user_id", "customer_id")
 

@@ -69,7 +69,12 @@ orphans as (
   and not exists (select 1 from parents p where p.t = r.ref_table and p.k = r.k and p.b <= r.ts and (p.e is null or p.e > r.ts)))
 """
 
+_TREE = r"""a3 as (select ast_id, ltrim(ast, chr(65279)) t from ast_files where ast is not null), v3 as (select ast_id, case when json_type(t) = 'VARCHAR' then ltrim(t::json->>'$', chr(65279)) else t end t from a3 where json_valid(t)), w3 as (select ast_id, t from v3 where json_valid(t)),
+n3 as (select ast_id, j.fullkey, regexp_extract(j.fullkey, '\.(body|names|comparators)(?:\[[0-9]+\])?$', 1) tag, regexp_replace(j.fullkey, '\.(body|names|comparators)(\[[0-9]+\])?$', '') parent_path from w3, json_tree(w3.t::json) j where j.type = 'OBJECT' and regexp_matches(j.fullkey, '\.(body|names|comparators)(\[[0-9]+\])?$'))"""
+
 SQL = {
+    "p3_found": f"with {_TREE} select ast_id, fullkey child_path, parent_path from n3",
+    "p3_table_counts": f"with {_TREE} select tag, count(*) n_rows, sum((parent_path = '$')::int)::bigint n_top from n3 group by 1",
     "p2_found": f"with {_REFS} select ref_table, ref_field, row_id from orphans",
     "p2_report": f"""with {_REFS}, begun as (select t, k, min(b) b from parents where k <> '' and b is not null group by all)
 select ref_table, ref_field, strftime(ts, '%Y-%m') "month", case when b.k is null then 'missing' when b.b > ts then 'late' else 'deleted' end status, count(*) orphans

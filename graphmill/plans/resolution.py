@@ -220,6 +220,11 @@ select t.site_id, name, width from t left join c on c.site_id = t.site_id and r
     "g10_target_resolution": f"""with t as (select map_id target_id, {_S('path')} w, coalesce(chosen_neighbor.label, '') wn, {_BASE('path')} base from target_ast_map where path is not null), e as (select entity_id, {_S('relpath')} h, coalesce(name, '') hn, lineno, end_lineno, {_BASE('relpath')} base from code_entities_full where relpath is not null),
 s as (select target_id, entity_id, round((case when ends_with(h, w) then 5.0 when contains(h, w) then 2.0 else 0.0 end)::double + (case when {_TWO('h')} = {_TWO('w')} then 3.5 else 0.0 end)::double + (case when hn = wn then 3.0 when contains(hn, wn) then 1.5 else 0.0 end)::double + (case when lineno is not null and end_lineno is not null then 0.5 else 0.0 end)::double + (case when ends_with(h, '.py') then 0.1 else 0.0 end)::double, 2) score from t join e using (base))
 select * from (select *, row_number() over (partition by target_id order by score desc, entity_id) rank from s) where rank <= 3""",
+    "g10_best_of_all": f"""with t as (select map_id target_id, lower(coalesce({_S('path')}, '')) w, lower(coalesce(chosen_neighbor.label, '')) wn from target_ast_map), q as (select distinct w, wn, regexp_extract(w, '([^/]+)/*$', 1) base from t),
+e as (select entity_id, lower(coalesce({_S('relpath')}, '')) h, lower(coalesce(name, '')) hn, lower(coalesce(sig, '')) hs, case when lineno is not null or end_lineno is not null then 0.5 else 0 end::double + case when ends_with(lower(coalesce({_S('relpath')}, '')), '.py') then 0.1 else 0 end::double own from code_entities_full),
+p as (select w, wn, entity_id, round(own + case when w <> '' and ends_with(h, w) then 5.0 else 0 end::double + case when w <> '' and contains(h, w) then 2.0 else 0 end::double + case when w <> '' and {_TWO('h')} = {_TWO('w')} then 3.5 else 0 end::double + case when wn <> '' and hn = wn then 3.0 when wn <> '' and contains(hn, wn) then 1.5 else 0 end::double + case when wn <> '' and hs = wn then 3.0 when wn <> '' and contains(hs, wn) then 1.5 else 0 end::double, 2) score, base <> '' and contains(h, base) relaxed from q, e),
+r as (select *, row_number() over (partition by w, wn order by score desc, case when score > 0 then true else relaxed end desc, entity_id) rank from p), m as (select *, max(score) over (partition by w, wn) most from r where rank <= 3)
+select target_id, entity_id, score, rank from t join m using (w, wn) where score > 0 or most = 0""",
     "a29_location_votes": rf"""with c as (select label as name, {_S('path')} file from retrieval_debug where label is not null and path is not null), f as (select name, file, count(*) v from c group by 1, 2),
 d as (select name, case when contains(file, '/') then regexp_replace(file, '/[^/]*$', '') else '' end folder, sum(v) v from f group by 1, 2),
 lf as (select name, min(file) place from f join (select name, max(v) v from f group by 1) using (name, v) where v >= 2 group by 1 having count(*) = 1), ld as (select name, min(folder) place from d join (select name, max(v) v from d group by 1) using (name, v) where v >= 2 group by 1 having count(*) = 1)

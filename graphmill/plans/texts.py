@@ -76,10 +76,9 @@ QUERIES = {
     "x22_residual_names": x22_residual_names,
     "x23_unused_placeholders": x23_unused_placeholders,
     "x24_syntax": lambda s, d: _code(s, d).where("source is not null and kind <> 'config'").groupBy(P.parses("source").alias("parses")).agg(F.count("*").alias("n")),
-    "x25_author_signals": lambda s, d: P.author_signals(_bodies(s, d), "body").drop("body"),
     "x25_all_author_signals": lambda s, d: P.all_author_signals(load(s, d, "pull_requests"), "record_id", "body", "title", "merge_commit_sha", load(s, d, "commits_sample")),
     "x29_name_similarity": x29_name_similarity,
-    "f9_seeded_sample": lambda s, d: nodes(s, d).where("id is not null").select("id").distinct().orderBy(F.xxhash64("id", F.lit(7)), "id").limit(150),
+    "f9_seeded_sample": lambda s, d: nodes(s, d).where("id is not null").select("id").distinct().orderBy(F.md5(F.concat("id", F.lit("#7"))), "id").limit(150),
     "f8_silver_sample": lambda s, d: nodes(s, d).where(F.col("node_type").isin("Function", "Class") & F.col("path").startswith("src/")).select("id", "path").distinct(),
     "f10_skip_lists": lambda s, d: _code(s, d).where(~G.slashed(F.col("relpath")).rlike("(^|/)(tests?|tools|node_modules)/") & ~F.col("relpath").rlike(r"\.(xml|json|toml)$")).select("entity_id"),
     "f13_long_parameters": lambda s, d: _code(s, d).where("sig is not null").select("entity_id", F.explode(F.regexp_extract_all("sig", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("p")).where("length(p) > 2").groupBy("p").agg(F.count("*").alias("n")),
@@ -122,8 +121,12 @@ SQL = {
     "x15_roles": f"with {_ROLES} select name, role from rl",
     "x22_residual_names": f"with {_NAMES}, w as (select distinct entity_id, unnest(regexp_extract_all(doc, '[A-Za-z_][A-Za-z0-9_]+', 0)) as name from code_entities_full where doc is not null) select entity_id, name from w where name in (select name from nm)",
     "x23_unused_placeholders": f"with {_NAMES} select distinct name from nm where name not in (select unnest(regexp_extract_all(snippet, '[A-Za-z_][A-Za-z0-9_]+', 0)) from code_snippets where snippet is not null)",
-    "x25_author_signals": f"with c as (select record_id, " + ", ".join(f"least(10, coalesce(len(list_distinct({_all('body', p)})), 0))::int {k}" for k, p in (("emails", X.EMAIL), ("paths", X.HOME_PATH), ("hashes", X.SHORT_HASH), ("numbers", X.LONG_NUMBER))) + " from pull_requests), r as (select *, least(10, 3 * emails + 2 * paths + hashes + 2 * numbers) risk from c) select *, case when risk < 3 then 'LOW' when risk < 6 then 'MEDIUM' else 'HIGH' end as level from r",
     "x29_name_similarity": "with s as (select retrieval_id, list_distinct(list_filter(regexp_split_to_array(list_last(string_split(node_id, '.')), '[._]'), lambda t: t <> '')) a, list_distinct(list_filter(regexp_split_to_array(label, '[._]'), lambda t: t <> '')) b from retrieval_debug where label is not null and node_id is not null) select retrieval_id, round(coalesce(len(list_intersect(a, b)) / nullif(greatest(len(a), len(b)), 0), 0)::double, 6) similarity from s",
+    "f9_seeded_sample": "select id from (select distinct id from nodes where id is not null) order by md5(id || '#7'), id limit 150",
+    "x25_all_author_signals": rf"""with b as (select record_id, coalesce(body, '') t, coalesce(title, '') h, merge_commit_sha c from pull_requests), s as (select record_id, c, list_distinct({_all('t', X.EMAIL)}) emails, list_distinct(regexp_extract_all(t, '{_q(X.USER_FOLDER)}', 1)) paths, list_distinct({_all('t', X.ANY_HASH)} || case when c <> '' then [c] else [] end || {_all('h', X.ANY_HASH)}) hashes, list_distinct({_all('t', X.LONG_NUMBER)}) numbers, list_filter([{", ".join(f"'{w}'" for w in P.IDENTIFIER_WORDS)}], lambda w: contains(lower(t), w)) identifiers, nullif(regexp_extract(h, '(?i)introduced_by_pr[=:\s]*([0-9]+)', 1), '') pr from b),
+k as (select distinct left(sha, 7) s7 from commits_sample where author_name <> ''), hh as (select record_id, left(unnest(hashes), 7) s7 from s), hi as (select distinct record_id from hh where s7 in (select s7 from k)),
+r as (select record_id, least(10, len(emails))::int emails, least(10, len(paths))::int paths, least(10, len(hashes))::int hashes, least(10, len(numbers))::int numbers, least(10, len(identifiers))::int identifiers, pr, coalesce(c <> '', false) or pr is not null or record_id in (select record_id from hi) provenance from s),
+z as (select *, least(10, 3 * emails + 2 * paths + hashes + 2 * identifiers + case when provenance then 3 else 0 end) risk from r) select *, case when risk < 3 then 'LOW' when risk < 6 then 'MEDIUM' else 'HIGH' end as level from z""",
     "f8_silver_sample": "select distinct id, path from nodes where node_type in ('Function', 'Class') and starts_with(path, 'src/')",
     "f10_skip_lists": r"select entity_id from code_entities_full where not regexp_matches(replace(relpath, '\', '/'), '(^|/)(tests?|tools|node_modules)/') and not regexp_matches(relpath, '\.(xml|json|toml)$')",
     "f13_long_parameters": "with t as (select unnest(regexp_extract_all(sig, '[A-Za-z_][A-Za-z0-9_]*', 0)) p from code_entities_full where sig is not null) select p, count(*) n from t where length(p) > 2 group by 1",

@@ -230,10 +230,13 @@ def merged_contributors(names: DataFrame, name: str) -> DataFrame:
 def replace_words(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """(key, text) with every word of names (name, placeholder) replaced, whole words only, so the longest name wins by itself.
 
-    Texts are cut into words and what lies between, joined with the names by equality and put together again, so the
-    number of names does not matter. Rows with a null text or key are left out.
+    Only the distinct words of each text are joined with the names; the row then looks its words up in what was found, so
+    neither the number of names nor the length of a text matters. Of a name with several placeholders the least counts.
+    Rows with a null text or key are left out; repeated rows give a row each.
     """
-    cut_up = df.select(key, F.posexplode(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))).alias("pos", "word"))
-    joined = cut_up.join(names.select(F.col("name").alias("word"), "placeholder"), "word", "left")
-    parts = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("placeholder", "word").alias("w"))))
-    return joined.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["w"]), "").alias(text))
+    live = df.select(key, text).where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), F.lit(0))
+    known = names.where("name is not null").groupBy(F.col("name").alias("word")).agg(F.min("placeholder").alias("placeholder")).where("placeholder is not null")
+    own = live.select(key, F.explode(F.array_distinct(words)).alias("word")).join(known, "word").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("word", "placeholder"))).alias("__own"))
+    rewritten = F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at("__own", w), w)), "")
+    return live.join(own, key, "left").select(key, F.when(F.col("__own").isNull(), F.col(text)).otherwise(rewritten).alias(text))

@@ -54,9 +54,9 @@ def words_of(text: Column) -> Column:
 
 
 def _own_map(texts: DataFrame, key: str, words: Column, names: DataFrame, values: list[str]) -> DataFrame:
-    """(key, own): the part of ``names`` (name and values) that occurs among the distinct words of each text."""
+    """(key, own): the part of ``names`` (name and values, each name once) that occurs among the distinct words of each text; rows of the same key share theirs."""
     spread = texts.select(key, F.explode(F.array_distinct(words)).alias("name"))
-    return spread.join(names, "name").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct(*values)))).alias("own"))
+    return spread.join(names, "name").groupBy(key).agg(F.map_from_entries(F.collect_set(F.struct("name", F.struct(*values)))).alias("own"))
 
 
 def import_prefixes(line: Column) -> Column:

@@ -122,10 +122,10 @@ def entities(texts: DataFrame, keys: list[str], text: str, given: DataFrame) ->
 
 
 def replaced_entities(texts: DataFrame, keys: list[str], text: str, given: DataFrame) -> DataFrame:
-    """``texts`` with the token of its kind for each entity that is no false positive, everything between unchanged."""
+    """``texts`` with the token of its kind for each entity that is no false positive, everything between unchanged. Rows with the same keys must hold the same text."""
     found = entities(texts, keys, text, given)
     to = F.when(F.col("false_positive"), F.col("entity")).otherwise(_token(F.col("entity_type"), F.col("entity")))
-    own = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", to.alias("to")))), lambda x: x["to"]).alias("__to"))
+    own = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_set(F.struct("nth", to.alias("to")))), lambda x: x["to"]).alias("__to"))
     gaps = F.split(text, ANY_ENTITY)
     built = F.array_join(F.flatten(F.transform(gaps, lambda g, i: F.array(g, F.coalesce(F.get("__to", i), F.lit(""))))), "")
     return texts.join(own, keys, "left").withColumn(text, F.when(F.col("__to").isNull(), F.col(text)).otherwise(built)).drop("__to")
@@ -141,7 +141,7 @@ def masked_fields(fields: DataFrame, given: DataFrame) -> DataFrame:
     named = fields.where(of("author") & (F.trim("value") != "")).select(F.col("value").alias("name"))
     contributors = P.canonical_contributors(named, "name").select(F.col("name").alias("value"), "contributor")
     free = fields.where(of("text") & F.col("value").isNotNull() & ~F.col("value").rlike(f"^{TIMED}") & ~F.col("value").rlike(f"^{MAIL}$") & (F.length("value") > 3))
-    texts = replaced_entities(free.select("record", "field", "value"), ["record", "field"], "value", given).select("record", "field", F.regexp_replace("value", r"[0-9a-f]{40}", "[COMMIT_ID]").alias("clean"))
+    texts = replaced_entities(free.groupBy("record", "field").agg(F.min("value").alias("value")), ["record", "field"], "value", given).select("record", "field", F.regexp_replace("value", r"[0-9a-f]{40}", "[COMMIT_ID]").alias("clean"))
     value = F.col("value")
     each = lambda c: F.array_join(F.transform(F.split(c, ","), lambda x: F.when(x.rlike("^[0-9a-f]{40}$"), "[COMMIT_ID]").otherwise(x)), ",")
     masked = (

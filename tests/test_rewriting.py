@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from graphmill.operators import evaluation as E
 from graphmill.operators import graph as G
+from graphmill.operators import privacy as P
 from graphmill.operators import resolve as V
 from graphmill.operators import rewrite as R
 from graphmill.operators import sanitize as Z
@@ -45,6 +46,19 @@ def test_words_are_replaced_and_parts_of_words_are_not(code):
     assert R.rewritten_words(code.limit(0).select("entity_id", "source"), "entity_id", "source", known).count() == 0
 
 
+def test_repeated_rows_and_clashing_columns(spark, code):
+    known = R.identifier_map(R.identifiers(code)).persist()
+    twice = code.where("entity_id = 1").unionByName(code.where("entity_id = 1")).select("entity_id", "source", F.lit(1).alias("name"))
+    got = R.rewritten_words(twice.drop("name"), "entity_id", "source", known).collect()
+    assert len(got) == 2 and got[0] == got[1] and got[0]["function_def"] == 1
+    assert R.rewritten_imports(twice.drop("name"), "entity_id", "source", known.where("kind = 'module'").select("name", "placeholder")).count() == 2
+    names = spark.createDataFrame([("load_rows", "B"), ("load_rows", "A"), (None, "C"), ("n", None)], "name string, placeholder string")
+    texts = P.replace_words(twice, "entity_id", "source", names).collect()
+    assert len(texts) == 2 and "def A(" in texts[0]["source"] and "reload_rows(" in texts[0]["source"]
+    f = spark.createDataFrame([("r", "Commit", "attrs.message_head", "mail a@b.example now")] * 2, "record string, node_type string, field string, value string")
+    assert [r["value"] for r in Z.masked_fields(f, spark.createDataFrame([("Ann",)], "given string")).collect()] == ["mail [EMAIL] now"] * 2
+
+
 def test_contributors_are_masked_as_whole_names(spark):
     texts = spark.createDataFrame([(1, "# by Ann Example, ANN EXAMPLE and Annexample"), (2, None), (3, "")], "k long, t string")
     names = spark.createDataFrame([("Ann Example",), (None,), ("Bo",)], "name string")

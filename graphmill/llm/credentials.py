@@ -75,8 +75,12 @@ _COMMENTED = [
     ("said", re.compile(r"(?im)(?:#|//|;|--|<!--|\*)[^\n]*?\b(?P<name>log ?in|user|account|connect|signin)\b[^\n]{0,30}?[ \t]/[ \t](?P<value>\S.*?)(?=[ \t]*-->|[ \t\r]*$)")),
     ("said", re.compile(r"(?im)^[ \t]*(?:#|//|;|--|<!--)[ \t]*(?P<value>\S.*?)[ \t]*(?:<-+|<=|=>|->)[ \t]*[^\n]*?\b(?P<name>password|passwd|pw|key|token|secret|login)\b")),
 ]
-_BARE = re.compile(rf"(?m)\b(?P<name>[A-Za-z_][\w.-]*+)(?:=|[ \t]*=[ \t]+|:[ \t]+)(?P<value>{_LINE_VALUE}+(?:[ ]{_LINE_VALUE}+)*)(?=[ \t\r]*$|[ ]and\b)")
-_BARE_WORD = re.compile(rf"\b(?P<name>[A-Za-z_][\w-]*+)=(?P<value>{_VALUE}+)")
+#: Unquoted values, searched from their separator: to the end of the line, or one word.
+_BARE = re.compile(rf"(?m)(?:=([ \t]*)|:([ \t]+))({_LINE_VALUE}+(?:[ ]{_LINE_VALUE}+)*)(?=[ \t\r]*$|[ ]and\b)").search
+_BARE_WORD = re.compile(rf"=({_VALUE}+)").search
+_BARE_NAME = re.compile(r"([\w.-]*)").match
+_BARE_SPACE = re.compile(r"[ \t]*").match
+_NAME_END = re.compile(r"\b[A-Za-z_][\w.-]*\Z").search
 _ENV = re.compile(r"(?m)^[ \t]*ENV[ \t]+(?P<name>\w+)[ \t]+(?P<value>[^\n]*?\S)[ \t\r]*$")
 _STRING = re.compile(r"(?<![\w\"'])(?:[rRuUbBfF]{0,2})(?:\"(?!\"\")(?P<a>(?:[^\"\\\n]|\\.)*)\"|'(?!'')(?P<b>(?:[^'\\\n]|\\.)*)')")
 _JOIN = re.compile(r"[ \t]*\\?\r?\n?[ \t]*(?:\+[ \t]*\\?\r?\n?[ \t]*)?(?:[rRuUbBfF]{0,2})(?:\"(?!\"\")((?:[^\"\\\n]|\\.)*)\"|'(?!'')((?:[^'\\\n]|\\.)*)')")
@@ -105,31 +109,46 @@ _QUOTE_END = re.compile(r"[\"'](?=[\s,)}\]]|$)")
 _BREAKS = re.compile(r"\r?\n")
 
 
+_OPENERS = {")": "(", "]": "[", "}": "{"}
+
+
 class _Brackets:
     """The calls, lists, tuples and dictionaries that are open at a place; places must be asked for in text order."""
 
     def __init__(self, text: str):
-        self.text, self.at, self.open = text, 0, []
+        self.text, self.at, self.open, self.literals = text, 0, [], []
+
+    def skip(self, start: int, stop: int, value: str) -> None:
+        """A literal stands here; the code before it is read only when somebody asks for a bracket."""
+        self.literals.append((start, stop, value))
 
     def go(self, to: int) -> None:
-        """Read the code up to here, which holds no literals."""
+        """Read everything up to here."""
+        for start, stop, value in self.literals:
+            self._read(start)
+            self.at = stop
+            if self.open and _ARGUMENT(value):
+                self.open[-1][2] = value
+        self.literals.clear()
+        self._read(to)
+
+    def _read(self, to: int) -> None:
         for m in _BRACKET.finditer(self.text, self.at, to):
             c = m[0]
             if c in "([{":
                 self.open.append([c, m.start(), "", False])
-            elif c in ")]}" and any(o[0] == "([{"[")]}".index(c)] for o in self.open):
-                while self.open.pop()[0] != "([{"[")]}".index(c)]:
-                    pass
+            elif (opener := _OPENERS.get(c)) and self.open:
+                if self.open[-1][0] == opener:
+                    self.open.pop()
+                elif any(o[0] == opener for o in self.open):
+                    while self.open.pop()[0] != opener:
+                        pass
+                else:
+                    continue
                 if self.open:
                     self.open[-1][3] = True
         self.at = max(self.at, to)
 
-    def skip(self, to: int, value: str) -> None:
-        """A literal ends here."""
-        self.at = to
-        if self.open and _ARGUMENT(value):
-            self.open[-1][2] = value
-
 
 def _open_list(brackets: _Brackets, text: str, back: str) -> tuple[str, str]:
     """(identifier, syntax) of the innermost bracket that is open, if nothing nested in it has closed yet."""
@@ -147,10 +166,13 @@ def _open_list(brackets: _Brackets, text: str, back: str) -> tuple[str, str]:
 _WORDS_SAID = ("passw", "pass", "pw", "key", "token", "secret", "login", "log in", "credential", "kennwort", "clave")
 _MARKS = ("#", "//", ";", "--", "*", '"""')
 _NEEDS = [
-    [("://",)], [('"', "'"), (":",)], [("value=", "content=")], [("earer", "asic", "BEARER")], [("X-", "uthorization", "pi-", "piK", "pik", "Pi-", "rivate-")], [("?", "&", ";"), ("=",)], [("</",)], [("--",)],
-    [("curl", "wget", "http"), ("-u", "--user", "--proxy-user")], [("sshpass", "mysql", "mariadb", "redis-cli", "mongo"), (" -p", " -a")], [("export",)], [("echo",), ("--password-stdin", "--with-token", "--passphrase-fd")], [(":_",)],
+    [("://",)], [(":",), ('"', "'")], [("=",), ("value=", "content=")], [("earer", "asic", "BEARER")], [(":",), ("X-", "uthorization", "pi-", "piK", "pik", "Pi-", "rivate-")], [("=",), ("?", "&", ";")], [("</",)], [("--",)],
+    [(" -u", " --user", " --proxy-user"), ("curl", "wget", "http")], [(" -p", " -a"), ("sshpass", "mysql", "mariadb", "redis-cli", "mongo")], [("export",)], [("echo",), ("--password-stdin", "--with-token", "--passphrase-fd")], [(":_",)],
 ]
 _NEEDS_SAID = [[_MARKS, _WORDS_SAID], [_MARKS, _WORDS_SAID + ("passphrase",), (":",)], [("passw", "passphrase")], [_MARKS, ("log", "user", "account", "connect", "signin"), ("/ ", "/\t")], [("#", "//", ";", "--"), _WORDS_SAID, ("<-", "<=", "=>", "->")]]
+_WORDS_ALL = (*_WORDS_SAID, "passphrase", "log", "user", "account", "connect", "signin")
+#: From a mark of a comment to the end of its line.
+_MARKED = re.compile(r"(?:#|//|;|--|\*|\"\"\")[^\n]*")
 _SHAPE_STARTS = ("AKIA", "ASIA", "k_live_", "k_test_", "gh", "glpat-", "xox", "AIza", "eyJ", "npm_", "SG.")
 
 
@@ -215,23 +237,13 @@ def scan(text: str) -> Iterator[tuple[int, int, str, str, str]]:
                 continue
             if take(a, b):
                 yield a, b, inner, g.get("name2") or g["name"] or "", syntax
-    small = text.casefold()
-    for needs, (syntax, pattern) in zip(_NEEDS_SAID, _COMMENTED, strict=True):
-        if not _possible(needs, small):
-            continue
-        for m in pattern.finditer(text):
-            a, b = m.span("value")
-            if take(a, b):
-                yield a, b, m["value"], m["name"] or "key", syntax
+    for a, b, value, name in _said_values(text, text.casefold()):
+        if take(a, b):
+            yield a, b, value, name, "said"
     if '"' in text or "'" in text:
         yield from _literals(text, taken, take)
     if "=" in text or ":" in text:
-        for syntax, pattern in (("env", _ENV), ("bare", _BARE), ("bare", _BARE_WORD)):
-            if syntax != "env" or "ENV" in text:
-                for m in pattern.finditer(text):
-                    a, b = m.span("value")
-                    if take(a, b):
-                        yield a, b, m["value"], m["name"], syntax
+        yield from _bare_values(text, take)
     elif "ENV" in text:
         for m in _ENV.finditer(text):
             a, b = m.span("value")
@@ -243,6 +255,66 @@ def scan(text: str) -> Iterator[tuple[int, int, str, str, str]]:
                 yield *m.span(), m[0], "", "shape"
 
 
+def _bare_values(text: str, take: Callable[[int, int], bool]) -> Iterator[tuple[int, int, str, str, str]]:
+    """The candidates without quotes that nothing else has taken; each value is found by its separator and its identifier read backwards from there."""
+    if "ENV" in text:
+        for m in _ENV.finditer(text):
+            a, b = m.span("value")
+            if take(a, b):
+                yield a, b, m["value"], m["name"], "env"
+    back, n = text[::-1], len(text)
+    pos = 0
+    while m := _BARE(text, pos):
+        at = m.start()
+        named = _BARE_NAME(back, n - at)
+        if not named[1] and m[1]:  # blanks on both sides of the sign
+            named = _BARE_NAME(back, _BARE_SPACE(back, n - at).end())
+        name = _NAME_END(named[1][::-1]) if named[1] else None
+        # an identifier that begins within a value found before belongs to that value
+        if name is None or n - named.end() + name.start() < pos:
+            pos = at + 1 if name is None or at + 1 > pos else pos
+            continue
+        a, b = m.span(3)
+        pos = b
+        if take(a, b):
+            yield a, b, m[3], name[0], "bare"
+    pos = 0
+    while m := _BARE_WORD(text, pos):
+        at = m.start()
+        named = _BARE_NAME(back, n - at)
+        run = named[1][::-1].rpartition(".")[2]
+        name = _NAME_END(run) if run else None
+        if name is None or at - len(run) + name.start() < pos:
+            pos = at + 1
+            continue
+        a, b = m.span(1)
+        pos = b
+        if take(a, b):
+            yield a, b, m[1], name[0], "bare"
+
+
+def _said_values(text: str, small: str) -> Iterator[tuple[int, int, str, str]]:
+    """(start, end, value, name) of values that a comment names, by pattern and place; only lines with a mark and a word are searched."""
+    words = [w for w in _WORDS_ALL if w in small]
+    if not words:
+        return
+    aligned = len(small) == len(text)
+    spoken = [m.span() for m in _MARKED.finditer(text) if not aligned or any(small.find(w, *m.span()) >= 0 for w in words)]
+    for needs, (_, pattern) in zip(_NEEDS_SAID, _COMMENTED, strict=True):
+        if not _possible(needs, small):
+            continue
+        if needs[0] is not _MARKS:
+            for m in pattern.finditer(text):
+                yield *m.span("value"), m["value"], m["name"] or "key"
+            continue
+        pos = 0
+        for a, b in spoken:
+            at = max(a, pos)
+            while at < b and (m := pattern.search(text, at)) and m.start() < b:
+                yield *m.span("value"), m["value"], m["name"] or "key"
+                pos = at = m.end()
+
+
 def _literals(text: str, taken: bytearray, take: Callable[[int, int], bool]) -> Iterator[tuple[int, int, str, str, str]]:
     """The candidates among string literals that nothing else has taken."""
     at, n, back, brackets = 0, len(text), text[::-1], _Brackets(text)
@@ -250,14 +322,13 @@ def _literals(text: str, taken: bytearray, take: Callable[[int, int], bool]) ->
         which = "a" if m["a"] is not None else "b"
         a, b = m.span(which)
         at = m.end()
-        brackets.go(m.start())
         value, first_end = m[which], b
         while (follow := _JOIN.match(text, at)) and not text[at : follow.start()].strip():
             value += follow[1] if follow[1] is not None else follow[2]
             b = follow.end() - 1
             at = follow.end()
         if not value or taken.find(1, a, first_end) >= 0:
-            brackets.skip(at, value)
+            brackets.skip(m.start(), at, value)
             continue
         name, syntax, here = "", "string", n - m.start()
         last = found[1] if (found := _LAST(back, here)) else ""
@@ -270,8 +341,9 @@ def _literals(text: str, taken: bytearray, take: Callable[[int, int], bool]) ->
                 break
         else:
             if last and last in "[({,":
+                brackets.go(m.start())
                 name, syntax = _open_list(brackets, text, back)
-        brackets.skip(at, value)
+        brackets.skip(m.start(), at, value)
         note = _NOTE(text, b + 1)
         if note and not SECRET_WORDS.isdisjoint(identifier_words(note[1])):
             name += " " + note[1]

@@ -97,13 +97,17 @@ def cosine(a: str, b: str) -> F.Column:
 
 
 def cluster_quality(df: DataFrame, vector: str, label: str) -> DataFrame:
-    """Calinski-Harabasz and Davies-Bouldin index of given labels, from vector summaries: one row per cluster leaves the first pass."""
+    """Silhouette (squared Euclidean, from sums per cluster and not from pairs), Calinski-Harabasz and Davies-Bouldin index of given labels, from vector summaries: one row per cluster leaves the first pass. Null where they are not defined (no rows, one cluster)."""
     rows = df.select(F.col(label).alias("label"), array_to_vector(F.col(vector)).alias("v"))
     per = rows.groupBy("label").agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).select("label", "s.mean", "s.variance", "s.count")
     own = rows.join(F.broadcast(per.select("label", vector_to_array("mean").alias("c"))), "label")  # a row per cluster
     gap = F.sqrt(F.aggregate(F.zip_with(vector_to_array("v"), "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
     spread = own.groupBy("label").agg(F.avg(gap).alias("spread"))
     table = per.select("label", vector_to_array("mean").alias("mean"), vector_to_array("variance").alias("variance"), "count").join(spread, "label").toPandas()  # a row per cluster
+    none = "silhouette double, calinski_harabasz double, davies_bouldin double"
+    if table.empty:
+        return df.sparkSession.createDataFrame([(None, None, None)], none)
+    silhouette = ClusteringEvaluator(featuresCol="v", predictionCol="label").evaluate(rows) if len(table) > 1 else None
     means, n = np.array(table["mean"].tolist()), table["count"].to_numpy(float)
     within = float(sum((c - 1) * np.sum(v) for c, v in zip(n, table["variance"], strict=True)))
     between = float((n * ((means - np.average(means, axis=0, weights=n)) ** 2).sum(1)).sum())
@@ -113,7 +117,7 @@ def cluster_quality(df: DataFrame, vector: str, label: str) -> DataFrame:
     ratio = np.where(np.eye(k, dtype=bool), -np.inf, (s[:, None] + s[None]) / np.where(apart > 0, apart, np.nan))
     ch = (between / (k - 1)) / (within / (total - k)) if k > 1 and total > k and within > 0 else None
     db = float(np.nanmax(ratio, axis=1).mean()) if k > 1 else None
-    return df.sparkSession.createDataFrame([(None if ch is None else round(float(ch), 4), None if db is None else round(float(db), 4))], "calinski_harabasz double, davies_bouldin double")
+    return df.sparkSession.createDataFrame([tuple(None if x is None else round(float(x), 4) for x in (silhouette, ch, db))], none)
 
 
 # ---- models

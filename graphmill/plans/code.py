@@ -23,9 +23,9 @@ def u1_definitions(spark, sf):
 
 
 def u2_trees(spark, sf):
-    """Size and root statements of the syntax tree of each source."""
+    """The syntax tree of each source as JSON, with its size and number of root statements."""
     trees = C.rows_of(_sources(spark, sf), "entity_id", "source", lambda t: iter([(C.tree_json(t),)]), "tree string")
-    return trees.where("tree is not null").select("entity_id", F.length("tree").alias("size"), F.json_array_length(F.get_json_object("tree", "$.body")).alias("statements"))
+    return trees.where("tree is not null").select("entity_id", "tree", F.length("tree").alias("size"), F.json_array_length(F.get_json_object("tree", "$.body")).alias("statements"))
 
 
 def u3_symbols(spark, sf):

@@ -134,8 +134,11 @@ b as (select sum(n * (c.m - g.m) ** 2) s from c join g using (d)), w as (select
 k as (select count(distinct label) k, count(*) n from embeddings),
 sp as (select label, avg(dist) s from (select label, vec_id, sqrt(sum((v - m) ** 2)) dist from x join c using (label, d) group by 1, 2) group by 1),
 p as (select a.label la, b.label lb, sqrt(sum((a.m - b.m) ** 2)) dist from c a join c b on a.d = b.d and a.label <> b.label group by 1, 2),
-db as (select avg(r) r from (select la, max((x.s + y.s) / dist) r from p join sp x on x.label = la join sp y on y.label = lb group by 1))
-select round((b.s / (k - 1)) / (w.s / (n - k)), 4) calinski_harabasz, round(db.r, 4) davies_bouldin from b, w, k, db""",
+db as (select avg(r) r from (select la, max((x.s + y.s) / dist) r from p join sp x on x.label = la join sp y on y.label = lb group by 1)),
+nx as (select label, vec_id, sum(v * v) q from x group by 1, 2), ck as (select label, sum(q) s2, count(*) n from nx group by 1), dt as (select x.vec_id, c.label cl, sum(x.v * c.m) dot from x join c on c.d = x.d group by 1, 2),
+ds as (select nx.vec_id, nx.label = cl own, n, q + s2 / n - 2 * dot dist from nx join dt on dt.vec_id = nx.vec_id join ck on ck.label = cl), ab as (select vec_id, max(case when own then dist * n / nullif(n - 1, 0) end) a, min(case when not own then dist end) b from ds group by 1),
+si as (select avg(case when a is null then 0 else (b - a) / greatest(a, b) end) s from ab)
+select round(si.s, 4) silhouette, round((b.s / (k - 1)) / (w.s / (n - k)), 4) calinski_harabasz, round(db.r, 4) davies_bouldin from b, w, k, db, si""",
     "m14_cosine": "select a.vec_id vec_a, b.vec_id vec_b, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::double * p[2]::double)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::double * x::double)))), 5) cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
     "a13_top_products": f"with {_REC.replace('kept as (select c.* from c where customer_id % 20 <> 0)', 'kept as (select c.* from c)')} select cluster, stock_code, description, quantity, rank from top",
     "a14_purchases": f"with {CLEAN_SQL} select customer_id, (customer_id % 3)::int cluster, stock_code, sum(quantity)::bigint quantity from c group by 1, 2, 3",

@@ -12,24 +12,15 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 URL = r"https?://[^\s<>\"')\]]+"
 CODE_HOST = r"https?://(?:www\.)?(?:github|gitlab|codehost)\.[^\s<>\"')\]]+"
 HASH = r"\b[0-9a-f]{40}\b"
-SHORT_HASH = r"\b[0-9a-f]{7,40}\b"
 TIMESTAMP = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2})?Z?"
 IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 PHONE = r"\+[0-9]{1,3}[ .-]?[0-9(][0-9 ().-]{6,}[0-9]"
 LONG_NUMBER = r"\b[0-9]{6,}\b"
 SECRET_ASSIGNMENT = r"(?i)\b(api_?key|secret|token|passwd|password|access_?key|private_?key)(\s*[=:]\s*)[\"'][^\"'\n]{4,}[\"']"
-HOME_PATH = r"/(?:home|Users)/([A-Za-z0-9._-]+)"
 ANY_HASH = r"\b[0-9a-fA-F]{7,40}\b"
 USER_FOLDER = r"(?:/home/|/Users/|C:\\{1,2}Users\\{1,2})([A-Za-z0-9_.-]+)"
 DOTTED_MODULE = r"\b[a-z_][a-z0-9_]*(?:\.[a-z_][a-z0-9_]*){2,}\b"
 FILE_PATH = r"\b[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+\.[A-Za-z]{1,5}\b"
-#: In the order in which a residual scan reports them: name -> (pattern, severity).
-RESIDUALS = {"EMAIL": (EMAIL, "HIGH"), "URL": (URL, "MEDIUM"), "HASH": (HASH, "HIGH"), "TIMESTAMP": (TIMESTAMP, "MEDIUM"), "IP": (IP, "MEDIUM"), "PHONE": (PHONE, "MEDIUM"), "LONG_NUMBER": (LONG_NUMBER, "MEDIUM")}
-
-
-def count_matches(text: Column, pattern: str) -> Column:
-    """Matches of a pattern; 0 for null text."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), F.lit(0))
 
 
 def distinct_matches(text: Column, pattern: str) -> Column:

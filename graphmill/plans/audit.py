@@ -7,13 +7,10 @@ from pyspark.sql import functions as F
 from graphmill.functions import text as X
 from graphmill.operators import graph as G
 from graphmill.operators import privacy as P
-from graphmill.operators import resolve as V
 from graphmill.operators import stats as S
-from graphmill.plans.resolution import _S
 from graphmill.plans.segmentation import _rows
 from graphmill.session import cut
 from graphmill.sources import load
-from graphmill.sources.knowledge import nodes
 
 
 def _code(spark, sf):
@@ -41,17 +38,8 @@ QUERIES = {
 }
 
 _q = lambda p: p.replace("'", "''")
-_n = lambda k, p: f"select '{k}' as type, coalesce(sum(len(regexp_extract_all(source, '{_q(p)}', 0))), 0)::bigint n from code_entities_full where source is not null"
 
 
-def _mask(c: str) -> str:
-    for pattern, to in ((X.SECRET_ASSIGNMENT, r"\1\2[SECRET]"), (X.EMAIL, "[EMAIL]"), (X.CODE_HOST, "[REPO_URL]"), (X.URL, "[URL]"), (X.HASH, "[COMMIT_ID]")):
-        c = f"regexp_replace({c}, '{_q(pattern)}', '{to}', 'g')"
-    return c
-
-
-_literal = lambda c: f"case when regexp_matches({c}, '^{_q(X.CODE_HOST)}') then '[REPO_URL]' when regexp_matches({c}, '^https?://') then '[URL]' when regexp_matches({c}, '^[0-9a-f]{{40}}$') then '[HASH]' else {c} end"
-_types = ", ".join(f"'{t}'" for t in G.NODE_TYPES)
 
 SQL = {
     "so4_distinct_values": "select distinct kind from code_entities_full",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphmill.operators import graph as G
 from graphmill.operators import resolve as V
 from graphmill.sources import load
-from graphmill.sources.knowledge import ALIASES_SQL, aliases, nodes, raw_edges
+from graphmill.sources.knowledge import ALIASES_SQL, aliases, nodes
 
 
 def _symbols(spark, sf):
@@ -169,7 +169,6 @@ QUERIES = {
 }
 
 _S = lambda c: f"replace({c}, '\\', '/')"
-_MOD = rf"replace(regexp_replace(regexp_replace({_S('relpath')}, '\.py$', ''), '/__init__$', ''), '/', '.')"
 _BASE = lambda c: f"list_last(string_split({_S(c)}, '/'))"
 _LAST = lambda c, n: f"array_to_string(list_slice(string_split({c}, '.'), -{n}, -1), '.')"
 _TWO = lambda c: f"array_to_string(list_slice(string_split({c}, '/'), -2, -1), '/')"

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphmill.functions import text as X
-from graphmill.operators import evaluation as E
 from graphmill.operators import graph as G
 from graphmill.operators import privacy as P
 from graphmill.sources import load
@@ -13,10 +12,6 @@ from graphmill.sources.knowledge import nodes
 
 
 
-def _messages(spark, sf):
-    return load(spark, sf, "commits_sample").select("record_id", "message_head")
-
-
 def _bodies(spark, sf):
     return load(spark, sf, "pull_requests").select("record_id", "body")
 

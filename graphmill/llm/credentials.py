@@ -106,7 +106,6 @@ _BRACKET = re.compile(r"#[^\n]*|[\[\](){}]")
 _ARGUMENT = re.compile(r"[\w-]{2,}").fullmatch
 _FOREIGN = re.compile(r"://|\b[Bb]earer |\b[Bb]asic |[;&?]\w+=")
 _QUOTE_END = re.compile(r"[\"'](?=[\s,)}\]]|$)")
-_BREAKS = re.compile(r"\r?\n")
 
 
 _OPENERS = {")": "(", "]": "[", "}": "{"}

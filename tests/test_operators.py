@@ -1,5 +1,6 @@
 """Statistics, graph, matching, privacy, scores, code tables and anonymity on small inputs."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -76,6 +77,31 @@ def test_components(spark, edges):
     assert {r["component"] for r in G.components(nodes.limit(0), chain).collect()} == {"n000"}
 
 
+def test_components_by_contraction(spark, edges):
+    nodes = spark.createDataFrame([("g",), ("g",), ("a",), (None,)], "id string")
+    small = {r["id"]: r["component"] for r in G.components(nodes, edges, held=0).collect()}
+    assert small == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d", "g": "g", None: None}
+    ids = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(301)]
+    hub = [("m", f"{a}{i}") for i in range(40) for a in "lz"]
+    many = spark.createDataFrame([(s, t, "X", 1, "p") for s, t in [*zip(ids, ids[1:]), *hub, ("y", "y"), ("x", None)]], edges.schema)  # noqa: B905
+    for held in (0, 50, 1000):
+        got = {r["id"]: r["component"] for r in G.components(nodes.limit(0), many, held=held).collect()}
+        assert got == dict.fromkeys(ids, min(ids)) | dict.fromkeys(["m", *(t for _, t in hub)], "l0")
+
+
+def test_components_in_few_rounds(spark, edges, monkeypatch):
+    """Rounds don't grow with the length of a chain, nor the estimate of the size (once its digits doubled each round and filled the driver's memory)."""
+    cuts = []
+    for name in ("cut", "cut_unsized"):
+        real = getattr(G, name, None)
+        monkeypatch.setattr(G, name, lambda df, real=real: (cuts.append(1), real(df))[1], raising=False)
+    ids = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(3000)]
+    chain = spark.createDataFrame([(s, t, "X", 1, "p") for s, t in zip(ids, ids[1:])], edges.schema)  # noqa: B905
+    parts = G.components(chain.select(F.col("source").alias("id")), chain)
+    assert parts.groupBy("component").count().collect() == [(min(ids), 3000)]
+    assert len(cuts) <= 3 and parts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
+
+
 def test_graph_tables(spark, edges):
     raw = spark.createDataFrame([("a", "b", "X", "p"), ("a", "b", "X", "p"), ("a", "b", "X", "q")], "source string, target string, type string, provenance string")
     row = G.merge_edges(raw).collect()[0]

@@ -102,6 +102,19 @@ def test_components_in_few_rounds(spark, edges, monkeypatch):
     assert len(cuts) <= 3 and parts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**64
 
 
+def test_paths_of_a_long_chain(spark, edges):
+    """Needs the components of a chain, which once filled the driver's memory; frontiers that are broadcast or not reach the same."""
+    ids = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(3000)]
+    chain = spark.createDataFrame([(s, t, "X", 1, "p") for s, t in zip(ids, ids[1:])], edges.schema)  # noqa: B905
+    place = {x: i for i, x in enumerate(ids)}
+    away = [abs(place[x] - i) for x in sorted(ids)[:20] for i in range(len(ids)) if abs(place[x] - i) <= 10]
+    row = G.path_statistics(G.components(chain.select(F.col("source").alias("id")), chain), chain, 20, 10).collect()[0]
+    assert (row["mean_path"], row["pseudo_diameter"]) == (round(sum(away) / len(away), 4), 10)
+    seeds = spark.createDataFrame([("a",), ("b",)], "id string")
+    one, two = (sorted(map(tuple, G.neighbourhoods(seeds, G.undirected(edges), 3, held).collect())) for held in (0, 1000))
+    assert one == two and len(one) == 4
+
+
 def test_graph_tables(spark, edges):
     raw = spark.createDataFrame([("a", "b", "X", "p"), ("a", "b", "X", "p"), ("a", "b", "X", "q")], "source string, target string, type string, provenance string")
     row = G.merge_edges(raw).collect()[0]
